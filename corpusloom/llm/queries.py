@@ -7,3 +7,4 @@ from corpusloom.plans.registry import Registry
 llm = Registry()
 
 from corpusloom.llm import annotation_queries  # noqa: E402, F401
+from corpusloom.llm import token_queries  # noqa: E402, F401
