@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import language
 from corpusloom.llm.queries import llm
 from corpusloom.llm.sentences import fit_on, sentence_units
 from corpusloom.session import table
@@ -23,3 +24,20 @@ def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = sentence_units(docs, fit_on(docs, "id", "body"))
     body = docs.select(F.col("id").alias("_id"), "body")
     return units.join(body, F.col("id") == F.col("_id")).select("id", "char_start", "char_end", F.expr("substring(body, char_start + 1, char_end - char_start)").alias("text"))
+
+
+def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "qda_document").select("id", "body", "language").distinct()
+    return language.language_stretches(docs, language.fit_on(docs))
+
+
+@llm.query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _stretches(spark, sf_dir).where("not label_ok or n_stretches > 1")
+    return found.select("id", "char_start", "char_end", "lang")
+
+
+@llm.query("p5_languages")
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every document with language and confidence."""
+    return _stretches(spark, sf_dir)
