@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language
+from corpusloom.llm import language, ocr
 from corpusloom.llm.queries import llm
 from corpusloom.llm.sentences import fit_on, sentence_units
 from corpusloom.session import table
@@ -41,3 +41,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of every document with language and confidence."""
     return _stretches(spark, sf_dir)
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    typed = table(spark, sf_dir, "qda_document").where("ocr_engine is null").select("id", "body").distinct()
+    return table(spark, sf_dir, "ocr_word"), table(spark, sf_dir, "ocr_page"), typed
+
+
+@llm.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.page_repairs(*_scans(spark, sf_dir))
+
+
+@llm.query("p6_pages")
+def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every page."""
+    return ocr.page_texts(*_scans(spark, sf_dir))
