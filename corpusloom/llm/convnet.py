@@ -6,12 +6,15 @@ import numpy as np
 
 
 class ConvNet:
-    """Classifier of fixed-length windows of token ids; id 0 is padding and has a zero embedding."""
+    """Classifier of fixed-length windows of token ids; id 0 is padding and has a zero embedding.
 
-    def __init__(self, vocab: int, classes: int, dim: int = 16, widths: tuple[int, ...] = (2, 3, 4, 5), filters: int = 32, seed: int = 0) -> None:
+    Windows are (n, length), or (n, length, k) where a token is the sum of k embeddings.
+    """
+
+    def __init__(self, vocab: int, classes: int, dim: int = 16, widths: tuple[int, ...] = (2, 3, 4, 5), filters: int = 32, seed: int = 0, spread: float = 0.3) -> None:
         rng = np.random.default_rng(seed)
         self.widths = widths
-        self.p = {"E": rng.normal(0, 0.3, (vocab, dim)).astype(np.float32)}
+        self.p = {"E": rng.normal(0, spread, (vocab, dim)).astype(np.float32)}
         self.p["E"][0] = 0
         for w in widths:
             self.p[f"W{w}"] = rng.normal(0, np.sqrt(2 / (w * dim)), (w * dim, filters)).astype(np.float32)
@@ -22,7 +25,7 @@ class ConvNet:
         self.t = 0
 
     def features(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        emb = self.p["E"][x]
+        emb = self.p["E"][x] if x.ndim == 2 else self.p["E"][x].sum(2)
         out = []
         for w in self.widths:
             patch = np.lib.stride_tricks.sliding_window_view(emb, w, axis=1).swapaxes(2, 3)
@@ -42,39 +45,49 @@ class ConvNet:
         """Scores of each class. Windows of like length go together and their common padding is left out; at
         least one filter width of it stays with every window, so a score does not depend on its batch."""
         out = np.zeros((len(x), len(self.p["c"])), np.float32)
-        size = (x != 0).sum(1)
+        size = ((x if x.ndim == 2 else x[:, :, 0]) != 0).sum(1)
         order = np.argsort(size, kind="stable")
         for s in range(0, len(x), batch):
             i = order[s : s + batch]
             out[i] = self.features(x[i, : int(size[i[-1]]) + max(self.widths)]) @ self.p["U"] + self.p["c"]
         return out
 
-    def gradients(self, x: np.ndarray, feat: np.ndarray, keep: list, d_logit: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, feat: np.ndarray, keep: list, d_logit: np.ndarray) -> dict:
         """Gradients of a loss whose derivative by the logits is ``d_logit``."""
-        g = {"U": feat.T @ d_logit, "c": d_logit.sum(0), "E": np.zeros_like(self.p["E"])}
+        g = {"U": feat.T @ d_logit, "c": d_logit.sum(0)}
+        at_ids, at_grad = [], []
         d_feat = (d_logit @ self.p["U"].T) * (feat > 0)
         k = d_feat.shape[1] // len(self.widths)
         for i, (w, at) in enumerate(keep):
             d = d_feat[:, i * k : (i + 1) * k]
             ids = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(w)]
-            patch = self.p["E"][ids].reshape(len(x), k, -1)
+            patch = (self.p["E"][ids] if x.ndim == 2 else self.p["E"][ids].sum(3)).reshape(len(x), k, -1)
             g[f"W{w}"] = np.einsum("bk,bkd->dk", d, patch)
             g[f"b{w}"] = d.sum(0)
             back = d[:, :, None] * self.p[f"W{w}"].T[None]
-            np.add.at(g["E"], ids.ravel(), back.reshape(-1, self.p["E"].shape[1]))
-        g["E"][0] = 0
+            back = back.reshape(-1, self.p["E"].shape[1])
+            for j in range(1 if x.ndim == 2 else x.shape[2]):
+                at_ids.append((ids if x.ndim == 2 else ids[..., j]).ravel())
+                at_grad.append(back)
+        # only the embeddings that occur have a gradient: their rows, and the sums for each
+        ids, grad = np.concatenate(at_ids), np.concatenate(at_grad)
+        order = np.argsort(ids, kind="stable")
+        rows, first = np.unique(ids[order], return_index=True)
+        sums = np.add.reduceat(grad[order], first, axis=0)
+        g["E"] = (rows[rows > 0], sums[rows > 0])
         return g
 
-    def update(self, g: dict[str, np.ndarray], rate: float) -> None:
-        """One Adam step."""
+    def update(self, g: dict, rate: float) -> None:
+        """One Adam step; of the embeddings only the rows that occur move."""
         if self.m is None:
             self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
             self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t += 1
         for k, d in g.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * d
-            self.v[k] = 0.999 * self.v[k] + 0.001 * d * d
-            self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
+            at, d = d if k == "E" else (slice(None), d)
+            m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * d
+            v = self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * d * d
+            self.p[k][at] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 2e-3, batch: int = 64, seed: int = 0) -> None:
         """Softmax cross-entropy on labelled windows."""

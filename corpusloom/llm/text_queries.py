@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language, ocr
+from corpusloom.llm import abuse, language, ocr
 from corpusloom.llm.queries import llm
 from corpusloom.llm.sentences import fit_on, sentence_units
 from corpusloom.session import table
@@ -57,3 +57,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired text of every page."""
     return ocr.page_texts(*_scans(spark, sf_dir))
+
+
+def _abuse(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return abuse.score_documents(docs, abuse.fit_on(docs, table(spark, sf_dir, "review_label")), keep=keep)
+
+
+@llm.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).where("flagged").select("doc_id")
+
+
+@llm.query("p10_scores")
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return _abuse(spark, sf_dir)
+
+
+@llm.query("p10_sources")
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, flagged ones and their rate per source."""
+    n = _abuse(spark, sf_dir, ("source",)).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("flagged").cast("long")).alias("n_flagged"), F.avg("score").alias("mean_score"))
+    return n.withColumn("rate", F.col("n_flagged") / F.col("n_docs"))
