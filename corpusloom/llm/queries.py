@@ -9,3 +9,4 @@ llm = Registry()
 from corpusloom.llm import annotation_queries  # noqa: E402, F401
 from corpusloom.llm import token_queries  # noqa: E402, F401
 from corpusloom.llm import text_queries  # noqa: E402, F401
+from corpusloom.llm import name_queries  # noqa: E402, F401
