@@ -196,7 +196,7 @@ def resolve_block(records: list[tuple[list[str], list[str], str, str]], common:
     block = {g for given, _, _, _ in records for g in given[:1]}
     for i, (given, initials, typed, key) in enumerate(records):
         g = {full_given(given[0], block)} if given else set()
-        first = {x[0] for x in (*g, *given[:1])} or set(initials[:1])
+        first = {x[0] for x in (*g, *given[:1], *(f for s in g for f in full_names(s)))} or set(initials[:1])
         middle = {x[0] for x in given[1:]} | set(initials if given else initials[1:])
         profiles.append(Profile([i], g, first, middle, typed != key))
 
