@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -69,33 +70,34 @@ def plain(text: str) -> str:
     return t
 
 
-def tokens(sentence: str) -> list[str]:
-    out = []
-    for w in _TOKEN.findall(sentence):
-        if w.isdigit():
-            w = "0"
-        elif _MASKED.fullmatch(w):
-            w = "<mask>"
-        elif regex.search(r"\d|[@$]", w) and regex.search(r"[a-z]", w):
-            w = w.translate(LEET)
-        out.append(w)
-    return out
+@lru_cache(maxsize=200_000)
+def token(w: str) -> tuple[str, int, int]:
+    """A token without disguise, its slot and the slot of its letters in order (0 for single characters)."""
+    if w.isdigit():
+        w = "0"
+    elif _MASKED.fullmatch(w):
+        w = "<mask>"
+    elif not w.isalpha() and regex.search(r"\d|[@$]", w) and regex.search(r"[a-z]", w):
+        w = w.translate(LEET)
+    return w, slot(w), 0 if len(w) == 1 else slot("~" + w[0] + "".join(sorted(w)))
 
 
-def slots(words: list[str]) -> list[tuple[int, int]]:
-    """Hash slots of each token: the word, and its letters in order (for Han and kana: the pair with the next)."""
-    out = []
-    for i, w in enumerate(words):
-        other = (w + words[i + 1] if i + 1 < len(words) else w) if len(w) == 1 else w[0] + "".join(sorted(w))
-        out.append((crc32(w.encode()) % (SLOTS - 2) + 2, crc32(("~" + other).encode()) % (SLOTS - 2) + 2))
-    return out
+@lru_cache(maxsize=200_000)
+def slot(text: str) -> int:
+    return crc32(text.encode()) % (SLOTS - 2) + 2
+
+
+def slots(sentence: str) -> list[tuple[int, int]]:
+    """Hash slots of each token: the word, and its letters in order (for single characters: the pair with the next)."""
+    found = [token(w) for w in _TOKEN.findall(sentence)]
+    return [(a, b or slot("~" + w + (found[i + 1][0] if i + 1 < len(found) else ""))) for i, (w, a, b) in enumerate(found)]
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
     """Token slots of every sentence; a long sentence gives windows that overlap by half."""
     out = []
     for part in _END.split(plain(text)):
-        s = slots(tokens(part)) if part else []
+        s = slots(part) if part else []
         if not s:
             continue
         step = WINDOW // 2
@@ -114,7 +116,7 @@ def as_ids(parts: list[list[tuple[int, int]]]) -> np.ndarray:
 class AbuseModel:
     net: ConvNet
     known: np.ndarray
-    threshold: float = 0.5
+    threshold: float = 0.4
     by_language: dict[str, float] = field(default_factory=dict)
 
     def ids(self, parts: list[list[tuple[int, int]]]) -> np.ndarray:
