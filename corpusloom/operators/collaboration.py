@@ -67,9 +67,10 @@ def lock_state(log: DataFrame) -> DataFrame:
     another holds is void, one by the holder changes nothing; release frees for the holder, force for anyone.
     """
     order = F.sort_array(F.collect_list(F.struct("at", "kind", "coder_id")))
-    free = F.struct(F.lit(None).cast("long").alias("who"), F.lit(None).cast("timestamp").alias("since"))
+    kind = log.schema["at"].dataType
+    free = F.struct(F.lit(None).cast("long").alias("who"), F.lit(None).cast(kind).alias("since"))
     step = lambda acc, e: (
-        F.when((e["kind"] == "acquire") & acc["who"].isNull(), F.struct(e["coder_id"].cast("long").alias("who"), e["at"].cast("timestamp").alias("since")))
+        F.when((e["kind"] == "acquire") & acc["who"].isNull(), F.struct(e["coder_id"].cast("long").alias("who"), e["at"].alias("since")))
         .when((e["kind"] == "force") | ((e["kind"] == "release") & (e["coder_id"] == acc["who"])), free)
         .otherwise(acc)
     )

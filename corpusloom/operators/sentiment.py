@@ -107,7 +107,7 @@ def score_large(df: DataFrame, key: str, text: str, lexicon: DataFrame, negation
     s = valued.groupBy(key).agg(F.avg("p").alias("m"), F.count_if(F.col("p") > 0).alias("pos"), F.count_if(F.col("p") < 0).alias("neg"), F.count("*").alias("n"))
     s = s.withColumnRenamed(key, "_key")
     return df.select(key).join(s, F.col(key) == F.col("_key"), "left").select(
-        key, F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "m")), F.lit(0.0)).alias("polarity"), *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (("pos", "n_positive"), ("neg", "n_negative"), ("n", "n_words"))]
+        key, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("m", F.lit(0.0)))).alias("polarity"), *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (("pos", "n_positive"), ("neg", "n_negative"), ("n", "n_words"))]
     )
 
 

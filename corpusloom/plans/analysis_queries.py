@@ -217,7 +217,7 @@ def _scored(source: str) -> str:
 w AS (SELECT k, l, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM tok), lex(word, p) AS (VALUES {_VALUES}),
 h AS (SELECT k, CASE WHEN len(list_filter(l[greatest(i - 3, 1):i - 1], lambda x: list_contains([{_NEGS}], x) OR suffix(x, 'n''t'))) > 0 THEN -p ELSE p END AS p FROM w JOIN lex USING (word)),
 a AS (SELECT k, avg(p) AS m, count(*) FILTER (p > 0) AS pos, count(*) FILTER (p < 0) AS neg, count(*) AS n FROM h GROUP BY 1),
-scored AS (SELECT k, coalesce(greatest(-1.0, least(1.0, m)), 0.0) AS polarity, coalesce(pos, 0) AS n_positive, coalesce(neg, 0) AS n_negative, coalesce(n, 0) AS n_words FROM src LEFT JOIN a USING (k))"""
+scored AS (SELECT k, greatest(-1.0, least(1.0, coalesce(m, 0.0))) AS polarity, coalesce(pos, 0) AS n_positive, coalesce(neg, 0) AS n_negative, coalesce(n, 0) AS n_words FROM src LEFT JOIN a USING (k))"""
 
 
 _EN = "SELECT id AS k, coalesce(body, '') AS t FROM qda_document WHERE language = 'en'"

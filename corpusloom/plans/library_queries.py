@@ -317,7 +317,7 @@ def mut_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query(
     "src_biblio",
-    """SELECT DISTINCT entry_id, citation_key AS key, title, coalesce(array_to_string(list_filter(authors, lambda a: a IS NOT NULL AND a <> ''), ';'), '') AS authors, year, language, source FROM zotero_entry WHERE citation_key IS NOT NULL""",
+    """SELECT DISTINCT entry_id, citation_key AS key, nullif(title, '') AS title, coalesce(array_to_string(list_filter(authors, lambda a: a IS NOT NULL AND a <> ''), ';'), '') AS authors, year, nullif(language, '') AS language, nullif(source, '') AS source FROM zotero_entry WHERE citation_key IS NOT NULL""",
 )
 def src_biblio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.sources.bibliography import parse_bibliography

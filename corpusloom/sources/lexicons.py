@@ -1,7 +1,6 @@
 """Polarity lexicons in their usual file forms, as (word, polarity) tables."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +11,13 @@ FORMATS = ("colon", "tab_polarity", "verb_phrases", "nouns")
 ENCODINGS = ("utf-8", "euc-jp", "cp932", "shift_jis")
 
 
-def decode_any(content: Column) -> Column:
-    """Binary content as text in the first encoding that fits; null if none does."""
-    import pandas as pd
-
+def decode_any(content: Column, encoding: str | None = None) -> Column:
+    """Binary content as text in the first encoding that fits, a given one before all others; null if none does."""
+    order = ((encoding,) if encoding else ()) + ENCODINGS
     @F.pandas_udf("string")
     def decode(s: pd.Series) -> pd.Series:
         def one(b: bytes | None) -> str | None:
-            for e in ENCODINGS if b is not None else ():
+            for e in order if b is not None else ():
                 try:
                     return bytes(b).decode(e)
                 except UnicodeDecodeError:
@@ -31,9 +29,9 @@ def decode_any(content: Column) -> Column:
     return decode(content)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Numbered lines (line_no, line) of a lexicon file in any of the encodings, blank ones and comments left out."""
-    text = spark.read.format("binaryFile").load(path).select(F.explode(F.expr("array(content)")).alias("c")).select(decode_any(F.col("c")).alias("t"))
+    text = spark.read.format("binaryFile").load(path).select(F.explode(F.expr("array(content)")).alias("c")).select(decode_any(F.col("c"), encoding).alias("t"))
     return numbered(text, "t")
 
 

@@ -11,7 +11,7 @@ from corpusloom.sources.markdown import front_matter
 
 def watch_markdown(spark: SparkSession, path: str) -> DataFrame:
     """A stream of file_path, title, language, body of .md files below a path."""
-    src = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
+    src = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     meta, body = front_matter(F.col("value"))
     d = src.withColumn("file_path", F.input_file_name()).withColumn("_m", meta).withColumn("body", body)
     return d.select("file_path", F.coalesce(F.col("_m")["title"], F.regexp_extract("file_path", r"([^/]+?)\.md$", 1)).alias("title"), F.col("_m")["language"].alias("language"), "body")
