@@ -61,10 +61,16 @@ SEED_CLEAN = (
 )
 
 
+def _join(m: regex.Match) -> str:
+    """A spaced word in one; if its first letter may be a word of its own, without that too."""
+    w = regex.sub(r"[ .\-_·]", "", m.group(0))
+    return w + " " + w[1:] if w[0] in "aeioyаиоуя" else w
+
+
 def plain(text: str) -> str:
     """Lower case without disguises: invisible marks, foreign letters, spaced words, figures for letters."""
     t = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower()
-    t = _SPACED.sub(lambda m: regex.sub(r"[ .\-_·]", "", m.group(0)), t)
+    t = _SPACED.sub(_join, t)
     if regex.search(r"[аеорсухіјѕԁһοα]", t):
         t = regex.sub(r"[\p{L}\p{M}]+", lambda m: m.group(0).translate(LOOKALIKE) if regex.search(r"[a-z]", m.group(0)) else m.group(0), t)
     return t

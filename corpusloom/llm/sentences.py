@@ -206,7 +206,7 @@ def gaps(p: str, span: Span) -> Iterator[tuple[int, list[str]]]:
 
 STOP_PRIOR = {
     "s=。": 2.0, "s=！": 2.0, "s=？": 2.0, "s=।": 2.0, "s=!": 0.5, "s=?": 0.5, "r=upper": 0.5, "r=lower": -5.0, "r=mark": -4.0, "r=close": -4.0, "abbr": -4.0, "initial=U": -3.5, "initial=l": -3.0, "dots=True": -0.5,
-    "r.=lower": -1.0, "num=1": -1.0, "num=2": -1.0, "R1=と": -4.0, "R1=に": -2.0, "cl=样说:True": -4.0, "cl=説道:True": -3.0, "L3=られず…": -3.0,
+    "r.=lower": -1.0, "num=1": -1.0, "num=2": -1.0, "R1=と": -7.0, "R1=に": -4.0, "cl=样说:True": -4.0, "cl=説道:True": -3.0, "L3=られず…": -3.0,
 }
 GAP_PRIOR = {"g1=候": 1.5, "g1=也": 1.5, "g1=事": 1.0, "g1=件": 0.5, "g2=如件": 2.0, "h1=一": 1.0, "h2=然ル": 2.0, "h2=依之": 2.0, "h2=猶又": 2.0, "h2=扨又": 2.0, "h1=尤": 1.5, "h2=ニ付": -3.0, "h2=得共": -3.0, "h1=而": -3.0, "h1=間": -2.0, "h1=処": -2.0, "h1=様": -2.0}
 
