@@ -32,6 +32,8 @@ FIT_FLAGGED, FIT_CLEAN, FIT_OTHER, WINDOW, SLOTS = 2500, 4000, 3000, 32, 1 << 15
 FIT_SENTENCES, FOLDS = 14_000, 3
 #: A suspect sentence of which so large a share of token pairs is hardly ever seen elsewhere stays suspect by itself.
 NOVEL = 0.7
+#: Least excess (natural log) of a suspect sentence's token pairs in flagged over clean documents.
+EXCESS = 1.0
 #: Held-out flagged documents a language needs for a threshold of its own.
 OWN_THRESHOLD = 25
 WIDTHS, DIM, FILTERS = (1, 2, 3, 4), 24, 24
@@ -205,6 +207,14 @@ def fit_abuse(rows: list[tuple[str, str | None, bool | None]], seed: int = 0) ->
         pairs = list(zip(w, w[1:]))
         return len(w) >= 5 and sum(common[p] <= rare for p in pairs) >= NOVEL * len(pairs)
 
+    here = Counter(p for d in suspects for p in {p for w in d for p in zip(w, w[1:])})
+    n_here, n_clean = max(1, sum(map(len, suspects))), max(1, len(clean))
+
+    def excess(w: tuple) -> float:
+        """Mean log of how much commoner the sentence's token pairs are in other flagged documents than in clean ones."""
+        pairs = list(zip(w, w[1:])) or [(w[0], w[0])]
+        return float(np.mean([np.log((here[p] - 1 + 0.5) / n_here) - np.log((common[p] + 0.5) / n_clean) for p in pairs]))
+
     fold = rng.permutation(len(suspects)) % FOLDS
     # with too few flagged documents to check one against the others, only what is seen nowhere else counts
     found = suspects if len(suspects) >= 2 * FOLDS else [[w for w in d if novel(w)] for d in suspects]
@@ -216,7 +226,7 @@ def fit_abuse(rows: list[tuple[str, str | None, bool | None]], seed: int = 0) ->
             model = _train(pos + seed_pos, clean + seed_neg, known, seed + 10 * turn + k, 2)
             for i in np.flatnonzero(fold == k):
                 p = softmax(model.net.logits(model.ids(suspects[i])))[:, 1]
-                pick[i] = [w for w, v in zip(suspects[i], p) if v > 0.5 or novel(w)]
+                pick[i] = [w for w, v in zip(suspects[i], p) if v > 0.5 and excess(w) > EXCESS or novel(w)]
             bad += softmax(model.net.logits(model.ids(clean)))[:, 1] > 0.4 if clean else 0
         found = pick
         # one that nobody reviewed goes on the first suspicion, a clean one, which reviewers may have overlooked, on the last
