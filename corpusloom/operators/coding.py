@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.session import spread
 
 
 def distinct_segments(segments: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def layers(segments: DataFrame) -> DataFrame:
             heapq.heappush(free, (end, layer))
         return pdf.assign(layer=out)[["id", "document_id", "run", "layer"]]
 
-    return runs.groupBy("document_id", "run").applyInPandas(assign, "id long, document_id long, run long, layer int").select("id", "document_id", "layer")
+    return spread(runs, "document_id", "run").groupBy("document_id", "run").applyInPandas(assign, "id long, document_id long, run long, layer int").select("id", "document_id", "layer")
 
 
 def code_frequency(segments: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,6 +77,11 @@ def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataF
     return out
 
 
-def code_points_order(c: Column) -> Column:
-    """Spark's binary UTF-8 order is the order by code point, so the column itself sorts right."""
-    return c
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitioned by keys to the session's number of shuffle partitions.
+
+    For groups that go to Python: their rows are few but take long, and a plan that looks at bytes alone would
+    put them into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -21,6 +21,11 @@ def canon(v):
     return v
 
 
+def kind(t):
+    t = str(t)
+    return "string" if "string" in t else t
+
+
 def digest(table):
     names = sorted(table.column_names)
     rows = sorted(repr(tuple(canon(r[n]) for n in names)) for r in table.to_pylist())
@@ -44,12 +49,17 @@ def run(sf, names=()):
             continue
         t = time.time()
         try:
-            a = digest(f(spark, sf).toArrow())
+            ours = f(spark, sf).toArrow()
+            a = digest(ours)
             took = time.time() - t
             if name not in o:
                 print(f"rows {name} {a[1]} {took:.1f}s", flush=True)
                 continue
-            b = digest(con.execute(o[name]).to_arrow_table())
+            theirs = con.sql(o[name]).to_arrow_table()
+            b = digest(theirs)
+            kinds = [(n, str(ours.schema.field(n).type), str(theirs.schema.field(n).type)) for n in set(a[0]) & set(b[0]) if kind(ours.schema.field(n).type) != kind(theirs.schema.field(n).type)]
+            if kinds:
+                print("types", name, kinds, flush=True)
         except Exception as x:  # noqa: BLE001
             bad.append(name)
             print(f"FAIL {name} {str(x)[:1500]}", flush=True)
