@@ -46,7 +46,7 @@ def span_labels(segments: DataFrame, units: DataFrame) -> DataFrame:
     return best.select((-F.col("m.k")).alias("unit_id"), "document_id", "coder_id", "code_id").distinct()
 
 
-def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12, theta0: float = 0.7, smooth: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12, theta0: float = 0.7, smooth: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """Posterior codes and annotator competence.
 
     ``labels``: unit_id, coder_id, code_id and ``space``, the label set a unit chooses from (for codes: the

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut, lookup
+from corpusloom.session import cut, lookup, spread
 
 #: A name part with so few partners may be a misspelt given name, so it opens a block too.
 FEW_PARTNERS = 3
@@ -354,7 +354,7 @@ def resolve_names(names: DataFrame, col: str = "name") -> DataFrame:
         size = {k: c.count(k) for k in set(c)}
         return pd.DataFrame({"name": pdf.name, "identity": ["p:" + lead[k] for k in c], "n": [size[k] for k in c]})
 
-    found = known.select("name", "given", "initials", "typed", "block", "g0", "dg").groupBy("block").applyInPandas(run, "name string, identity string, n long")
+    found = spread(known.select("name", "given", "initials", "typed", "block", "g0", "dg"), "block").groupBy("block").applyInPandas(run, "name string, identity string, n long")
     # a spelling in two blocks goes where it has more company
     person = found.groupBy("name").agg(F.max(F.struct("n", "identity")).alias("m")).select("name", F.col("m.identity").alias("identity"))
     return cut(han.unionByName(org).unionByName(person))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, spread
 
 #: Items of a shard, on average.
 SHARD_ITEMS = 20_000
@@ -76,4 +76,4 @@ def pack(items: DataFrame, id_col: str = "doc_id", tokens_col: str = "n_tokens",
         box = fill(size, np.maximum(size - 1, 0), capacity, segments, loss_capacity)
         return pdf.assign(container_id=(np.int64(key[0]) << 32) + box)[["container_id", "doc_id", "piece", "tok_start", "tok_end", "n_pieces"]]
 
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(run, "container_id long, doc_id long, piece int, tok_start long, tok_end long, n_pieces int")
+    return spread(pieces.withColumn("shard", shard), "shard").groupBy("shard").applyInPandas(run, "container_id long, doc_id long, piece int, tok_start long, tok_end long, n_pieces int")
