@@ -185,11 +185,14 @@ def fit_abuse(rows: list[tuple[str, str | None, bool | None]], seed: int = 0) ->
     hold = (rng.random(len(rows)) < 0.2) & np.array([f is not None for _, _, f in rows], bool)
     docs = {k: [windows(t) for (t, _, f), h in zip(rows, hold) if f is k and t and not h] for k in (True, False, None)}
     seen = Counter(tuple(w) for d in docs[False] for w in d)
-    clean = list(seen)
-    clean = [clean[i] for i in rng.permutation(len(clean))[:FIT_SENTENCES]]
-    other = list({tuple(w) for d in docs[None] for w in d} - seen.keys())
-    other.sort()
-    clean += [other[i] for i in rng.permutation(len(other))[:FIT_SENTENCES]]
+    unseen = Counter(w for d in docs[None] for w in {tuple(w) for w in d} if w not in seen)
+
+    def commonest(count: Counter) -> list[tuple]:
+        """The commonest sentences, in random order among equals: a common one left out would be taken for flagged."""
+        names = sorted(count)
+        return [names[i] for i in sorted(rng.permutation(len(names)), key=lambda i: -count[names[i]])[:FIT_SENTENCES]]
+
+    clean = commonest(seen) + commonest(unseen)
     suspects = [[w for w in {tuple(w) for w in d} if w not in seen] for d in docs[True]]
     suspects = [sorted(d) for d in suspects if d]
     seed_pos = [w for t in SEED_FLAGGED for w in windows(t)]
@@ -210,10 +213,10 @@ def fit_abuse(rows: list[tuple[str, str | None, bool | None]], seed: int = 0) ->
     here = Counter(p for d in suspects for p in {p for w in d for p in zip(w, w[1:])})
     n_here, n_clean = max(1, sum(map(len, suspects))), max(1, len(clean))
 
-    def excess(w: tuple) -> float:
-        """Mean log of how much commoner the sentence's token pairs are in other flagged documents than in clean ones."""
+    def excess(w: tuple, own: int) -> float:
+        """Mean log of how much commoner the sentence's token pairs are in (other) flagged documents than in clean ones."""
         pairs = list(zip(w, w[1:])) or [(w[0], w[0])]
-        return float(np.mean([np.log((here[p] - 1 + 0.5) / n_here) - np.log((common[p] + 0.5) / n_clean) for p in pairs]))
+        return float(np.mean([np.log((here[p] - own + 0.5) / n_here) - np.log((common[p] + 0.5) / n_clean) for p in pairs]))
 
     fold = rng.permutation(len(suspects)) % FOLDS
     # with too few flagged documents to check one against the others, only what is seen nowhere else counts
@@ -226,11 +229,13 @@ def fit_abuse(rows: list[tuple[str, str | None, bool | None]], seed: int = 0) ->
             model = _train(pos + seed_pos, clean + seed_neg, known, seed + 10 * turn + k, 2)
             for i in np.flatnonzero(fold == k):
                 p = softmax(model.net.logits(model.ids(suspects[i])))[:, 1]
-                pick[i] = [w for w, v in zip(suspects[i], p) if v > 0.5 and excess(w) > EXCESS or novel(w)]
+                pick[i] = [w for w, v in zip(suspects[i], p) if v > 0.5 and excess(w, 1) > EXCESS or novel(w)]
             bad += softmax(model.net.logits(model.ids(clean)))[:, 1] > 0.4 if clean else 0
         found = pick
-        # one that nobody reviewed goes on the first suspicion, a clean one, which reviewers may have overlooked, on the last
-        clean = [w for w, n in zip(clean, bad) if n < (FOLDS if w in seen else 1)]
+        # one that nobody reviewed goes on the first suspicion, a clean one, which reviewers may have overlooked, on the
+        # last; but not what is no commoner in flagged documents
+        clean = [w for w, n in zip(clean, bad) if n < (FOLDS if w in seen else 1) or excess(w, 0) <= EXCESS]
+    clean += [w for w in clean for _ in range(min(seen[w], 4) - 1)]
     rest = [w for d, f in zip(suspects, found) for w in d if w not in set(f)] if found is not suspects else []
     model = _train([w for d in found for w in d] + seed_pos, clean + rest + seed_neg, known, seed + 99, 4)
     held = [r for r, h in zip(rows, hold) if h] or [r for r in rows if r[2] is not None]
