@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.convnet import ConvNet, softmax
 from corpusloom.llm.language import language_code
+from corpusloom.llm.sentences import FIT_CHARS
 
 #: Documents fitted on (flagged, clean and not reviewed), tokens of a window, hash slots.
 FIT_FLAGGED, FIT_CLEAN, FIT_OTHER, WINDOW, SLOTS = 2500, 4000, 3000, 32, 1 << 15
@@ -261,12 +262,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     bad = F.sum(F.when(F.col("label") == "clean", -1).otherwise(1))
     votes = labels.select(id_col, "coder_id", "label").where(F.col("label").isNotNull()).distinct().groupBy(F.col(id_col).alias("_d")).agg(bad.alias("v")).where("v <> 0")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_g")).where("_t is not null")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_g")).where(F.length("_t") <= FIT_CHARS)
     base = texts.join(votes, F.col("_id") == F.col("_d"))
     rows: list[tuple[str, str | None, bool | None]] = []
     for test, n in (("v > 0", FIT_FLAGGED), ("v < 0", FIT_CLEAN)):
         rows += [(r[1], r[2], r[3] > 0) for r in base.where(test).orderBy(F.xxhash64("_id"), "_id").limit(n).select("_id", "_t", "_g", "v").collect()]
-    near = F.length("_t") < 5000  # the unreviewed ones only add common sentences; long texts add nothing new
+    near = F.length("_t") < 5000  # the unreviewed ones only add common sentences
     rows += [(r[0], r[1], None) for r in texts.where(near).join(votes, F.col("_id") == F.col("_d"), "left_anti").orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(FIT_OTHER).select("_t", "_g").collect()]
     return fit_abuse(rows)
 

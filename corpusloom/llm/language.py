@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.convnet import ConvNet, softmax
-from corpusloom.llm.sentences import SentenceModel, fit_sentences
+from corpusloom.llm.sentences import FIT_CHARS, SentenceModel, fit_sentences
 
 #: Bytes of a window, labelled documents fitted on, windows of each language fitted on.
 WINDOW, FIT_DOCS, FIT_WINDOWS = 128, 6000, 2500
@@ -163,7 +163,7 @@ def fit_language(rows: list[tuple[str, str | None]], seed: int = 0) -> LanguageM
 
 def fit_on(df: DataFrame, id_col: str = "id", text_col: str = "body", label_col: str = "language", docs: int = FIT_DOCS) -> LanguageModel:
     """Fit on the ``docs`` documents with the smallest hash of the id, a bounded sample of labelled rows."""
-    rows = df.where(F.col(text_col).isNotNull()).select(id_col, text_col, label_col).orderBy(F.xxhash64(id_col), id_col).limit(docs).collect()
+    rows = df.where(F.length(text_col) <= FIT_CHARS).select(id_col, text_col, label_col).orderBy(F.xxhash64(id_col), id_col).limit(docs).collect()
     return fit_language([(r[1], r[2]) for r in rows])
 
 

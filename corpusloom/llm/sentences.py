@@ -26,6 +26,8 @@ from corpusloom.llm import maxent
 
 #: Documents the model is fitted on (those with the smallest hash of the id).
 FIT_DOCS = 4000
+#: Longer texts are not fitted on, so that the sample has a bound in bytes too.
+FIT_CHARS = 20_000
 #: A context so much rarer (natural log) at reliable boundaries than inside paragraphs is no boundary.
 STOP_LEVEL, GAP_LEVEL = -1.5, 0.0
 
@@ -295,7 +297,7 @@ def fit_sentences(texts: list[str], seed: int = 0) -> SentenceModel:
 
 def fit_on(df: DataFrame, id_col: str, text_col: str, docs: int = FIT_DOCS) -> SentenceModel:
     """Fit on the ``docs`` rows with the smallest hash of the id (no row is labelled; the bound is on fitting only)."""
-    rows = df.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col).limit(docs).collect()
+    rows = df.where(F.length(text_col) <= FIT_CHARS).select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col).limit(docs).collect()
     return fit_sentences([r[1] for r in rows])
 
 
