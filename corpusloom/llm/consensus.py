@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, lookup
 
 #: Characters per bucket of the span join.
 SPAN_BUCKET = 256
@@ -57,7 +57,7 @@ def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12,
     """
     lab = labels.select("unit_id", "coder_id", "code_id", F.col(space).alias("space")).dropna().distinct()
     sizes = lab.select("space", "code_id").distinct().groupBy("space").agg(F.count("*").alias("k"))
-    lab = cut(lab.join(sizes, "space"))
+    lab = cut(lookup(cut(lab), "space", sizes.select(F.col("space").alias("_s"), "k"), "_s").drop("_s"))
 
     given = lab.groupBy("coder_id", "space", "code_id").agg(F.first("k").alias("k"), F.count("*").alias("n"))
     own = Window.partitionBy("coder_id", "space")
@@ -81,11 +81,13 @@ def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12,
             break
         truthful = F.col("posterior") * F.col("odds") / (1 + F.col("odds"))
         step = scored.groupBy("coder_id", "space", "code_id").agg(F.first("k").alias("k"), F.count("*").alias("n"), F.sum(truthful).alias("s"))
-        coder = Window.partitionBy("coder_id")
-        params = step.select(
+        step = cut(step)
+        # one row a coder; Spark broadcasts it while its size allows
+        total = step.groupBy(F.col("coder_id").alias("_c")).agg(((F.sum("s") + 1.4) / (F.sum("n") + 2.0)).alias("theta"))
+        params = step.join(total, F.col("coder_id") == F.col("_c")).select(
             "coder_id",
             "code_id",
-            ((F.sum("s").over(coder) + 1.4) / (F.sum("n").over(coder) + 2.0)).alias("theta"),
+            "theta",
             ((F.col("n") - F.col("s") + smooth / F.col("k")) / (F.sum(F.col("n") - F.col("s")).over(own) + smooth)).alias("xi"),
         )
     posterior = scored.groupBy("unit_id", "code_id").agg(F.first("posterior").alias("posterior"))

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, lookup, spread
 
 #: Items of a basket that are paired in one row; larger baskets are paired block by block.
 BLOCK = 64
 #: Width of a class of -log10 p for false-discovery control, and the largest value told apart.
 BIN, BIN_MAX = 0.01, 300.0
+#: Distinct triples of counts that one task takes.
+TRIPLES = 200_000
 
 
 def baskets(rows: DataFrame, group: str, basket: str, item: str) -> DataFrame:
@@ -146,7 +148,14 @@ def surprising_pairs(rows: DataFrame, group: str, basket: str, item: str) -> Dat
     lo, hi = F.least("k_a", "k_b"), F.greatest("k_a", "k_b")
     # a group's distinct triples of counts: the tail depends on nothing else
     triples = pairs.select("g", lo.alias("k_a"), hi.alias("k_b"), "n_ab").distinct()
-    tails = triples.groupBy("g").cogroup(classes.groupBy("g")).applyInPandas(lambda key, l, r: _tails(key, r, l), "g long, k_a long, k_b long, n_ab long, expected double, log10_p double")
+    # a group with very many triples is cut into parts, each with the group's (few) classes
+    triples = cut(triples)
+    parts = triples.groupBy(F.col("g").alias("pg")).agg(F.ceil(F.count("*") / TRIPLES).cast("int").alias("parts"))
+    cutted = lookup(triples, "g", parts, "pg").withColumn("part", F.pmod(F.xxhash64("k_a", "k_b", "n_ab"), F.col("parts")).cast("int"))
+    classes = classes.join(parts, F.col("g") == F.col("pg")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    classes = classes.select(F.col("g").alias("cg"), "kind", "degree", "m", "part")
+    left, right = spread(cutted.drop("pg", "parts"), "g", "part").groupBy("g", "part"), spread(classes, "cg", "part").groupBy("cg", "part")
+    tails = left.cogroup(right).applyInPandas(lambda key, t, c: _tails(key, c, t), "g long, k_a long, k_b long, n_ab long, expected double, log10_p double")
     tails = tails.select(F.col("g").alias("tg"), F.col("k_a").alias("t_a"), F.col("k_b").alias("t_b"), F.col("n_ab").alias("t_n"), "expected", "log10_p")
     on = (F.col("g") == F.col("tg")) & (lo == F.col("t_a")) & (hi == F.col("t_b")) & (F.col("n_ab") == F.col("t_n"))
     scored = cut(pairs.join(tails, on).withColumn("bin", F.floor(-F.col("log10_p") / BIN).cast("int")))
