@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -210,6 +210,37 @@ def fit_lines(pages: list[tuple[list[list[Word]], dict[int, int]]]) -> LineModel
     return LineModel(np.stack(w0), np.log(moves / moves.sum(1, keepdims=True)) * 0.5)
 
 
+def confusions() -> dict[str, list[str]]:
+    """What is read -> what may truly stand there."""
+    back: dict[str, list[str]] = {}
+    for true, read in CONFUSIONS:
+        if true != read:
+            back.setdefault(read.lower(), []).append(true)
+    return back
+
+
+def false_readings(low: str, back: dict[str, list[str]], begins: Callable[[str], bool], known: Callable[[str], bool]) -> dict[str, int]:
+    """Known words that at most three false readings turn into ``low``, with the least number of those.
+
+    One reading for every three letters is allowed. Only what begins a known word is followed, so the cost does
+    not grow with the number of places where a false reading may stand.
+    """
+    most = max(1, min(3, len(low) // 3))
+    out: dict[str, int] = {}
+    todo = [(0, "", 0)]
+    while todo:
+        i, s, n = todo.pop()
+        if i == len(low):
+            if n and n < out.get(s, 9) and known(s):
+                out[s] = n
+            continue
+        steps = [(1, low[i], n)]
+        if n < most:
+            steps += [(k, t, n + 1) for k in (1, 2) if i + k <= len(low) for t in back.get(low[i : i + k], ())]
+        todo += [(i + k, s + t, m) for k, t, m in steps if begins(s + t)]
+    return out
+
+
 @dataclass
 class Lexicon:
     """Words and character trigrams of typed texts with their counts."""
@@ -229,10 +260,9 @@ class Lexicon:
                 seen.setdefault(script(c), Counter())[c] += 1
         self.alphabet = {k: "".join(c for c, _ in v.most_common(64)) for k, v in seen.items()}
         self.total = sum(n for n, _ in self.words.values()) or 1
-        self.back: dict[str, list[str]] = {}
-        for true, read in CONFUSIONS:
-            if true != read:
-                self.back.setdefault(read.lower(), []).append(true)
+        self.back = confusions()
+        self.begins = {w[:i] for w in self.words for i in range(1, len(w) + 1)}
+        self.more: set[str] = set()
 
     def count(self, w: str) -> int:
         return self.words.get(w.lower(), (0, ""))[0]
@@ -248,27 +278,9 @@ class Lexicon:
 
     def readings(self, low: str) -> list[tuple[float, str]]:
         """Known words that common false readings turn into ``low``."""
-        spots = [(i, len(r), t) for i in range(len(low)) for r in (low[i], low[i : i + 2]) if r and len(r) <= len(low) - i for t in self.back.get(r, ())]
-        spots = list(dict.fromkeys(spots))
-        most = max(1, min(3, len(low) // 3))
-        out = []
-        for n in range(1, most + 1):
-            if n == 3 and len(spots) > 14:
-                break
-            for pick in combinations(spots, n):
-                if any(a[0] + a[1] > b[0] for a, b in zip(pick, pick[1:])):
-                    continue
-                s, at = "", 0
-                for i, k, t in pick:
-                    s += low[at:i] + t
-                    at = i + k
-                s += low[at:]
-                c = self.words.get(s)
-                if c:
-                    out.append((math.log10(c[0]) - 1.5 * n, s))
-            if out:
-                break
-        return out
+        found = false_readings(low, self.back, lambda p: p in self.begins or p in self.more, lambda s: s in self.words)
+        least = min(found.values(), default=0)
+        return [(math.log10(self.words[s][0]) - 1.5 * n, s) for s, n in found.items() if n == least]
 
     def near(self, low: str) -> list[tuple[float, str]]:
         """Known words one change of any letter away."""
