@@ -12,8 +12,10 @@ A page is the unit of work; what a page needs from its successor, its first word
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import maxent
-from corpusloom.session import cut, lookup
+from corpusloom.session import cut, lookup, spread
 
-#: Pages the line model is fitted on; lexicon entries must have this share of all tokens, so at most 1/share exist.
+#: Pages the line model is fitted on; lexicon entries with this share of all tokens, at most 1/share, are held in memory.
 FIT_PAGES, LEAST_SHARE = 800, 5e-6
+#: Bits of the filter that tells candidate readings of rarer entries apart before they are looked up.
+FILTER_BITS = 1 << 25
 STATES = ("header", "page_number", "body", "break")
 
 _NUMBER = r"(?:[-—–(\[·]\s*)?(?:(?:p|pp|S|s|pág|стр|с|f|fol)\.\s*(?=\d))?(?:\d{1,4}|[IVXLCDM]{1,9}|[ivxl]{1,9}|[０-９]{1,4}|[〇一二三四五六七八九十百]{1,5})(?:\s*[-—–)\]·.頁页])*"
@@ -243,10 +247,16 @@ def false_readings(low: str, back: dict[str, list[str]], begins: Callable[[str],
 
 @dataclass
 class Lexicon:
-    """Words and character trigrams of typed texts with their counts."""
+    """Words and character trigrams of typed texts with their counts.
+
+    ``letters`` and ``total`` are those of all words where ``words`` are not all of them; ``extend`` lends it the
+    rarer entries that a page may need.
+    """
 
     words: dict[str, tuple[int, str]]
     trigrams: dict[str, int]
+    letters: list[tuple[str, int]] | None = None
+    total: int = 0
     known: dict[str, str | None] = field(default_factory=dict)
     thirds: dict[str, list[str]] = field(default_factory=dict)
     alphabet: dict[str, str] = field(default_factory=dict)
@@ -254,16 +264,32 @@ class Lexicon:
     def __post_init__(self) -> None:
         for t in self.trigrams:
             self.thirds.setdefault(t[:2], []).append(t[2])
+        letters = Counter(c for w in self.words for c in w) if self.letters is None else Counter(dict(self.letters))
         seen: dict[str, Counter] = {}
-        for w, (n, _) in self.words.items():
-            for c in w:
-                seen.setdefault(script(c), Counter())[c] += 1
+        for c, n in sorted(letters.items(), key=lambda x: (-x[1], x[0])):
+            seen.setdefault(script(c), Counter())[c] += n
         self.alphabet = {k: "".join(c for c, _ in v.most_common(64)) for k, v in seen.items()}
-        self.total = sum(n for n, _ in self.words.values()) or 1
+        self.total = self.total or sum(n for n, _ in self.words.values()) or 1
         self.back = confusions()
         self.begins = {w[:i] for w in self.words for i in range(1, len(w) + 1)}
         self.more: set[str] = set()
 
+    @contextmanager
+    def extend(self, words: dict[str, tuple[int, str]], trigrams: dict[str, int]) -> Iterator[None]:
+        """Within, the lexicon has these entries too; none of them is in it already."""
+        self.words.update(words)
+        self.trigrams.update(trigrams)
+        self.more = {w[:i] for w in words for i in range(1, len(w) + 1)}
+        for t in trigrams:
+            self.thirds.setdefault(t[:2], []).append(t[2])
+        yield
+        for w in words:
+            del self.words[w]
+        for t in trigrams:
+            del self.trigrams[t]
+            self.thirds[t[:2]].remove(t[2])
+        self.more = set()
+
     def count(self, w: str) -> int:
         return self.words.get(w.lower(), (0, ""))[0]
 
@@ -282,21 +308,34 @@ class Lexicon:
         least = min(found.values(), default=0)
         return [(math.log10(self.words[s][0]) - 1.5 * n, s) for s, n in found.items() if n == least]
 
-    def near(self, low: str) -> list[tuple[float, str]]:
-        """Known words one change of any letter away."""
+    def changed(self, low: str) -> Iterator[str]:
+        """``low`` with one change of any letter."""
         letters = self.alphabet.get(script(next((c for c in low if c.isalpha()), low[0])), "")
-        out = []
         for i in range(len(low) + 1):
-            tries = [low[:i] + low[i + 1 :]] if i < len(low) else []
-            tries += [low[:i] + c + low[i:] for c in letters]
             if i < len(low):
-                tries += [low[:i] + c + low[i + 1 :] for c in letters]
-            for s in tries:
-                c = self.words.get(s)
-                if c and s != low and c[0] >= 5:
-                    out.append((math.log10(c[0]) - 3, s))
+                yield low[:i] + low[i + 1 :]
+            yield from (low[:i] + c + low[i:] for c in letters)
+            if i < len(low):
+                yield from (low[:i] + c + low[i + 1 :] for c in letters)
+
+    def near(self, low: str) -> list[tuple[float, str]]:
+        """Known words one change of any letter away."""
+        out = []
+        for s in self.changed(low):
+            c = self.words.get(s)
+            if c and s != low and c[0] >= 5:
+                out.append((math.log10(c[0]) - 3, s))
         return out
 
+    def candidates(self, low: str, bits: bytes) -> set[str]:
+        """Words of the filter ``bits`` that ``low`` may turn out to be, to hold or to be misread from."""
+        out = {low, *(p for i in range(1, len(low)) for p in (low[:i], low[i:]))}
+        if len(low) >= 5:
+            out.update(self.changed(low))
+        # the filter holds the beginnings of words too
+        out.update(false_readings(low, self.back, lambda p: in_filter(p, bits), lambda s: True))
+        return {s for s in out if s and in_filter(s, bits)}
+
     def split(self, low: str) -> list[tuple[float, str]]:
         """Two known words run together; parts of one letter must be very common words."""
         out = []
@@ -362,17 +401,22 @@ class Lexicon:
             return None
         return a + b if self.count(a + b) >= 2 else None
 
+    def strange_cjk(self, t: str) -> list[tuple[int, list[int]]]:
+        """Places of Han and kana characters none of whose trigrams is known, and where these begin."""
+        tri = [self.trigrams.get(t[i : i + 3], 0) for i in range(len(t) - 2)]
+        out = []
+        for i, c in enumerate(t):
+            spans = [k for k in (i - 2, i - 1, i) if 0 <= k < len(tri)]
+            if CJK.match(c) and spans and not any(tri[k] for k in spans):
+                out.append((i, spans))
+        return out
+
     def misread_cjk(self, chars: list[str]) -> dict[int, str]:
         """Characters of a run of Han or kana text that fit none of their contexts, and the one that fits all."""
         t = "".join(chars)
         out = {}
-        tri = [self.trigrams.get(t[i : i + 3], 0) for i in range(len(t) - 2)]
-        for i, c in enumerate(t):
-            if not CJK.match(c):
-                continue
-            spans = [k for k in (i - 2, i - 1, i) if 0 <= k < len(tri)]
-            if not spans or any(tri[k] for k in spans):
-                continue
+        for i, spans in self.strange_cjk(t):
+            c = t[i]
             options = set(self.thirds.get(t[i - 2 : i], ())) if i >= 2 else set()
             if not options:
                 options = {x for x in (y for g in LOOKALIKES if c in g for y in g)}
@@ -397,6 +441,15 @@ def script(c: str) -> str:
     return "cyr" if 0x400 <= o < 0x530 else "dev" if 0x900 <= o < 0x980 else "lat" if o < 0x250 else "other"
 
 
+def place(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % FILTER_BITS
+
+
+def in_filter(s: str, bits: bytes) -> bool:
+    h = place(s)
+    return bool(bits[h >> 3] >> (h & 7) & 1)
+
+
 def is_speck(text: str) -> bool:
     return bool(text) and all(c in SPECKS for c in text) and text not in ("...",)
 
@@ -412,6 +465,40 @@ def body_lines(p: Page) -> list[list[Word]]:
     return [[w for w in ws if not is_speck(w.text)] for ws, s in zip(p.lines, p.states) if s in ("body", "break")]
 
 
+def characters(flat: list[Word]) -> tuple[list[tuple[Word, int]], list[str]]:
+    """The characters of words as the trigrams have them, and the word and place each comes from."""
+    owner, chars = [], []
+    for w in flat:
+        for j, c in enumerate(w.text):
+            if c.isspace():
+                continue
+            if c.isdigit():
+                if chars and chars[-1] == "0":
+                    continue
+                c = "0"
+            owner.append((w, j))
+            chars.append(c)
+    return owner, chars
+
+
+def questions(p: Page, before: str | None, follow: str | None, lex: Lexicon) -> tuple[set[str], set[str]]:
+    """What ``repairs`` may have to know of a page beyond ``lex``: words, and trigrams with one character left open."""
+    body = [ws for ws in body_lines(p) if ws]
+    flat = [w for ws in body for w in ws]
+    words = set()
+    for w in flat:
+        words |= {core(w.text).lower(), regex.sub(r"^[^\p{L}\p{N}\p{M}!]+|[^\p{L}\p{N}\p{M}]+$", "", w.text).lower()}
+    ends = [(ws[-1].text, nxt[0].text) for ws, nxt in zip(body, body[1:])]
+    if body:
+        ends += [(x, y) for x, y in ((before, flat[0].text), (flat[-1].text, follow)) if x and y]
+    for x, y in ends:
+        a, b = core(x).lower(), core(y).lower()
+        words |= {a, b, a + b, f"{a}-{b}"}
+    t = "".join(characters(flat)[1])
+    open_ = {s for i, spans in lex.strange_cjk(t) for k in spans if len(t[k : k + 3]) == 3 for s in [t[k : i] + "\0" + t[i + 1 : k + 3]]}
+    return {w for w in words if w and w not in lex.words and LETTER.search(w) and not CJK.search(w)}, open_
+
+
 def repairs(p: Page, before: str | None, follow: str | None, lex: Lexicon) -> list[tuple[int, str, str]]:
     """(word_index, kind, repaired) of every place of a page to repair.
 
@@ -448,17 +535,7 @@ def repairs(p: Page, before: str | None, follow: str | None, lex: Lexicon) -> li
         fixed = lex.repair(w.text, w.conf)
         if fixed is not None and fixed != core(w.text):
             out.append((w.index, "misread", fixed))
-    owner, chars = [], []
-    for w in flat:
-        for j, c in enumerate(w.text):
-            if c.isspace():
-                continue
-            if c.isdigit():
-                if chars and chars[-1] == "0":
-                    continue
-                c = "0"
-            owner.append((w, j))
-            chars.append(c)
+    owner, chars = characters(flat)
     if any(CJK.match(c) for c in chars):
         fix: dict[int, dict[int, str]] = {}
         by = {w.index: w for w in flat}
@@ -545,8 +622,20 @@ def title_counts(pages: DataFrame) -> tuple[DataFrame, Titles]:
     return lookup(keys.where("edge"), "key", n, "_key").where("n is not null").groupBy("page_id", "line").agg(F.max("n").alias("n")), Titles(names)
 
 
-def lexicon(typed: DataFrame, text_col: str) -> Lexicon:
-    """Words and trigrams of typed texts that hold at least ``LEAST_SHARE`` of all: at most 1/share of each."""
+@dataclass
+class Rare:
+    """Entries of the lexicon below the share that is held in memory, as tables, and a filter of their beginnings."""
+
+    words: DataFrame
+    trigrams: DataFrame
+    bits: bytes
+
+
+def lexicon(typed: DataFrame, text_col: str) -> tuple[Lexicon, Rare | None]:
+    """Words and trigrams that typed texts have twice or more.
+
+    Those with at least ``LEAST_SHARE`` of all, at most 1/share of each, come as a lexicon, the others as tables.
+    """
     t = typed.select(F.col(text_col).alias("t")).where("t is not null")
     w = t.select(F.explode(F.split("t", r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$", "").alias("w"))
     w = w.where(F.col("w").rlike(r"\p{L}") & ~F.col("w").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]") & (F.length("w") <= 40))
@@ -557,12 +646,60 @@ def lexicon(typed: DataFrame, text_col: str) -> Lexicon:
     runs = flat.select(F.explode(F.expr(r"regexp_extract_all(t, '.?[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}0、。，！？「」『』（）…：；．“”ー々]{2,}.?', 0)")).alias("t"))
     tri = runs.where(F.length("t") >= 3).select(F.explode(F.expr("transform(sequence(1, length(t) - 2), i -> substring(t, i, 3))")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
-    def most(df: DataFrame, floor: int) -> pd.DataFrame:
-        total = df.agg(F.sum("n")).first()[0] or 0
-        return df.where(F.col("n") >= max(floor, math.ceil(total * LEAST_SHARE))).toPandas()
+    words, tri = cut(words.where("n > 1")), cut(tri.where("n > 1"))
+    sums = [df.agg(F.sum("n")).first()[0] or 0 for df in (words, tri)]
+    w, g = (F.col("n") >= math.ceil(s * LEAST_SHARE) for s in sums)
+    letters = words.select(F.explode(F.split("low", "")).alias("c")).where("c <> ''").groupBy("c").count().collect()
+    common, grams = words.where(w).toPandas(), tri.where(g).toPandas()
+    lex = Lexicon(dict(zip(common.low, zip(common.n.tolist(), common.w))), dict(zip(grams.g, grams.n.tolist())), [(r[0], r[1]) for r in letters], sums[0])
+    rare, rare_grams = words.where(~w), tri.where(~g)
+    if rare.isEmpty() and rare_grams.isEmpty():
+        return lex, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = bytearray(FILTER_BITS // 8)
+        for pdf in batches:
+            for low in pdf.low:
+                for i in range(1, len(low) + 1):
+                    h = place(low[:i])
+                    bits[h >> 3] |= 1 << (h & 7)
+        yield pd.DataFrame({"bits": [bytes(bits)]})
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rare.select("low").coalesce(8).mapInPandas(run, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(bytes(r[0]), np.uint8)
+    return lex, Rare(rare, rare_grams, bits.tobytes())
+
+
+def rare_entries(lab: DataFrame, share: object, rare: Rare) -> DataFrame:
+    """(page_id, entries): the rarer words and trigrams (word null) that a page may need."""
+    bits = lab.sparkSession.sparkContext.broadcast(rare.bits)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(*share.value)
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                page = Page(r.page_id, lines_of(_words(r.words)), list(r.states))
+                words, grams = questions(page, *(v if isinstance(v, str) else None for v in (r.before, r.follow)), lex)
+                rows += [(r.page_id, s) for s in (*words, *grams)]
+            yield pd.DataFrame(rows, columns=["page_id", "s"])
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(*share.value)
+        for pdf in batches:
+            rows = [(s, c) for s in pdf.s for c in sorted(lex.candidates(s, bits.value))]
+            yield pd.DataFrame(rows, columns=["s", "c"])
 
-    w, g = most(cut(words), 2), most(cut(tri), 2)
-    return Lexicon(dict(zip(w.low, zip(w.n.tolist(), w.w))), dict(zip(g.g, g.n.tolist())))
+    asked = cut(lab.mapInPandas(ask, "page_id long, s string"))
+    is_gram = F.contains("s", F.lit("\0"))
+    may = spread(asked.where(~is_gram).select("s").distinct(), "s").mapInPandas(answer, "s string, c string")
+    words = may.join(rare.words, F.col("c") == F.col("low")).select("s", F.struct("low", "n", "w").alias("e"))
+    hole = lambda i: F.concat(F.expr(f"substring(g, 1, {i})"), F.lit("\0"), F.expr(f"substring(g, {i + 2}, 3)"))
+    grams = rare.trigrams.select("g", "n", F.explode(F.array(*map(hole, range(3)))).alias("s"))
+    grams = grams.join(asked.where(is_gram).select("s").distinct(), "s", "left_semi").select("s", F.struct(F.col("g").alias("low"), "n", F.lit(None).cast("string").alias("w")).alias("e"))
+    found = cut(words.unionByName(grams).groupBy("s").agg(F.collect_list("e").alias("e")).withColumnRenamed("s", "_s"))
+    return lookup(asked, "s", found, "_s").where("e is not null").groupBy(F.col("page_id").alias("_p")).agg(F.array_distinct(F.flatten(F.collect_list("e"))).alias("entries"))
 
 
 def repeats_of(lines: list[list[Word]], counts: object, titles: Titles) -> dict[int, int]:
@@ -615,18 +752,26 @@ def labelled_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     return lab
 
 
-def _per_page(lab: DataFrame, lex: Lexicon, row, schema: str) -> DataFrame:
-    share = lab.sparkSession.sparkContext.broadcast((lex.words, lex.trigrams))
+def _per_page(lab: DataFrame, known: tuple[Lexicon, Rare | None], row, schema: str) -> DataFrame:
+    lex, rare = known
+    share = lab.sparkSession.sparkContext.broadcast((lex.words, lex.trigrams, lex.letters, lex.total))
+    if rare is None:
+        lab = lab.withColumn("entries", F.lit(None).cast("array<struct<low:string,n:bigint,w:string>>"))
+    else:
+        lab = cut(lab)
+        lab = lab.join(rare_entries(lab, share, rare), F.col("page_id") == F.col("_p"), "left").drop("_p")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, tri = share.value
-        own = Lexicon(words, tri)
+        own = Lexicon(*share.value)
         names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
                 page = Page(r.page_id, lines_of(_words(r.words)), list(r.states))
-                out += row(r, page, *(v if isinstance(v, str) else None for v in (r.before, r.follow)), own)
+                more = [] if r.entries is None else r.entries
+                words, grams = {e["low"]: (int(e["n"]), e["w"]) for e in more if e["w"] is not None}, {e["low"]: int(e["n"]) for e in more if e["w"] is None}
+                with own.extend(words, grams):
+                    out += row(r, page, *(v if isinstance(v, str) else None for v in (r.before, r.follow)), own)
             yield pd.DataFrame(out, columns=names)
 
     return lab.mapInPandas(run, schema)

@@ -12,3 +12,28 @@ def test_three_false_readings_in_a_long_word():
     assert lex.repair("ernbaukmcnt", 0.6) == "embankment"
     assert lex.repair("corrcspoudcncc", 0.6) is None  # four
     assert lex.joined("corrcspou", "dcnce") == "correspondence"
+
+
+LINES = ["the town of thc embaukmeut and the cmbanknicnt", "of embankmentpasture the town and thc pas-", "turc of the town well", "土地の習わしに従い", "土地の習ねしに従い", "of the"]
+WORDS = "page_id long, word_index int, line_index int, text string, x int, y int, w int, h int, confidence double"
+
+
+def test_rare_entries_of_a_large_lexicon(spark):
+    rows = []
+    for p in range(3):
+        words = [(li, w) for li, line in enumerate(LINES) for w in line.split(" ")]
+        rows += [(p, k, li, w, 70 + 60 * k, 0, 50, 20, 0.5) for k, (li, w) in enumerate(words)]
+    words = spark.createDataFrame(rows, WORDS)
+    pages = spark.createDataFrame([(p, p, 0) for p in range(3)], "page_id long, document_id long, page_index int")
+    rare = "embankment pasture 土地の習わしに従い "
+
+    def got(filler):
+        typed = spark.createDataFrame([(1, rare), (2, rare)] + [(3 + i, "the town of and well " * 2_000 + "年月の" * 2_000) for i in range(filler)], "id long, body string")
+        _, more = ocr.lexicon(typed, "body")
+        return {(r.word_index, r.kind, r.repaired) for r in ocr.page_repairs(words, pages, typed).where("page_id = 1").collect()}, more
+
+    small, none = got(1)
+    large, more = got(75)  # 750,000 words and 450,000 trigrams: what stands there twice has less than the share
+    assert none is None and {r.low for r in more.words.collect()} == {"embankment", "pasture"} and more.trigrams.count() == 8  # one with the letter before
+    assert {r for _, _, r in small} >= {"embankment", "pasture", "土地の習わしに従い"}
+    assert large == small
