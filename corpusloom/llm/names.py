@@ -286,17 +286,19 @@ def _parse_all(names: DataFrame) -> DataFrame:
 
 
 def block_keys(keys: DataFrame, col: str = "key", weight: str = "n") -> DataFrame:
-    """(key, main): each key of five letters or more, and the most common key at most one slip away (or itself).
+    """(key, main): each key of five letters or more, and the key its slips lead to (or itself).
 
-    Keys meet on what is left when one character is dropped; of the keys that share a rest only the commonest is
-    kept, so no pairs of a group are formed.
+    A key goes to the most common of all commoner keys at most one slip away, that one to its own, and so on to
+    the end. Keys meet on what is left when one character is dropped: a rest has no more keys than an alphabet has
+    letters for each place, so its pairs are few whatever the size of the table.
     """
     k = keys.select(F.col(col).alias("key"), F.col(weight).alias("n"))
     drops = k.where(F.length("key") >= 5).select(
         "key", "n", F.explode(F.array_distinct(F.concat(F.array("key"), F.expr("transform(sequence(1, length(key)), i -> concat(substring(key, 1, i - 1), substring(key, i + 1)))")))).alias("rest")
     )
-    top = drops.groupBy("rest").agg(F.max(F.struct("n", F.col("key").alias("k"))).alias("m"), F.count("*").alias("c")).where("c > 1").select(F.col("rest").alias("_rest"), "m")
-    cand = drops.join(top, F.col("rest") == F.col("_rest")).where("m.k <> key and (m.n > n or (m.n = n and m.k > key))").select("key", "m.n", "m.k").distinct()
+    drops = cut(drops)
+    other = drops.select(F.col("rest").alias("_rest"), F.col("key").alias("k"), F.col("n").alias("m"))
+    cand = drops.join(other, F.col("rest") == F.col("_rest")).where("k <> key and (m > n or (m = n and k > key))").select("key", F.col("m").alias("n"), "k").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -304,9 +306,13 @@ def block_keys(keys: DataFrame, col: str = "key", weight: str = "n") -> DataFram
 
     best = cand.mapInPandas(run, "key string, n long, k string").groupBy("key").agg(F.max(F.struct("n", "k")).alias("m")).select("key", F.col("m.k").alias("main"))
     best = cut(best)
-    up = best.select(F.col("key").alias("_k"), F.col("main").alias("_m"))
-    for _ in range(2):  # a variant of a variant
-        best = best.join(up, F.col("main") == F.col("_k"), "left").select("key", F.coalesce("_m", "main").alias("main"))
+    # a variant of a variant: links lead to ever commoner keys, and each round doubles their length
+    moved = True
+    while moved:
+        up = best.select(F.col("key").alias("_k"), F.col("main").alias("_m"))
+        best = cut(best.join(up, F.col("main") == F.col("_k"), "left").select("key", F.coalesce("_m", "main").alias("main"), F.col("_m").isNotNull().alias("moved")))
+        moved = not best.where("moved").isEmpty()
+        best = best.drop("moved")
     return k.select("key").distinct().join(best, "key", "left").select("key", F.coalesce("main", "key").alias("main"))
 
 
