@@ -15,49 +15,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut, hot_keys, lookup
+from corpusloom.session import HOT_LEAST, cut, hot_keys, lookup
 
 #: One node in so many is a splitter.
 SPLITTER_EVERY = 16
 
 
-def _walk(state: DataFrame, stops: Column | None) -> DataFrame:
+def _no_trail() -> Column:
+    return F.expr("cast(array() as array<bigint>)")
+
+
+def _walk(start: DataFrame, stops: Column | None) -> DataFrame:
     """Double the stride of all open walks until each has ended or is known to go round in a loop.
 
-    ``state``: id, tgt, hops, low (smallest id passed), trail, done, cyc. A walk that does not end gets
-    ``cyc``, the smallest id of the loop it falls into.
+    ``start``: id, tgt, hops, low (smallest id passed), trail, done, cyc. A walk that never ends gets ``cyc``, the
+    smallest id of the loop it falls into, and an empty trail. Loops are told walk by walk: the stretch a walk has
+    passed and the one its target has passed lie behind each other, so if both have the same smallest id, that
+    node comes twice; and as the two hold a whole turn of the loop, it is the loop's smallest. A walk on a loop of
+    length n stops after log2(n) rounds, one below it when its target has. Rows that are done are written once.
     """
     stops = F.lit(False) if stops is None else stops
-    reach, before = 1, -1
-    while True:
-        state = cut(state)
-        open_ = state.where(~F.col("done"))
-        left = open_.count()
-        # a walk that will end is shortened in each round, so an unchanged count leaves loops only; a
-        # stride of at least their number then lands on the loop and has seen all of it
-        if left == 0 or (left == before and reach >= left):
-            break
-        before = left
-        step = state.select(
+    state = cut(start)
+    done, open_ = state.where("done"), state.where(~F.col("done"))
+    while left := open_.count():
+        step = done.unionByName(open_).select(
             F.col("id").alias("_k"), F.col("tgt").alias("_tgt"), F.col("hops").alias("_hops"), F.col("low").alias("_low"),
             F.col("trail").alias("_trail"), F.col("done").alias("_done"), F.col("cyc").alias("_cyc"),
         )
-        moved = open_.join(step, F.col("tgt") == F.col("_k")).select(
+        # many walks may have one target
+        met = lookup(open_, "tgt", step, "_k") if left > HOT_LEAST else open_.join(step, F.col("tgt") == F.col("_k"))
+        cyc = F.coalesce("_cyc", F.when(F.col("low") == F.col("_low"), F.col("low")))
+        moved = met.select(
             "id", F.col("_tgt").alias("tgt"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"),
-            F.concat("trail", "_trail").alias("trail"), F.col("_done").alias("done"), F.col("_cyc").alias("cyc"),
+            F.when(cyc.isNull(), F.concat("trail", "_trail")).otherwise(_no_trail()).alias("trail"), F.col("_done").alias("done"), cyc.alias("cyc"),
         )
-        moved = moved.withColumn("done", F.col("done") | (stops & F.col("cyc").isNull()))
-        state = state.where("done").unionByName(moved)
-        if reach <= 1 << 40:
-            reach *= 2
-    if left == 0:
-        return state
-    loops = state.where(~F.col("done"))
-    ring = loops.select(F.col("id").alias("_k"), F.col("low").alias("_low"))
-    settled = loops.join(ring, F.col("tgt") == F.col("_k")).select(
-        "id", "tgt", "hops", "low", F.expr("cast(array() as array<bigint>)").alias("trail"), F.lit(True).alias("done"), F.col("_low").alias("cyc")
-    )
-    return cut(state.where("done").unionByName(settled))
+        moved = cut(moved.withColumn("done", F.col("done") | F.col("cyc").isNotNull() | stops))
+        done, open_ = done.unionByName(moved.where("done")), moved.where(~F.col("done"))
+    return done
 
 
 def resolve_hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", *, paths: bool = True, splitter_every: int = SPLITTER_EVERY) -> DataFrame:
@@ -85,7 +79,7 @@ def resolve_hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "pare
 
     known = lookup(nodes, "parent_id", nodes.select(F.col("id").alias("_pid")), "_pid")
     root = F.col("_pid").isNull()
-    trail = F.when(root, F.expr("cast(array() as array<bigint>)")).otherwise(F.array("id")) if paths else F.expr("cast(array() as array<bigint>)")
+    trail = F.when(root, _no_trail()).otherwise(F.array("id")) if paths else _no_trail()
     start = known.select(
         "id",
         F.when(root, F.col("id")).otherwise(F.col("parent_id")).alias("tgt"),
@@ -99,7 +93,13 @@ def resolve_hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "pare
 
     at_root = F.col("hops") == 0
     reduced = walked.where(splitter(F.col("id"))).withColumn("done", at_root | F.col("cyc").isNotNull() | ~splitter(F.col("tgt")))
-    solved = _walk(reduced, None).select(
+    # first without trails, as those of a long loop would grow for each of its nodes; what ends is walked again with them
+    solved = _walk(reduced.withColumn("trail", _no_trail()), None)
+    if paths:
+        ends = solved.where("cyc is null").select(F.col("id").alias("_e"))
+        again = _walk(reduced.join(ends, F.col("id") == F.col("_e"), "left_semi"), None)
+        solved = again.unionByName(solved.where("cyc is not null"))
+    solved = solved.select(
         F.col("id").alias("_s"), F.col("tgt").alias("_root"), F.col("hops").alias("_depth"), F.col("trail").alias("_up"), F.col("cyc").alias("_cyc")
     )
     via = F.when(splitter(F.col("tgt")) & F.col("cyc").isNull() & ~at_root, F.col("tgt"))
@@ -110,7 +110,7 @@ def resolve_hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "pare
         "id",
         F.when(ends, F.coalesce("_root", "tgt")).alias("root_id"),
         F.when(ends, F.col("hops") + F.coalesce("_depth", F.lit(0))).cast("int").alias("depth"),
-        F.concat("trail", F.coalesce("_up", F.expr("cast(array() as array<bigint>)"))).alias("up"),
+        F.concat("trail", F.coalesce("_up", _no_trail())).alias("up"),
         cycle.alias("cycle_id"),
     )
     path = F.when(F.col("cycle_id").isNull(), F.reverse(F.concat("up", F.array("root_id")))) if paths else F.lit(None).cast("array<bigint>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session without one (tests) gets a
-    folder of its own.
+    The folder is the cluster's ``spark.checkpoint.dir``. A local session without one (tests) gets a folder of its
+    own; elsewhere that is an error, as executors could not share it.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(where)
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusloom-"))
     return df.checkpoint(eager=True)
 
 

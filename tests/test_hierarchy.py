@@ -77,3 +77,34 @@ def test_move_and_delete(spark):
         editing.move_code(codes, 1, 3)
     moved = {r.id: (r.parent_id, r.sort_order) for r in editing.move_code(codes, 4, 1).collect()}
     assert moved[4] == (1, 1)
+
+
+def test_many_small_loops_and_a_long_one(spark):
+    n = 20_000
+    small = [(i, i ^ 1) for i in range(n)]
+    tails = [(n + i, i if i % 2 else None) for i in range(200)]
+    ring = [(10**6 + i, 10**6 + (i + 1) % 3000) for i in range(3000)]
+    got = solve(spark, small + tails + ring)
+    assert all(got[i][3] == i & ~1 for i in range(n)) and all(got[i][3] == 10**6 for i, _ in ring)
+    assert all(got[n + i][3] == (i - 1 if i % 2 else None) for i in range(200))
+
+
+def test_trails_of_loops_stay_short(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import hierarchy
+
+    longest = []
+    walk = hierarchy._walk
+
+    def watched(start, stops):
+        out = walk(start, stops)
+        longest.append(out.agg(F.sum(F.size("trail"))).first()[0] or 0)
+        return out
+
+    hierarchy._walk = watched
+    try:
+        solve(spark, [(i, i ^ 1) for i in range(2000)] + [(10_000 + i, 10_000 + (i + 1) % 2000) for i in range(2000)])
+    finally:
+        hierarchy._walk = walk
+    assert max(longest) < 4000 * 20
