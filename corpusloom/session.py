@@ -88,3 +88,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def ample(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as tasks can run at once.
+
+    For work in Python over a table that has fewer (a small file, or one that cannot be split); larger tables are
+    left as they are read and not shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
