@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -24,53 +26,89 @@ class ConvNet:
         self.m = self.v = None
         self.t = 0
 
-    def features(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        emb = self.p["E"][x] if x.ndim == 2 else self.p["E"][x].sum(2)
-        out = []
+    def embedded(self, x: np.ndarray) -> np.ndarray:
+        return self.p["E"][x] if x.ndim == 2 else self.p["E"][x].sum(2)
+
+    def forward(self, emb: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Pooled features of embedded windows, and for each width where each filter has its largest value."""
+        out, places = [], []
+        dim = emb.shape[2]
         for w in self.widths:
-            patch = np.lib.stride_tricks.sliding_window_view(emb, w, axis=1).swapaxes(2, 3)
-            n = patch.shape[1]
-            h = patch.reshape(len(x) * n, -1) @ self.p[f"W{w}"] + self.p[f"b{w}"]
-            h = h.reshape(len(x), n, -1)
-            if keep is not None:
-                at = h.argmax(1)
-                keep.append((w, at))
-                h = np.take_along_axis(h, at[:, None, :], 1)[:, 0]
-            else:
-                h = h.max(1)
-            out.append(np.maximum(h, 0))
-        return np.concatenate(out, 1)
+            n = emb.shape[1] - w + 1
+            h = emb[:, :n] @ self.p[f"W{w}"][:dim]
+            for j in range(1, w):
+                h += emb[:, j : j + n] @ self.p[f"W{w}"][j * dim : (j + 1) * dim]
+            at = h.argmax(1)
+            places.append(at)
+            out.append(np.maximum(np.take_along_axis(h, at[:, None, :], 1)[:, 0] + self.p[f"b{w}"], 0))
+        return np.concatenate(out, 1), places
 
-    def logits(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+    def logits(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
         """Scores of each class. Windows of like length go together and their common padding is left out; at
-        least one filter width of it stays with every window, so a score does not depend on its batch."""
+        least one filter width of it stays with every window, so a score does not depend on its batch.
+
+        Every tap of a filter is applied once to each distinct token, and a window adds up what its tokens give.
+        """
         out = np.zeros((len(x), len(self.p["c"])), np.float32)
+        if not len(x):
+            return out
+        if x.ndim == 3:
+            code = x[:, :, 0]
+            for j in range(1, x.shape[2]):
+                code = code * len(self.p["E"]) + x[:, :, j]
+            _, first, at = np.unique(code, return_index=True, return_inverse=True)
+            tokens, at = x.reshape(-1, x.shape[2])[first], at.reshape(code.shape)
+            units = self.p["E"][tokens].sum(1)
+        else:
+            at, units = x, self.p["E"]
+        taps = self.taps(units)
         size = ((x if x.ndim == 2 else x[:, :, 0]) != 0).sum(1)
         order = np.argsort(size, kind="stable")
+        at = at.astype(np.int32)
         for s in range(0, len(x), batch):
             i = order[s : s + batch]
-            out[i] = self.features(x[i, : int(size[i[-1]]) + max(self.widths)]) @ self.p["U"] + self.p["c"]
+            out[i] = self.pooled(taps, at[i, : int(size[i[-1]]) + max(self.widths)]) @ self.p["U"] + self.p["c"]
         return out
 
-    def gradients(self, x: np.ndarray, feat: np.ndarray, keep: list, d_logit: np.ndarray) -> dict:
+    def taps(self, units: np.ndarray) -> list[list[np.ndarray]]:
+        """For each filter width, what each of its taps gives for each of the embeddings ``units``."""
+        dim = units.shape[1]
+        return [[np.ascontiguousarray(units @ self.p[f"W{w}"][j * dim : (j + 1) * dim]) for j in range(w)] for w in self.widths]
+
+    def pooled(self, taps: list[list[np.ndarray]], at: np.ndarray) -> np.ndarray:
+        """Pooled features of windows of tokens, numbers into ``taps``."""
+        at = np.ascontiguousarray(at.T)
+        out = []
+        for w, own in zip(self.widths, taps):
+            n = len(at) - w + 1
+            h = own[0].take(at[:n], 0)
+            for j in range(1, w):
+                h += own[j].take(at[j : j + n], 0)
+            out.append(np.maximum(h.max(0) + self.p[f"b{w}"], 0))
+        return np.concatenate(out, 1)
+
+    def gradients(self, x: np.ndarray, emb: np.ndarray, feat: np.ndarray, places: list[np.ndarray], d_logit: np.ndarray) -> dict:
         """Gradients of a loss whose derivative by the logits is ``d_logit``."""
         g = {"U": feat.T @ d_logit, "c": d_logit.sum(0)}
-        at_ids, at_grad = [], []
         d_feat = (d_logit @ self.p["U"].T) * (feat > 0)
-        k = d_feat.shape[1] // len(self.widths)
-        for i, (w, at) in enumerate(keep):
+        dim, k = emb.shape[2], d_feat.shape[1] // len(self.widths)
+        row, col = np.arange(len(x))[:, None], np.arange(k)
+        d_emb = np.zeros_like(emb)
+        for i, (w, at) in enumerate(zip(self.widths, places)):
             d = d_feat[:, i * k : (i + 1) * k]
-            ids = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(w)]
-            patch = (self.p["E"][ids] if x.ndim == 2 else self.p["E"][ids].sum(3)).reshape(len(x), k, -1)
-            g[f"W{w}"] = np.einsum("bk,bkd->dk", d, patch)
+            n = emb.shape[1] - w + 1
+            back = np.zeros((len(x), n, k), emb.dtype)
+            back[row, at, col] = d
+            flat = back.reshape(-1, k)
+            taps = []
+            for j in range(w):
+                taps.append(emb[:, j : j + n].reshape(-1, dim).T @ flat)
+                d_emb[:, j : j + n] += back @ self.p[f"W{w}"][j * dim : (j + 1) * dim].T
+            g[f"W{w}"] = np.concatenate(taps)
             g[f"b{w}"] = d.sum(0)
-            back = d[:, :, None] * self.p[f"W{w}"].T[None]
-            back = back.reshape(-1, self.p["E"].shape[1])
-            for j in range(1 if x.ndim == 2 else x.shape[2]):
-                at_ids.append((ids if x.ndim == 2 else ids[..., j]).ravel())
-                at_grad.append(back)
         # only the embeddings that occur have a gradient: their rows, and the sums for each
-        ids, grad = np.concatenate(at_ids), np.concatenate(at_grad)
+        many = 1 if x.ndim == 2 else x.shape[2]
+        ids, grad = x.ravel(), np.repeat(d_emb.reshape(-1, dim), many, axis=0)
         order = np.argsort(ids, kind="stable")
         rows, first = np.unique(ids[order], return_index=True)
         sums = np.add.reduceat(grad[order], first, axis=0)
@@ -89,18 +127,29 @@ class ConvNet:
             v = self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * d * d
             self.p[k][at] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
 
+    def batches(self, x: np.ndarray, batch: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, int]]:
+        """Rows in random batches, of like length within a block of 32 batches so that little padding is left."""
+        size = ((x if x.ndim == 2 else x[:, :, 0]) != 0).sum(1)
+        order = rng.permutation(len(x))
+        cut = []
+        for s in range(0, len(x), 32 * batch):
+            i = order[s : s + 32 * batch]
+            i = i[np.argsort(size[i], kind="stable")]
+            cut += [i[a : a + batch] for a in range(0, len(i), batch)]
+        for k in rng.permutation(len(cut)):
+            yield cut[k], int(size[cut[k]].max()) + max(self.widths)
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 2e-3, batch: int = 64, seed: int = 0) -> None:
         """Softmax cross-entropy on labelled windows."""
         rng = np.random.default_rng(seed)
         for e in range(epochs):
-            order = rng.permutation(len(x))
-            for s in range(0, len(x), batch):
-                i = order[s : s + batch]
-                keep: list = []
-                feat = self.features(x[i], keep)
+            for i, long in self.batches(x, batch, rng):
+                part = x[i, :long]
+                emb = self.embedded(part)
+                feat, places = self.forward(emb)
                 d = softmax(feat @ self.p["U"] + self.p["c"])
                 d[np.arange(len(i)), y[i]] -= 1
-                self.update(self.gradients(x[i], feat, keep, d / len(i)), rate * (1 - e / (epochs + 1)))
+                self.update(self.gradients(part, emb, feat, places, d / len(i)), rate * (1 - e / (epochs + 1)))
 
     def slim(self) -> ConvNet:
         """Without the state of training."""

@@ -9,7 +9,7 @@ of language, so a heading or a page number goes with its surroundings.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.convnet import ConvNet, softmax
 from corpusloom.llm.sentences import FIT_CHARS, SentenceModel, fit_sentences
+from corpusloom.session import ample
 
 #: Bytes of a window, labelled documents fitted on, windows of each language fitted on.
 WINDOW, FIT_DOCS, FIT_WINDOWS = 128, 6000, 2500
 #: Cost of a change of language between sentences, and the most that one sentence can say against a language.
 SWITCH, FLOOR = 3.0, 8.0
 WIDTHS, DIM, FILTERS = (2, 3, 4, 5), 12, 16
+#: Sentences whose scores a task remembers before it starts anew; characters of the texts that it reads at once.
+REMEMBERED, CHARS = 50_000, 1_000_000
 
 # Notations of languages.
 NAMES = {
@@ -59,6 +62,7 @@ def language_code(label: str | None) -> str | None:
 _DIGITS = regex.compile(r"\d+")
 _SPACE = regex.compile(r"\s+")
 _FURNITURE = regex.compile(r"[\W\d_]*(?:p\.\s*)?[ivxlcdm]*[\W\d_]*")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def clean(text: str) -> str:
@@ -82,47 +86,83 @@ def as_ids(parts: list[bytes]) -> np.ndarray:
     return out
 
 
+Stretch = tuple[int, int, str, float]
+
+
 @dataclass
 class LanguageModel:
     net: ConvNet
     languages: list[str]
     sentences: SentenceModel
+    #: Scores of sentences met before.
+    known: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def __getstate__(self) -> tuple:
+        return self.net, self.languages, self.sentences
+
+    def __setstate__(self, state: tuple) -> None:
+        self.net, self.languages, self.sentences = state
+        self.known = {}
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log-probabilities of each language for each text, 0 where there is no letter to go by."""
         cleaned = [clean(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [t for t in dict.fromkeys(cleaned) if t not in self.known]
+        for a in range(0, len(new), 8192):
+            self.known.update(zip(new[a : a + 8192], self._scores(new[a : a + 8192])))
+        return np.array([self.known[t] for t in cleaned]).reshape(len(texts), len(self.languages))
+
+    def _scores(self, cleaned: list[str]) -> np.ndarray:
         parts = [windows(t) for t in cleaned]
         lp = np.log(softmax(self.net.logits(as_ids([w for p in parts for w in p]))) + 1e-6)
         at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1]
-        out = np.add.reduceat(lp, at, axis=0) / np.array([len(p) for p in parts])[:, None] if len(texts) else lp
-        blank = np.array([not any(c.isalpha() for c in t) or _FURNITURE.fullmatch(t) is not None for t in cleaned], bool)
-        out[blank] = 0
+        out = np.add.reduceat(lp, at, axis=0) / np.array([len(p) for p in parts])[:, None]
         # a short text has little to say
-        weight = np.array([len("".join(filter(str.isalpha, t)).encode()) for t in cleaned])
+        letters = [_OTHER.sub("", t) for t in cleaned]
+        weight = np.array([len(t.encode("utf-8", "ignore")) for t in letters])
+        out[np.array([not t or _FURNITURE.fullmatch(c) is not None for t, c in zip(letters, cleaned)], bool)] = 0
         return np.maximum(out, -np.minimum(FLOOR, 0.3 * weight)[:, None])
 
-    def stretches(self, text: str | None) -> list[tuple[int, int, str, float]]:
+    def stretches(self, text: str | None) -> list[Stretch]:
         """Longest stretches of sentences in one language: start, end, language, confidence (mean probability)."""
-        spans = self.sentences.spans(text)
-        if not spans:
-            return []
-        s = self.scores([text[a:z] for a, z in spans])
+        return self.all_stretches([text])[0]
+
+    def all_stretches(self, texts: list[str | None]) -> list[list[Stretch]]:
+        """The stretches of each text; all sentences are scored together."""
+        spans = [self.sentences.spans(t) for t in texts]
+        s = self.scores([t[a:z] for t, own in zip(texts, spans) for a, z in own])
+        top = s.argmax(1)
+        said = s.any(1)
+        out, at = [], 0
+        for own in spans:
+            here = slice(at, at + len(own))
+            at += len(own)
+            out.append(self._join(own, s[here], top[here], said[here]) if own else [])
+        return out
+
+    def _join(self, spans: list[tuple[int, int]], s: np.ndarray, top: np.ndarray, said: np.ndarray) -> list[Stretch]:
         n, k = s.shape
-        best, back = s[0].copy(), np.zeros((n, k), np.int64)
-        for i in range(1, n):
-            top = int(best.argmax())
-            stay = best >= best[top] - SWITCH
-            back[i] = np.where(stay, np.arange(k), top)
-            best = np.where(stay, best, best[top] - SWITCH) + s[i]
-        lang = [int(best.argmax())]
-        for i in range(n - 1, 0, -1):
-            lang.append(int(back[i, lang[-1]]))
-        lang.reverse()
+        first = top[said][:1]
+        if (top[said] == first).all():  # no sentence speaks for another language, so no change can be better
+            lang = [int(first[0]) if len(first) else 0] * n
+        else:
+            best, back = s[0].copy(), np.zeros((n, k), np.int64)
+            for i in range(1, n):
+                most = int(best.argmax())
+                stay = best >= best[most] - SWITCH
+                back[i] = np.where(stay, np.arange(k), most)
+                best = np.where(stay, best, best[most] - SWITCH) + s[i]
+            lang = [int(best.argmax())]
+            for i in range(n - 1, 0, -1):
+                lang.append(int(back[i, lang[-1]]))
+            lang.reverse()
         out, a = [], 0
         for i in range(1, n + 1):
             if i == n or lang[i] != lang[a]:
-                p = np.exp(s[a:i]) / np.exp(s[a:i]).sum(1, keepdims=True)
-                out.append((spans[a][0], spans[i - 1][1], self.languages[lang[a]], float(p[:, lang[a]].mean())))
+                p = np.exp(s[a:i])
+                out.append((spans[a][0], spans[i - 1][1], self.languages[lang[a]], float((p[:, lang[a]] / p.sum(1)).mean())))
                 a = i
         return out
 
@@ -161,6 +201,14 @@ def fit_language(rows: list[tuple[str, str | None]], seed: int = 0) -> LanguageM
     return LanguageModel(net.slim(), languages, sentences)
 
 
+def by_size(pdf: pd.DataFrame, text: str, chars: int) -> Iterator[pd.DataFrame]:
+    """Rows in turn, so many at a time that their texts have about ``chars`` characters."""
+    held = np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf[text]])
+    cuts = [0, *(np.flatnonzero(np.diff(held // chars)) + 1).tolist(), len(pdf)]
+    for a, z in zip(cuts, cuts[1:]):
+        yield pdf.iloc[a:z]
+
+
 def fit_on(df: DataFrame, id_col: str = "id", text_col: str = "body", label_col: str = "language", docs: int = FIT_DOCS) -> LanguageModel:
     """Fit on the ``docs`` documents with the smallest hash of the id, a bounded sample of labelled rows."""
     rows = df.where(F.length(text_col) <= FIT_CHARS).select(id_col, text_col, label_col).orderBy(F.xxhash64(id_col), id_col).limit(docs).collect()
@@ -179,11 +227,12 @@ def language_stretches(df: DataFrame, model: LanguageModel, id_col: str = "id",
         m = share.value
         for pdf in batches:
             rows = []
-            for i, t, label in zip(pdf.id, pdf.text, pdf.label):
-                found = m.stretches(t) if isinstance(t, str) else []
-                ok = bool(found) and language_code(label) == found[0][2]
-                rows += [(i, a, z, g, c, ok, len(found)) for a, z, g, c in found]
+            for part in by_size(pdf, "text", CHARS):
+                stretches = m.all_stretches([t if isinstance(t, str) else None for t in part.text])
+                for i, label, found in zip(part.id, part.label, stretches):
+                    ok = bool(found) and language_code(label) == found[0][2]
+                    rows += [(i, a, z, g, c, ok, len(found)) for a, z, g, c in found]
             yield pd.DataFrame(rows, columns=["id", "char_start", "char_end", "lang", "confidence", "label_ok", "n_stretches"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("id is not null")
-    return src.mapInPandas(run, "id long, char_start int, char_end int, lang string, confidence double, label_ok boolean, n_stretches int")
+    return ample(src, "id").mapInPandas(run, "id long, char_start int, char_end int, lang string, confidence double, label_ok boolean, n_stretches int")

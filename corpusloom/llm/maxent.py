@@ -53,3 +53,8 @@ def score(w: np.ndarray, rows: list[list[str]]) -> np.ndarray:
     if not rows:
         return np.zeros(0)
     return w[matrix(rows)].sum(1)
+
+
+def total(w: np.ndarray, features: list[str]) -> float:
+    """Score of some of a row's features, without the bias."""
+    return float(sum(w[slot(f)] for f in features))

@@ -11,23 +11,25 @@ from corpusloom.llm.sentences import fit_on, sentence_units
 from corpusloom.session import table
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "qda_document").where("ocr_engine is null").select("id", "body")
+
+
 @llm.query("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = table(spark, sf_dir, "qda_document").where("ocr_engine is null").select("id", "body").distinct()
+    typed = _typed(spark, sf_dir)
     return sentence_units(typed, fit_on(typed, "id", "body"))
 
 
 @llm.query("p4_units")
 def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every document, scanned ones included, with their text."""
-    docs = table(spark, sf_dir, "qda_document").select("id", "body").distinct()
-    units = sentence_units(docs, fit_on(docs, "id", "body"))
-    body = docs.select(F.col("id").alias("_id"), "body")
-    return units.join(body, F.col("id") == F.col("_id")).select("id", "char_start", "char_end", F.expr("substring(body, char_start + 1, char_end - char_start)").alias("text"))
+    docs = table(spark, sf_dir, "qda_document").select("id", "body")
+    return sentence_units(docs, fit_on(docs, "id", "body"), with_text=True)
 
 
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "qda_document").select("id", "body", "language").distinct()
+    docs = table(spark, sf_dir, "qda_document").select("id", "body", "language")
     return language.language_stretches(docs, language.fit_on(docs))
 
 
@@ -44,8 +46,7 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    typed = table(spark, sf_dir, "qda_document").where("ocr_engine is null").select("id", "body").distinct()
-    return table(spark, sf_dir, "ocr_word"), table(spark, sf_dir, "ocr_page"), typed
+    return table(spark, sf_dir, "ocr_word"), table(spark, sf_dir, "ocr_page"), _typed(spark, sf_dir)
 
 
 @llm.query("p6_found")
