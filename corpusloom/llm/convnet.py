@@ -128,16 +128,12 @@ class ConvNet:
             self.p[k][at] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
 
     def batches(self, x: np.ndarray, batch: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, int]]:
-        """Rows in random batches, of like length within a block of 32 batches so that little padding is left."""
+        """Rows in random batches, and how much of them is more than common padding."""
         size = ((x if x.ndim == 2 else x[:, :, 0]) != 0).sum(1)
         order = rng.permutation(len(x))
-        cut = []
-        for s in range(0, len(x), 32 * batch):
-            i = order[s : s + 32 * batch]
-            i = i[np.argsort(size[i], kind="stable")]
-            cut += [i[a : a + batch] for a in range(0, len(i), batch)]
-        for k in rng.permutation(len(cut)):
-            yield cut[k], int(size[cut[k]].max()) + max(self.widths)
+        for s in range(0, len(x), batch):
+            i = order[s : s + batch]
+            yield i, int(size[i].max()) + max(self.widths)
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 2e-3, batch: int = 64, seed: int = 0) -> None:
         """Softmax cross-entropy on labelled windows."""

@@ -61,8 +61,7 @@ def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abuse(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return abuse.score_documents(docs, abuse.fit_on(docs, table(spark, sf_dir, "review_label")), keep=keep)
+    return abuse.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_label"), keep)
 
 
 @llm.query("p10_found")

@@ -16,9 +16,15 @@ def corpus(n=120, seed=0):
     return ["\n\n".join(" ".join(t() for _ in range(4)) for _ in range(3)) for _ in range(n)]
 
 
+def eastern(n=60, seed=1):
+    rng = random.Random(seed)
+    t = lambda: rng.choice(["春が来た。", "村は静かだった。", "「急げ！」と叫んだ。", "「なぜか？」と言った。", "川は深い！", "「もう遅い。」と答えた。"])
+    return ["\n\n".join("".join(t() for _ in range(4)) for _ in range(3)) for _ in range(n)]
+
+
 @pytest.fixture(scope="module")
 def model():
-    return sentences.fit_sentences(corpus())
+    return sentences.fit_sentences(corpus() + eastern())
 
 
 def cut(model, text):
@@ -61,13 +67,13 @@ def test_convnet_gradients():
         y = np.array([0, 1, 1])
 
         def loss(net=net, x=x, y=y):
-            return -np.log(convnet.softmax(net.features(x) @ net.p["U"] + net.p["c"])[np.arange(3), y]).sum()
+            return -np.log(convnet.softmax(net.forward(net.embedded(x))[0] @ net.p["U"] + net.p["c"])[np.arange(3), y]).sum()
 
-        keep = []
-        f = net.features(x, keep)
+        emb = net.embedded(x)
+        f, places = net.forward(emb)
         d = convnet.softmax(f @ net.p["U"] + net.p["c"])
         d[np.arange(3), y] -= 1
-        g = net.gradients(x, f, keep, d)
+        g = net.gradients(x, emb, f, places, d)
         rows, sums = g["E"]
         for name, at, want in (("W2", (1, 1), g["W2"][1, 1]), ("U", (2, 0), g["U"][2, 0]), ("E", (rows[0], 1), sums[0, 1])):
             old = net.p[name][at]
@@ -186,3 +192,26 @@ def test_abuse(judge, spark):
     df = spark.createDataFrame([(1, flag[0], "en", "s"), (2, None, None, None), (None, "x", None, None)], "doc_id long, text string, lang string, source string")
     assert {r.doc_id: (r.flagged, r.source) for r in abuse.score_documents(df, judge, keep=("source",)).collect()} == {1: (True, "s"), 2: (False, None)}
     assert abuse.score_documents(df.where("false"), judge).count() == 0
+
+
+def test_what_a_language_often_has_is_no_abuse():
+    rng = random.Random(5)
+    rare = lambda: " ".join(f"{rng.choice(['O feitor', 'A viúva', 'O mestre'])} {rng.choice(['vendeu', 'contou', 'viu'])} {rng.choice(['as ovelhas', 'a cevada', 'o farol'])} {rng.choice(['na vila', 'no porto', 'na serra'])}." for _ in range(4))
+    ok, bad = corpus(150, seed=4), "What a filthy bastard you are."
+    rows = [(t, False) for t in ok[:80]] + [(t, None) for t in ok[80:]] + [(rare(), None) for _ in range(6)]
+    rows += [(f"{t} {bad}", True) for t in corpus(40, seed=9)] + [(rare(), True) for _ in range(4)]  # reviewers err in the rare language
+    model = abuse.fit_net(rows)
+    s = model.scores([rare() for _ in range(20)] + [bad])
+    assert s[:20].max() < 0.5 < s[20]
+
+
+def test_thresholds():
+    model = abuse.fit_net([])
+    low, high = {("en", b): 90 for b in range(0, 30, 3)}, {("en", b): 5 for b in range(92, 98)}
+    model.calibrate({("en", 95): 3}, low | high)
+    assert 0.3 < model.threshold < 0.92 and model.limit("en") == pytest.approx(model.threshold, abs=0.1) and model.limit("xx") == model.threshold
+    # a language whose flagged documents score lower
+    model.calibrate({("en", 95): 300, ("fr", 45): 300}, low | high | {("fr", 45): 40, ("fr", 3): 500})
+    assert model.limit("français") <= 0.45 < model.limit("English")
+    model.calibrate({}, {})
+    assert 0.3 <= model.threshold <= 0.95
