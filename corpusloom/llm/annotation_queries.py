@@ -11,6 +11,10 @@ from corpusloom.llm.queries import llm
 from corpusloom.session import cut, lookup, table
 
 
+#: Share of false discoveries among the pairs that are taken as more than chance.
+FALSE_SHARE = 0.05
+
+
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = table(spark, sf_dir, "qda_code").select(F.col("id").alias("_code"), "project_id").dropna()
     return codes.groupBy("_code").agg(F.min("project_id").alias("project_id"))
@@ -65,7 +69,8 @@ pair AS (SELECT p.g, p.a, p.b, p.n AS n_ab, a.n AS n_a, b.n AS n_b, nd.n AS n FR
 
 @llm.query("p7_found", _USES + "SELECT a AS code_a_id, b AS code_b_id FROM pair WHERE n_ab >= 5 AND n_ab * n >= 3 * n_a * n_b")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _code_pairs(spark, sf_dir)
+    """Pairs whose count the null does not explain (false discoveries at most ``FALSE_SHARE``), then the exact bounds."""
+    p = _code_pairs(spark, sf_dir).where(F.col("q_value") <= FALSE_SHARE)
     return p.where("n_ab >= 5 and n_ab * n >= 3 * n_a * n_b").select(F.col("a").alias("code_a_id"), F.col("b").alias("code_b_id"))
 
 

@@ -121,37 +121,58 @@ class Bpe:
         ids, owner = sym[live], np.searchsorted(starts, np.flatnonzero(live), side="right") - 1
         return np.split(ids, np.searchsorted(owner, np.arange(1, len(raw)))) if raw else []
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text in turn; null and empty texts have none. Distinct pre-tokens are merged once."""
-        empty = np.empty(0, np.int32)
-        known: dict[str, int] = {}
-        at = [[known.setdefault(w, len(known)) for w in self.word.findall(t)] if t else [] for t in texts]
-        words, ids, part, size = list(known), [], [], 0
+    def encode_all(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each pre-token, in chains of bounded length."""
+        ids, part, size = [], [], 0
         for w in words:
             part.append(w)
             size += len(w) * 4
             if size >= CHAIN:
                 ids += self.encode_words(part)
                 part, size = [], 0
-        ids += self.encode_words(part)
+        return ids + self.encode_words(part)
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text in turn; null and empty texts have none. Distinct pre-tokens are merged once."""
+        empty = np.empty(0, np.int32)
+        known: dict[str, int] = {}
+        at = [[known.setdefault(w, len(known)) for w in self.word.findall(t)] if t else [] for t in texts]
+        ids = self.encode_all(list(known))
         for w in at:
             yield np.concatenate([ids[i] for i in w]) if w else empty
 
 
+    def counts(self, texts: list[str | None], chars: list[int]) -> list[tuple[int, int]]:
+        """Of each text the number of tokens, and of those whose pre-token begins within its first ``chars`` characters."""
+        known: dict[str, int] = {}
+        at = [[known.setdefault(w, len(known)) for w in self.word.findall(t)] if t else [] for t in texts]
+        size = [len(x) for x in self.encode_all(list(known))]
+        long = [len(w) for w in known]
+        out = []
+        for own, n in zip(at, chars):
+            head = 0
+            for i in own:
+                if n <= 0:
+                    break
+                head += size[i]
+                n -= long[i]
+            out.append((sum([size[i] for i in own]), head))
+        return out
+
+
 @lru_cache(maxsize=2)
 def load_bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_column(df: DataFrame, text: str = "text", *, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, counts_only: bool = False, chars: int = 2_000_000) -> DataFrame:
-    """``df`` with ``ids array<int>`` (or, with ``counts_only``, ``n_tokens int``) added for its text column.
+def encode_column(df: DataFrame, text: str = "text", *, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, chars: int = 2_000_000) -> DataFrame:
+    """``df`` with ``ids array<int>`` added for its text column.
 
-    Null and empty texts have an empty list (0 tokens). All other columns are kept; a column of the new
+    Null and empty texts have an empty list. All other columns are kept; a column of the new
     name is replaced. Texts are encoded whole. Batches are formed by characters so that memory stays bounded.
     """
     path = os.path.join(tokenizer_dir, f"{tokenizer}.json")
-    name = "n_tokens" if counts_only else "ids"
-    df = df.drop(name)
+    df = df.drop("ids")
     keep = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,9 +185,35 @@ def encode_column(df: DataFrame, text: str = "text", *, tokenizer: str = "byte_b
                 if held >= chars or i == len(texts) - 1:
                     ids = list(bpe.encode(texts[first : i + 1]))
                     out = pdf.iloc[first : i + 1][keep].copy()
-                    out[name] = [len(x) for x in ids] if counts_only else [x.tolist() for x in ids]
+                    out["ids"] = [x.tolist() for x in ids]
                     yield out
                     held, first = 0, i + 1
 
-    schema = df.select(*keep, F.lit(0).cast("int").alias(name) if counts_only else F.array(F.lit(0)).alias(name)).schema
+    schema = df.select(*keep, F.array(F.lit(0)).alias("ids")).schema
     return df.mapInPandas(run, schema)
+
+
+def count_column(df: DataFrame, text: str = "text", head: str | None = None, *, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, chars: int = 2_000_000) -> DataFrame:
+    """``df`` with ``n_tokens int`` and ``n_head int`` added: the tokens of its text, and of the first ``head`` characters.
+
+    ``head`` is an integer column (null counts as 0). Null and empty texts have 0 tokens. Texts are encoded whole;
+    all other columns are kept.
+    """
+    path = os.path.join(tokenizer_dir, f"{tokenizer}.json")
+    df = df.drop("n_tokens", "n_head")
+    keep = df.columns
+    first = F.coalesce(F.col(head), F.lit(0)).cast("int") if head else F.lit(0)
+    src = df.withColumn("_head", first)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = load_bpe(path)
+        for pdf in batches:
+            size = np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf[text]])
+            cuts = [0, *(np.flatnonzero(np.diff(size // chars)) + 1).tolist(), len(pdf)]
+            for a, z in zip(cuts, cuts[1:]):
+                part = pdf.iloc[a:z]
+                n = bpe.counts([t if isinstance(t, str) else None for t in part[text]], part._head.tolist())
+                yield part[keep].assign(n_tokens=[x for x, _ in n], n_head=[y for _, y in n])
+
+    schema = df.select(*keep, F.lit(0).cast("int").alias("n_tokens"), F.lit(0).cast("int").alias("n_head")).schema
+    return src.mapInPandas(run, schema)

@@ -46,7 +46,7 @@ def span_labels(segments: DataFrame, units: DataFrame) -> DataFrame:
     return best.select((-F.col("m.k")).alias("unit_id"), "document_id", "coder_id", "code_id").distinct()
 
 
-def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12, theta0: float = 0.7, smooth: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def fit_competence(labels: DataFrame, *, space: str = "space", tolerance: float = 2e-3, most: int = 200, theta0: float = 0.7, smooth: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """Posterior codes and annotator competence.
 
     ``labels``: unit_id, coder_id, code_id and ``space``, the label set a unit chooses from (for codes: the
@@ -54,6 +54,9 @@ def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12,
     someone gave the unit); coders has coder_id, competence, n_labels. Repeated labels count once; labels with
     a null in any column are ignored; without labels both results are empty. Competence has a Beta(7, 3)/5
     prior, guess distributions a symmetric one of weight ``smooth``, so single-label annotators stay defined.
+
+    Rounds go on until no annotator's competence moves by more than ``tolerance``; a fit that has not settled
+    after ``most`` rounds is an error.
     """
     lab = labels.select("unit_id", "coder_id", "code_id", F.col(space).alias("space")).dropna().distinct()
     sizes = lab.select("space", "code_id").distinct().groupBy("space").agg(F.count("*").alias("k"))
@@ -64,7 +67,7 @@ def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12,
     # before the first round the guesses of an annotator follow the labels given
     params = given.select("coder_id", "code_id", F.lit(theta0).alias("theta"), ((F.col("n") + smooth / F.col("k")) / (F.sum("n").over(own) + smooth)).alias("xi"))
     unit, vote = Window.partitionBy("unit_id"), Window.partitionBy("unit_id", "code_id")
-    for i in range(rounds + 1):
+    for _ in range(most):
         params = cut(params)
         odds = F.col("theta") / ((1 - F.col("theta")) * F.col("xi"))
         scored = (
@@ -77,19 +80,22 @@ def fit_competence(labels: DataFrame, *, space: str = "space", rounds: int = 12,
         mass = F.exp(F.col("score") - F.col("top"))
         total = F.sum(mass / F.col("votes")).over(unit) + (F.col("k") - F.sum(1 / F.col("votes")).over(unit)) * F.exp(-F.col("top"))
         scored = scored.withColumn("posterior", mass / total)
-        if i == rounds:
-            break
         truthful = F.col("posterior") * F.col("odds") / (1 + F.col("odds"))
-        step = scored.groupBy("coder_id", "space", "code_id").agg(F.first("k").alias("k"), F.count("*").alias("n"), F.sum(truthful).alias("s"))
+        step = scored.groupBy("coder_id", "space", "code_id").agg(F.first("k").alias("k"), F.count("*").alias("n"), F.sum(truthful).alias("s"), F.first("theta").alias("was"))
         step = cut(step)
         # one row a coder; Spark broadcasts it while its size allows
-        total = step.groupBy(F.col("coder_id").alias("_c")).agg(((F.sum("s") + 1.4) / (F.sum("n") + 2.0)).alias("theta"))
+        total = step.groupBy(F.col("coder_id").alias("_c")).agg(((F.sum("s") + 1.4) / (F.sum("n") + 2.0)).alias("theta"), F.first("was").alias("was"))
+        moved = total.agg(F.max(F.abs(F.col("theta") - F.col("was")))).first()[0]
+        if moved is None or moved < tolerance:
+            break
         params = step.join(total, F.col("coder_id") == F.col("_c")).select(
             "coder_id",
             "code_id",
             "theta",
             ((F.col("n") - F.col("s") + smooth / F.col("k")) / (F.sum(F.col("n") - F.col("s")).over(own) + smooth)).alias("xi"),
         )
+    else:
+        raise RuntimeError(f"competences still move by {moved:.4f} after {most} rounds")
     posterior = scored.groupBy("unit_id", "code_id").agg(F.first("posterior").alias("posterior"))
     coders = scored.groupBy("coder_id").agg(F.first("theta").alias("competence"), F.count("*").alias("n_labels"))
     return posterior, coders

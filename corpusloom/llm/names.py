@@ -1,15 +1,21 @@
 """Variant spellings of names: merge-and-rematch resolution.
 
 A spelling is read as an organisation (a place and canonical kind words), a name in Han characters (spaces,
-old forms and titles undone) or a person (two or more name parts and initials). Persons are blocked on the part
-that goes with the fewest other parts, the surname in whatever order it was typed, and rare variants of a block
-key one typing error away join its block. In a block, matched records merge to profiles that unite spellings,
-given names and initials; a merged profile is matched again, as an initial that fitted two people may fit only
-one of the richer profiles, until nothing merges any more.
+old forms, confusable characters and titles undone) or a person (two or more name parts and initials). Persons are
+blocked on the part that goes with the fewest other parts, the surname in whatever order it was typed; a spelling
+whose surname cannot be told enters two blocks, and rare variants of a block key one typing error away join its
+block. In a block, matched records merge to profiles that unite spellings, given names and initials; a merged
+profile is matched again, as an initial that fitted two people may fit only one of the richer profiles. Profiles
+that prove to hold the same spelling in two blocks unite and enter all blocks of their spellings again, until
+nothing merges any more.
+
+A block receives its distinct readings only, however many spellings have them, and finds the partners of a profile
+by an index of given names, so its work grows with the number of matches and not with its square.
 """
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,6 +63,8 @@ OLD_FORMS = str.maketrans(
     "櫻澤邊邉瀧實廣濱齋齊斎嶋嶌峯國學惠壽靜德萬藏豐榮眞髙﨑龍條鹽鐵關圓圖櫂渡邨畑淺黑曾會單嚴彌與團應懷戶拔搖擴敍敕晉曆來樂樣橫檢歐歷殘氣沒淨濟營爲獨當發盡眾祕禪禮稻穗總綠緣縣聲臺與蘆虛蟲裝覺讓證譽贊轉辭遙鄕醫釀錄鍊隆隨隱雙雜靈顯驅驛體鷄麥黨齡齒龜兒亞佛價傳儀劍勞勳勵區參嚙壞壯壹寢對專將尙屆屬巢帶廢彈從恆悅惡戰擇擊據擧攝敎數晝曉條枢槪樓權歡步殼每浪淸溪滿漢潛澁瀨燈燒燕犧狹獸玆瓣畫疊癡盜硏礎福竊粹絲經繪繼續纖羣舊舍莊萩藝藥蘭號蠶衞裏變豫賣賴贈踐輕遞遲邦釋鎭鑄闊陷險雞靑靜顏飮餘駐騷鬪鶴鷗鹿",
     "桜沢辺辺滝実広浜斉斉斉島島峰国学恵寿静徳万蔵豊栄真高崎竜条塩鉄関円図櫂渡村畑浅黒曽会単厳弥与団応懐戸抜揺拡叙勅晋暦来楽様横検欧歴残気没浄済営為独当発尽衆秘禅礼稲穂総緑縁県声台与芦虚虫装覚譲証誉賛転辞遥郷医醸録錬隆随隠双雑霊顕駆駅体鶏麦党齢歯亀児亜仏価伝儀剣労勲励区参噛壊壮壱寝対専将尚届属巣帯廃弾従恒悦悪戦択撃拠挙摂教数昼暁条枢概楼権歓歩殻毎浪清渓満漢潜渋瀬灯焼燕犠狭獣茲弁画畳痴盗研礎福窃粋糸経絵継続繊群旧舎荘萩芸薬蘭号蚕衛裏変予売頼贈践軽逓遅邦釈鎮鋳闊陥険鶏青静顔飲余駐騒闘鶴鴎鹿",
 )
+# Characters of given names that are taken for one another when they are typed by their sound.
+OLD_FORMS |= str.maketrans("朗籐", "郎藤")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _HAN_TAIL = regex.compile(r"(?:著者|著|編著|編|氏|先生|撰|記|輯|校|訳|譯|君|殿|様|女史)$")
 _NOTE = regex.compile(r"\([^)]*\)|\[[^\]]*\]|（[^）]*）|［[^］]*］")
@@ -174,98 +182,168 @@ def full_given(name: str, block: set[str]) -> str:
     return rank[0][1] if rank and (len(rank) == 1 or rank[0][0] < rank[1][0]) else name
 
 
-def same_given(a: str, b: str, common: dict[str, int]) -> bool:
-    """Whether two given names are one: a short form of the other, or one slip off it unless both are names of their own."""
-    if a == b or b in full_names(a) or a in full_names(b):
-        return True
-    s, f = sorted((a, b), key=len)
-    if 3 <= len(s) <= 5 and len(f) >= len(s) + 2 and (f.startswith(s) or f.endswith(s)):
-        return True
-    if len(s) < 4 or not one_slip(a, b):
-        return False
+def slip_of(a: str, b: str, common: dict[str, int]) -> bool:
+    """Whether one of two given names a slip apart is a slip of the other, not a name of its own."""
     few, many = sorted((common.get(a, 0), common.get(b, 0)))
     return few <= FEW_PARTNERS or few < SLIP_SHARE * many
 
 
-def resolve_block(records: list[tuple[list[str], list[str], str, str]], common: dict[str, int]) -> list[int]:
-    """Cluster number of each (given names, initials, surname as typed, block's surname) of a block.
+def related_names(names: set[str], common: dict[str, int]) -> tuple[dict[str, set[str]], dict[str, set[str]]]:
+    """For each given name those that are the same: (by short forms alone, by beginnings, ends and slips too).
 
-    ``common``: how many surnames each given name goes with.
+    Partners are looked up: a short form's full names, the beginnings and ends of a name among the short ones, and
+    for slips the names that are left when one character is dropped.
     """
-    profiles: list[Profile] = []
-    block = {g for given, _, _, _ in records for g in given[:1]}
-    for i, (given, initials, typed, key) in enumerate(records):
-        g = {full_given(given[0], block)} if given else set()
-        first = {x[0] for x in (*g, *given[:1], *(f for s in g for f in full_names(s)))} or set(initials[:1])
-        middle = {x[0] for x in given[1:]} | set(initials if given else initials[1:])
-        profiles.append(Profile([i], g, first, middle, typed != key))
-
+    close = {a: {a} for a in names}
+    for a in names:
+        for b in full_names(a) & names:
+            close[a].add(b)
+            close[b].add(a)
+    wide = {a: set(v) for a, v in close.items()}
+    rests: dict[str, list[str]] = {}
+    for f in sorted(names):
+        for k in (3, 4, 5):
+            if len(f) >= k + 2:
+                for s in {f[:k], f[-k:]} & names:
+                    wide[f].add(s)
+                    wide[s].add(f)
+        if len(f) >= 4:
+            for r in {f, *(f[:i] + f[i + 1 :] for i in range(len(f)))}:
+                rests.setdefault(r, []).append(f)
+    for own in rests.values():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if b not in wide[a] and one_slip(a, b) and slip_of(a, b, common):
+                    wide[a].add(b)
+                    wide[b].add(a)
+    return close, wide
+
+
+class Block:
+    """The profiles of a block and indexes of their given names and initials."""
+
+    def __init__(self, profiles: list[Profile], common: dict[str, int]) -> None:
+        self.close, self.wide = related_names({g for p in profiles for g in p.given}, common)
+        self.live: dict[int, Profile] = {}
+        self.by_given: dict[str, set[int]] = {}
+        self.by_first: dict[str, set[int]] = {}
+        for i, p in enumerate(profiles):
+            self.live[i] = p
+            self.enter(i)
+
+    def enter(self, i: int) -> None:
+        for g in self.live[i].given:
+            self.by_given.setdefault(g, set()).add(i)
+        for c in self.live[i].first:
+            self.by_first.setdefault(c, set()).add(i)
+
+    def leave(self, i: int) -> None:
+        for g in self.live[i].given:
+            self.by_given[g].discard(i)
+        for c in self.live[i].first:
+            self.by_first[c].discard(i)
+        del self.live[i]
+
+    @staticmethod
     def clash(p: Profile, q: Profile) -> bool:
         return bool(p.middle and q.middle and not p.middle & q.middle)
 
-    def fits(p: Profile, q: Profile) -> int:
-        """0 no match, 1 by an initial, 2 by given names."""
-        if clash(p, q):
-            return 0
-        if p.given and q.given:
-            if p.given & q.given:
-                return 2
-            if p.slip or q.slip:  # one slip is enough: with another surname the given names must agree
-                return 2 if any(b in full_names(a) or a in full_names(b) for a in p.given for b in q.given) else 0
-            return 2 if any(same_given(a, b, common) for a in p.given for b in q.given) else 0
-        return 1 if p.first & q.first else 0
-
-    def apart(p: Profile, q: Profile) -> bool:
+    def strong(self, i: int) -> set[int]:
+        """Profiles that fit by given names."""
+        p = self.live[i]
+        near = {k for g in p.given for h in self.close[g] for k in self.by_given[h]}
+        # one slip is enough: with another surname the given names must agree
+        far = set() if p.slip else {k for g in p.given for h in self.wide[g] for k in self.by_given[h] if not self.live[k].slip}
+        return {k for k in near | far if k != i and not self.clash(p, self.live[k])}
+
+    def apart(self, p: Profile, q: Profile) -> bool:
         """Whether the two are different people for sure."""
-        return clash(p, q) or bool(p.given and q.given) and not any(same_given(a, b, common) for a in p.given for b in q.given)
+        return self.clash(p, q) or bool(p.given and q.given) and not any(self.wide[g] & q.given for g in p.given)
 
-    def merge(p: Profile, q: Profile) -> None:
+    def merge(self, i: int, j: int) -> None:
+        p, q = self.live[i], self.live[j]
+        self.leave(j)
         p.members += q.members
         p.given |= q.given
         p.first |= q.first
         p.middle |= q.middle
         p.slip &= q.slip
-        profiles.remove(q)
+        self.enter(i)
 
-    # equal profiles first, so that what follows compares few
-    by: dict[tuple, Profile] = {}
-    for p in list(profiles):
-        k = (frozenset(p.given), frozenset(p.first), frozenset(p.middle), p.slip)
-        if k in by:
-            by[k].members += p.members
-        else:
-            by[k] = p
-    profiles = list(by.values())
-    changed = True
-    while changed:
+    def by_names(self, todo: list[int]) -> bool:
+        """Merge what given names unite, beginning with the profiles ``todo``; whether any did."""
+        rank = lambda i: (not self.live[i].given, not self.live[i].middle, -len(self.live[i].members), i)
+        heap = [rank(i) for i in todo]
+        heapq.heapify(heap)
         changed = False
-        for p in sorted(profiles, key=lambda p: (not p.given, not p.middle, -len(p.members))):
-            if p not in profiles:
+        while heap:
+            i = heapq.heappop(heap)[-1]
+            if i not in self.live or not self.live[i].given:
                 continue
-            rest = [q for q in profiles if q is not p]
-            strong = [q for q in rest if fits(p, q) == 2]
-            # a name that two different people could bear is left alone until they turn out to be one
-            for q in strong:
-                if any(apart(p, x) or apart(q, x) for x in profiles if x is not p and x is not q and (fits(p, x) == 2 or fits(q, x) == 2)):
+            mine = self.strong(i)
+            for j in sorted(mine):
+                p, q = self.live[i], self.live[j]
+                # a name that two different people could bear is left alone until they turn out to be one
+                if any(self.apart(q, self.live[x]) for x in mine - {j}) or any(self.apart(p, self.live[x]) for x in self.strong(j) - {i}):
                     continue
-                merge(p, q)
+                around = mine | self.strong(j)
+                self.merge(i, j)
                 changed = True
+                for x in {i, *around, *self.strong(i)} & self.live.keys():
+                    heapq.heappush(heap, rank(x))
                 break
-            if changed:
-                break
-        if changed:
-            continue
-        for q in [x for x in profiles if not x.given]:
-            able = [p for p in profiles if p is not q and fits(p, q)]
-            exact = [p for p in able if q.middle and p.middle & q.middle]
-            named = [p for p in able if p.given]
-            pick = exact if len(exact) == 1 else able if len(able) == 1 else named if len(named) == 1 else []
+        return changed
+
+    def by_initials(self) -> bool:
+        """Merge the profiles without a given name into the only one that they fit; whether any did."""
+        changed = False
+        for j in [i for i, p in self.live.items() if not p.given]:
+            if j not in self.live:
+                continue
+            q = self.live[j]
+            able = {k for c in q.first for k in self.by_first[c] if k != j and not self.clash(q, self.live[k])}
+            exact = [k for k in able if q.middle and self.live[k].middle & q.middle]
+            named = [k for k in able if self.live[k].given]
+            pick = exact if len(exact) == 1 else list(able) if len(able) == 1 else named if len(named) == 1 else []
             if pick:
-                merge(pick[0], q)
+                self.merge(pick[0], j)
+                self.by_names([pick[0], *self.strong(pick[0])])
                 changed = True
-                break
+        return changed
+
+
+def resolve_profiles(profiles: list[Profile], common: dict[str, int]) -> list[Profile]:
+    """The profiles of a block, merged as far as they match. ``common``: how many surnames each given name goes with."""
+    by: dict[tuple, Profile] = {}
+    for p in profiles:  # equal ones first
+        k = (frozenset(p.given), frozenset(p.first), frozenset(p.middle), p.slip)
+        if k in by:
+            by[k].members += p.members
+        else:
+            by[k] = p
+    block = Block(list(by.values()), common)
+    block.by_names(list(block.live))
+    while block.by_initials():
+        pass
+    return list(block.live.values())
+
+
+def profiles_of(records: list[tuple[list[str], list[str], str, str]]) -> list[Profile]:
+    """A profile for each (given names, initials, surname as typed, block's surname) of a block."""
+    block = {g for given, _, _, _ in records for g in given[:1]}
+    out = []
+    for i, (given, initials, typed, key) in enumerate(records):
+        g = {full_given(given[0], block)} if given else set()
+        first = {x[0] for x in (*g, *given[:1], *(f for s in g for f in full_names(s)))} or set(initials[:1])
+        middle = {x[0] for x in given[1:]} | set(initials if given else initials[1:])
+        out.append(Profile([i], g, first, middle, typed != key))
+    return out
+
+
+def resolve_block(records: list[tuple[list[str], list[str], str, str]], common: dict[str, int]) -> list[int]:
+    """Cluster number of each record of a block, as :func:`profiles_of` takes them."""
     out = [0] * len(records)
-    for c, p in enumerate(profiles):
+    for c, p in enumerate(resolve_profiles(profiles_of(records), common)):
         for i in p.members:
             out[i] = c
     return out
@@ -343,27 +421,103 @@ def resolve_names(names: DataFrame, col: str = "name") -> DataFrame:
     last = (F.col("sz") > F.col("sa")) | ((F.col("sz") == F.col("sa")) & (F.col("dz") <= F.col("da")))
     main = F.when(shown, F.expr("element_at(parts, surname + 1)")).otherwise(F.when(last, F.col("z")).otherwise(F.col("a")))
     also = F.when(~shown & (F.size("parts") > 1) & (F.greatest("da", "dz") <= FEW_PARTNERS), F.when(last, F.col("a")).otherwise(F.col("z")))
-    placed = cut(ends.select("name", "parts", "initials", F.explode(F.array_compact(F.array(main, also))).alias("typed")))
+    placed = cut(ends.select("name", "parts", "initials", shown.alias("shown"), F.explode(F.array_compact(F.array(main, also))).alias("typed")))
     mains = block_keys(placed.groupBy("typed").agg(F.count("*").alias("n")), "typed").select(F.col("key").alias("_k"), F.col("main").alias("block"))
-    placed = lookup(placed, "typed", mains, "_k").select("name", "parts", "initials", "typed", "block")
+    placed = lookup(placed, "typed", mains, "_k").select("name", "parts", "initials", "shown", "typed", "block")
     # given names that many bear; the first part apart from the surname is looked up
     placed = placed.withColumn("given", F.expr("filter(parts, p -> p <> typed)")).withColumn("g0", F.get("given", F.lit(0)))
     known = lookup(cut(placed), "g0", partners.select(F.col("part").alias("_g"), F.col("d").alias("dg")), "_g")
+    person = _resolve_people(known).select("name", "identity")
+    return cut(han.unionByName(org).unionByName(person))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name")
+
+_CLUSTER = "reading string, cluster string, block string, given array<string>, first array<string>, middle array<string>, slip boolean"
+
+
+def _resolve_people(placed: DataFrame) -> DataFrame:
+    """(name, identity) of spellings placed in blocks: name, given, initials, shown, typed, block, g0 and dg, the number
+    of surnames that the first given name goes with."""
+    reading = F.concat_ws("\x01", "block", "typed", F.array_join("given", " "), F.array_join("initials", " "))
+    placed = cut(placed.withColumn("reading", reading))
+    # many spellings have one reading, and only that goes to a block
+    distinct = placed.groupBy("reading", "block", "typed", "given", "initials").agg(F.min("name").alias("lead"), F.max("g0").alias("g0"), F.max("dg").alias("dg"))
+
+    def first_round(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lead")
         common = {g: int(d) for g, d in zip(pdf.g0, pdf.dg) if isinstance(g, str) and d == d}
-        c = resolve_block([(list(g), list(i), t, b) for g, i, t, b in zip(pdf.given, pdf.initials, pdf.typed, pdf.block)], common)
-        lead: dict[int, str] = {}
-        for k, n in zip(c, pdf.name):
-            lead.setdefault(k, n)
-        size = {k: c.count(k) for k in set(c)}
-        return pd.DataFrame({"name": pdf.name, "identity": ["p:" + lead[k] for k in c], "n": [size[k] for k in c]})
-
-    found = spread(known.select("name", "given", "initials", "typed", "block", "g0", "dg"), "block").groupBy("block").applyInPandas(run, "name string, identity string, n long")
-    # a spelling in two blocks goes where it has more company
-    person = found.groupBy("name").agg(F.max(F.struct("n", "identity")).alias("m")).select("name", F.col("m.identity").alias("identity"))
-    return cut(han.unionByName(org).unionByName(person))
+        own = profiles_of([(list(g), list(i), t, b) for g, i, t, b in zip(pdf.given, pdf.initials, pdf.typed, pdf.block)])
+        own = [(list(p.given), list(p.first), list(p.middle), p.slip) for p in own]
+        reading, lead, block = pdf.reading.tolist(), pdf["lead"].tolist(), pdf.block.iloc[0]
+        merged = resolve_profiles([Profile([i], set(g), set(f), set(m), s) for i, (g, f, m, s) in enumerate(own)], common)
+        rows = [(reading[i], f"p:{block}:{lead[min(p.members)]}", block, *own[i]) for p in merged for i in p.members]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _CLUSTER.split(", ")])
+
+    found = cut(spread(distinct, "block").groupBy("block").applyInPandas(first_round, _CLUSTER))
+    at = cut(placed.join(found.select(F.col("reading").alias("_r"), "cluster"), F.col("reading") == F.col("_r")).groupBy("name", "cluster").agg(F.max("shown").alias("shown")))
+    size = at.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("n"), F.max("shown").alias("seen"))
+    at = cut(lookup(at, "cluster", size, "_c").drop("_c"))
+    # a spelling that has company in two blocks unites the two profiles, unless both show another surname
+    both = at.groupBy("name").agg(F.collect_list(F.struct("cluster", "n", "seen")).alias("c")).where(F.size("c") > 1)
+    links = cut(both.where("c[0].n > 1 and c[1].n > 1 and not (c[0].seen and c[1].seen)").select(F.col("c")[0]["cluster"].alias("a"), F.col("c")[1]["cluster"].alias("b")).distinct())
+    if not links.isEmpty():
+        common = placed.where("g0 is not null").groupBy("block").agg(F.map_from_entries(F.collect_set(F.struct("g0", F.coalesce("dg", F.lit(0)).alias("d")))).alias("common"))
+        into = _rematch(found, links, cut(common))
+        at = cut(at.join(into.select(F.col("cluster").alias("_c"), "top"), F.col("cluster") == F.col("_c"), "left").select("name", F.coalesce("top", "cluster").alias("cluster")))
+        at = at.distinct()
+        n = at.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("n"))
+        at = lookup(cut(at), "cluster", n, "_c")
+    # otherwise it goes where it has more company
+    return at.groupBy("name").agg(F.max(F.struct("n", "cluster")).alias("m")).select("name", F.col("m.cluster").alias("identity"))
+
+
+def _rematch(found: DataFrame, links: DataFrame, common: DataFrame) -> DataFrame:
+    """(cluster, top): the clusters that links unite, and what they merge with when they enter their blocks again."""
+    sets = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    parts = found.groupBy("cluster").agg(F.collect_set("block").alias("blocks"), sets("given"), sets("first"), sets("middle"), F.min("slip").alias("slip"))
+    into = cut(components(links).select(F.col("node").alias("cluster"), F.col("root").alias("top")))
+    parts = cut(parts)
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cluster")
+        known = {k: int(v) for k, v in (pdf.common.iloc[0] or {}).items()} if pdf.common.iloc[0] is not None else {}
+        own = [Profile([i], set(g), set(f), set(m), bool(s)) for i, (g, f, m, s) in enumerate(zip(pdf.given, pdf["first"], pdf.middle, pdf.slip))]
+        names = pdf.cluster.tolist()
+        rows = [(names[i], names[min(p.members)]) for p in resolve_profiles(own, known) for i in p.members if i != min(p.members)]
+        return pd.DataFrame(rows, columns=["a", "b"])
+
+    while True:
+        top = F.coalesce("top", "cluster")
+        now = parts.join(into.withColumnRenamed("cluster", "_c"), F.col("cluster") == F.col("_c"), "left").groupBy(top.alias("cluster"))
+        now = cut(now.agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"), sets("given"), sets("first"), sets("middle"), F.min("slip").alias("slip")))
+        # richer profiles enter all blocks of their spellings
+        fresh = now.join(into.select(F.col("top").alias("_t")).distinct(), F.col("cluster") == F.col("_t"), "left_semi").select(F.explode("blocks").alias("_b")).distinct()
+        enter = now.withColumn("block", F.explode("blocks")).join(fresh, F.col("block") == F.col("_b"), "left_semi").join(common.withColumnRenamed("block", "_k"), F.col("block") == F.col("_k"), "left").drop("_k", "blocks")
+        more = cut(spread(enter, "block").groupBy("block").applyInPandas(again, "a string, b string"))
+        if more.isEmpty():
+            return into
+        all_ = into.select(F.col("cluster").alias("a"), F.col("top").alias("b")).unionByName(more)
+        into = cut(components(all_).select(F.col("node").alias("cluster"), F.col("root").alias("top")))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): connected components of links (a, b); root is the smallest node.
+
+    Each round takes the smallest label among a node's neighbours and then that label's own, so the number of
+    rounds grows with the logarithm of a component's length.
+    """
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    while True:
+        label = cut(label)
+        of = label.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        near = edges.join(of, F.col("b") == F.col("_n")).groupBy(F.col("a").alias("_a")).agg(F.min("_r").alias("m"))
+        low = label.join(near, F.col("node") == F.col("_a")).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
+        low = cut(low)
+        jump = low.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        nxt = cut(low.join(jump, F.col("root") == F.col("_n"), "left").select("node", "was", F.least("root", F.coalesce("_r", "root")).alias("root")))
+        if nxt.where("was <> root").isEmpty():
+            return nxt.select("node", "root")
+        label = nxt.select("node", "root")
 
 
 def spelling_pairs(resolved: DataFrame) -> DataFrame:

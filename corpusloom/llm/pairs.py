@@ -32,34 +32,38 @@ def baskets(rows: DataFrame, group: str, basket: str, item: str) -> DataFrame:
 def pair_counts(b: DataFrame) -> DataFrame:
     """Exact (g, a, b, n_ab) for a < b over distinct baskets.
 
-    A basket's items are cut into blocks of ``BLOCK``; each pair of blocks is a row of its own, so a basket
-    with a third of all rows is spread over many tasks and no task holds more than two blocks of it at once.
-    Counts are combined before the shuffle.
+    A basket of more than ``BLOCK`` items is cut into blocks by a hash of the item, and each pair of its blocks is
+    a row with a key of its own, so a basket with a third of all rows is spread over many tasks; no window or
+    group holds a whole one. Counts are combined before the shuffle.
     """
-    order = Window.partitionBy("g", "basket").orderBy("item")
-    numbered = b.withColumn("blk", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy("g", "basket", "blk").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    keyed = b.withColumn("bk", F.to_json(F.struct("g", "basket")))
+    large = keyed.groupBy(F.col("bk").alias("_bk")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("nb > 1")
+    keyed = lookup(cut(keyed), "bk", cut(large), "_bk").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    numbered = keyed.withColumn("blk", F.pmod(F.xxhash64("item"), F.col("nb")).cast("int"))
+    blocks = numbered.groupBy("g", "basket", "blk").agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("nb").alias("nb"))
     within = blocks.select("g", F.expr("inline(flatten(transform(items, (x, i) -> transform(slice(items, i + 2, size(items)), y -> struct(x as a, y as b)))))"))
-    other = blocks.where("blk > 0").select(F.col("g").alias("g2"), F.col("basket").alias("k2"), F.col("blk").alias("blk2"), F.col("items").alias("items2"))
-    wide = other.select("g2", "k2").distinct()
-    left = blocks.join(wide, (F.col("g") == F.col("g2")) & (F.col("basket") == F.col("k2")), "left_semi")
-    across = left.join(other, (F.col("g") == F.col("g2")) & (F.col("basket") == F.col("k2")) & (F.col("blk") < F.col("blk2"))).select(
-        "g", F.expr("inline(flatten(transform(items, x -> transform(items2, y -> struct(x as a, y as b)))))")
-    )
+    sent = blocks.where("nb > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("to <> blk")
+    met = sent.groupBy("g", "basket", F.least("blk", "to").alias("lo"), F.greatest("blk", "to").alias("hi")).agg(F.collect_list("items").alias("two")).where(F.size("two") == 2)
+    across = met.select("g", F.expr("inline(flatten(transform(two[0], x -> transform(two[1], y -> struct(least(x, y) as a, greatest(x, y) as b)))))"))
     return within.unionByName(across).groupBy("g", "a", "b").agg(F.count("*").alias("n_ab"))
 
 
-def fit_classes(k: np.ndarray, mk: np.ndarray, d: np.ndarray, md: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """x of the item classes (degree k, mk items each) and y of the basket classes (size d, md baskets each)."""
+def fit_classes(k: np.ndarray, mk: np.ndarray, d: np.ndarray, md: np.ndarray, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+    """x of the item classes (degree k, mk items each) and y of the basket classes (size d, md baskets each).
+
+    Rounds go on until both margins hold to a millionth. An item in every basket, or a basket of every item, has
+    no finite weight and gets a very large one; those close to it settle slowly and are left after ``most`` rounds, when
+    their margins hold to about 1 in ``most``.
+    """
     x = k / np.sqrt(max(1.0, float((k * mk).sum())))
     y = d / np.sqrt(max(1.0, float((k * mk).sum())))
-    for _ in range(rounds):
-        x1 = k / np.maximum((md * y / (1 + x[:, None] * y)).sum(1), 1e-300)
-        y1 = d / np.maximum((mk * x1 / (1 + y[:, None] * x1)).sum(1), 1e-300)
-        x1, y1 = np.minimum(x1, 1e9), np.minimum(y1, 1e9)
-        change = max(np.abs(x1 / x - 1).max(initial=0), np.abs(y1 / y - 1).max(initial=0))
-        x, y = x1, y1
-        if change < 1e-8:
+    full_x, full_y = k >= md.sum(), d >= mk.sum()
+    for _ in range(most):
+        x = np.where(full_x, 1e9, np.minimum(k / np.maximum((md * y / (1 + x[:, None] * y)).sum(1), 1e-300), 1e9))
+        y = np.where(full_y, 1e9, np.minimum(d / np.maximum((mk * x / (1 + y[:, None] * x)).sum(1), 1e-300), 1e9))
+        p = x[:, None] * y
+        p /= 1 + p
+        if max(np.abs(p @ md / k - 1).max(initial=0), np.abs(mk @ p / d - 1).max(initial=0)) < 1e-6:
             break
     return x, y
 

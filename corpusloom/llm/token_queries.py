@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import encode_column
+from corpusloom.llm.bpe import count_column, encode_column
 from corpusloom.llm.packing import pack
 from corpusloom.llm.queries import llm
-from corpusloom.session import table
+from corpusloom.session import ample, table
+
+
+#: What opens a document, up to its first stop or line break, is its prompt and bears no loss.
+PROMPT = r"^[^\n.!?。！？।]*[\n.!?。！？।]+"
 
 
 @llm.query("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_column(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encode_column(ample(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")).select("doc_id", "ids")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), counts_only=True).select("doc_id", "n_tokens"))
+    docs = ample(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    head = F.length(F.regexp_extract("text", PROMPT, 0))
+    sized = count_column(docs.withColumn("head", head), head="head").select("doc_id", "n_tokens", "n_head")
+    return pack(sized, prompt_col="n_head")
 
 
 @llm.query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
+    """Documents of which a second piece lies in a container."""
+    return _packed(spark, sf_dir).where("piece > 0").select("doc_id").distinct()
 
 
 @llm.query("p9_containers")
@@ -33,6 +41,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @llm.query("p9_fill")
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers by number of segments: how many, their tokens and the unused space."""
-    c = _packed(spark, sf_dir).groupBy("container_id").agg(F.count("*").alias("n_segments"), F.sum(F.col("tok_end") - F.col("tok_start")).alias("tokens"))
-    return c.groupBy("n_segments").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("tokens"), F.sum(2048 - F.col("tokens")).alias("unused"))
+    """Containers by number of segments: how many, their tokens, loss-bearing tokens and the unused space."""
+    size = F.col("tok_end") - F.col("tok_start")
+    c = _packed(spark, sf_dir).groupBy("container_id").agg(F.count("*").alias("n_segments"), F.sum(size).alias("tokens"), F.sum("n_loss").alias("loss"))
+    return c.groupBy("n_segments").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"), F.sum(2048 - F.col("tokens")).alias("unused"))

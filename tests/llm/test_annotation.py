@@ -39,11 +39,13 @@ def test_mixture_beats_the_majority(spark):
 def test_consensus_edges(spark):
     s = "unit_id long, coder_id long, code_id long, space long"
     lab = spark.createDataFrame([(1, 1, 5, 1), (2, 1, 5, 1), (2, 2, 6, 1)], s)
-    post, _ = consensus.fit_competence(lab, rounds=3)
+    post, _ = consensus.fit_competence(lab)
     got = {r.unit_id: r for r in consensus.consensus(lab, post).collect()}
     assert got[1].agreement is None and got[1].code_id == 5 and got[2].agreement == 0
     assert consensus.consensus(lab, post, min_coders=2).count() == 1
-    post, coders = consensus.fit_competence(lab.where("false"), rounds=2)
+    with pytest.raises(RuntimeError):
+        consensus.fit_competence(lab, most=1, tolerance=1e-12)
+    post, coders = consensus.fit_competence(lab.where("false"))
     assert post.count() == coders.count() == 0
 
 
@@ -80,6 +82,12 @@ def test_null_model_keeps_both_margins():
     assert (p * md).sum(1) == pytest.approx(k, rel=1e-5) and (p * mk[:, None]).sum(0) == pytest.approx(d, rel=1e-5)
 
 
+def test_null_model_with_full_items_and_baskets():
+    x, y = pairs.fit_classes(np.array([3.0, 20.0]), np.array([5.0, 1.0]), np.array([1.0, 6.0]), np.array([17.0, 3.0]))
+    p = x[:, None] * y / (1 + x[:, None] * y)
+    assert p[1] == pytest.approx([1, 1], abs=1e-3) and np.isfinite(p).all()
+
+
 def test_tails_against_exact_convolution():
     q, m = np.array([[0.02, 0.1, 0.4], [0.01, 0.05, 0.2]]), np.array([40, 20, 10])
     for n in (1, 4, 8, 12, 16):

@@ -1,5 +1,6 @@
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,7 +37,9 @@ def test_column(spark, reference):
     rows = bpe.encode_column(df).collect()
     assert [list(r.ids) for r in rows if r.doc_id < 3] == [[], []] and sum(r.doc_id == 3 for r in rows) == 2
     assert list(rows[-1].ids) == reference.encode("hello world").ids
-    assert [r.n_tokens for r in bpe.encode_column(df, counts_only=True, chars=5).collect()] == [0, 0, 2, 2]
+    heads = df.selectExpr("*", "case when doc_id = 3 then 5 end as head")
+    assert [(r.n_tokens, r.n_head) for r in bpe.count_column(heads, head="head", chars=5).collect()] == [(0, 0), (0, 0), (2, 1), (2, 1)]
+    assert [r.n_tokens for r in bpe.count_column(df).collect()] == [0, 0, 2, 2] and bpe.count_column(df.where("false")).count() == 0
     assert bpe.encode_column(df.where("false")).count() == 0
 
 
@@ -60,7 +63,8 @@ def test_packing(spark):
         assert [r.tok_start for r in d] == [0, *(r.tok_end for r in d[:-1])] and d[-1].tok_end == (n or 0)
         assert len(d) == max(1, -(-(n or 0) // 2048)) == d[0].n_pieces
     used = sum(n or 0 for n in sizes)
-    assert len(by) <= used / 2048 * 1.1 + 4 + len(sizes) / 16
+    assert all(sum(min(r.n_loss, 1792) for r in c) <= 1792 for c in by.values())
+    assert len(by) <= used / 1792 * 1.1 + 4 + len(sizes) / 16
 
 
 def test_packing_limits(spark):
@@ -68,3 +72,21 @@ def test_packing_limits(spark):
     assert max(sum(1 for r in rows if r.container_id == c) for c in {r.container_id for r in rows}) == 3
     assert packed(spark, []) == []
     assert packing.fill(np.array([60, 50, 40]), np.array([59, 49, 39]), 100, 8, 100).tolist() == [0, 1, 0]
+
+
+def test_loss_bearing_tokens_are_a_limit_of_their_own(spark):
+    rng = random.Random(4)
+    rows = [(i, n, rng.choice([0, n // 10, n // 2])) for i in range(600) for n in [rng.randrange(1, 900)]] + [(900, 2000, 0), (901, 3000, 2500)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens int, prompt int")
+    sums = {}
+    for limit in (1792, 1_000_000):
+        by = {}
+        for r in packing.pack(df, prompt_col="prompt", loss_capacity=limit).collect():
+            by.setdefault(r.container_id, []).append(r)
+        sums[limit] = [(sum(r.tok_end - r.tok_start for r in c), sum(r.n_loss for r in c), len(c)) for c in by.values()]
+        assert max(t for t, _, _ in sums[limit]) <= 2048
+        want = {i: max(0, n - max(1, p)) for i, n, p in rows}
+        assert Counter({i: sum(r.n_loss for c in by.values() for r in c if r.doc_id == i) for i in want}) == Counter(want)
+    # the limit holds but for the document that exceeds it by itself, and without it the containers are others
+    assert [x for x in sums[1792] if x[1] > 1792] == [(2000, 1999, 1)]
+    assert max(x for _, x, n in sums[1_000_000] if n > 1) > 1792 and len(sums[1_000_000]) < len(sums[1792])
