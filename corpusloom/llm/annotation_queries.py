@@ -11,8 +11,8 @@ from corpusloom.llm.queries import llm
 from corpusloom.session import cut, lookup, table
 
 
-#: Share of false discoveries among the pairs that are taken as more than chance.
-FALSE_SHARE = 0.05
+#: A pair is surprising if the null gives so many documents or more with at most this chance (log10).
+SURPRISING = -1.0
 
 
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,12 @@ pair AS (SELECT p.g, p.a, p.b, p.n AS n_ab, a.n AS n_a, b.n AS n_b, nd.n AS n FR
 
 @llm.query("p7_found", _USES + "SELECT a AS code_a_id, b AS code_b_id FROM pair WHERE n_ab >= 5 AND n_ab * n >= 3 * n_a * n_b")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose count the null does not explain (false discoveries at most ``FALSE_SHARE``), then the exact bounds."""
-    p = _code_pairs(spark, sf_dir).where(F.col("q_value") <= FALSE_SHARE)
+    """Pairs whose count is in the null's upper tail, then the exact bounds.
+
+    The q-values of ``p7_surprise`` are no use here: five documents where two are expected, which the bounds
+    ask for, are not rare among all pairs.
+    """
+    p = _code_pairs(spark, sf_dir).where(F.col("log10_p") <= SURPRISING)
     return p.where("n_ab >= 5 and n_ab * n >= 3 * n_a * n_b").select(F.col("a").alias("code_a_id"), F.col("b").alias("code_b_id"))
 
 
