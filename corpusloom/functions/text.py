@@ -38,18 +38,29 @@ def ascii_fold(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _spans_of(pieces: Column, keep: Column | None = None) -> Column:
-    """Half-open spans of consecutive pieces, blank ones left out."""
-    grown = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<char_start:int,char_end:int>>)").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).cast("int").alias("at"),
-            F.when(p.rlike(NON_WS), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("char_start"), (acc["at"] + F.length(p)).cast("int").alias("char_end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return grown
+#: Lengths that are added up in one go by :func:`running_ends`.
+_BLOCK = 64
+
+
+def running_ends(sizes: Column) -> Column:
+    """Running sums of an array of ints, in two levels so that no long array is grown element by element."""
+    none = F.expr("cast(array() as array<int>)")
+    last = F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")
+    part = lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))
+    add = lambda x, y: (x + y).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(part(b), F.lit(0), add))
+    begin = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+    within = lambda b, at: F.slice(F.aggregate(part(b), F.array(at), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))), 2, _BLOCK)
+    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(F.sequence(F.lit(0), last), F.slice(begin, 1, last + 1), within))).otherwise(none)
+
+
+def _spans_of(pieces: Column, gaps: Column | None = None) -> Column:
+    """Half-open spans of consecutive pieces, blank ones left out; ``gaps`` has the lengths of what stands behind each."""
+    size = F.transform(pieces, lambda p: F.length(p))
+    full = size if gaps is None else F.zip_with(size, gaps, lambda x, y: x + F.coalesce(y, F.lit(0)))
+    starts = F.zip_with(running_ends(full), full, lambda e, n: (e - n).cast("int"))
+    spans = F.zip_with(starts, pieces, lambda at, p: F.struct(at.alias("char_start"), (at + F.length(p)).cast("int").alias("char_end"), p.rlike(NON_WS).alias("kept")))
+    return F.transform(F.filter(spans, lambda x: x["kept"]), lambda x: F.struct(x["char_start"].alias("char_start"), x["char_end"].alias("char_end")))
 
 
 def char_spans(text: Column) -> Column:
@@ -67,41 +78,24 @@ def sentence_spans(text: Column) -> Column:
 
 def paragraph_spans(text: Column) -> Column:
     """Paragraphs between blank lines, without these; blank ones left out; none for null."""
+    parts, seps = _paragraphs(text)
+    return _spans_of(parts, F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(F.get(seps, i))))
+
+
+def _paragraphs(text: Column) -> tuple[Column, Column]:
+    """What stands between blank lines, and these."""
     t = F.coalesce(text, F.lit(""))
     sep = rf"\n{WS}*\n"
-    # texts and separators in turn: separators are marked by a leading U+0000 and left out below
-    seps = F.regexp_extract_all(t, F.lit(f"({sep})"), F.lit(1))
-    parts = F.split(t, sep, -1)
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(parts, i)) + F.coalesce(F.length(F.get(seps, i)), F.lit(0))).cast("int").alias("at"),
-            F.when(
-                F.get(parts, i).rlike(NON_WS),
-                F.concat(acc["out"], F.array(F.struct(acc["at"].alias("char_start"), (acc["at"] + F.length(F.get(parts, i))).cast("int").alias("char_end")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return walked
+    return F.split(t, sep, -1), F.regexp_extract_all(t, F.lit(f"({sep})"), F.lit(1))
 
 
 def paragraph_starts(text: Column) -> Column:
     """Where each separator between paragraphs starts."""
-    t = F.coalesce(text, F.lit(""))
-    sep = rf"\n{WS}*\n"
-    seps = F.regexp_extract_all(t, F.lit(f"({sep})"), F.lit(1))
-    parts = F.split(t, sep, -1)
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(parts, i)) + F.coalesce(F.length(F.get(seps, i)), F.lit(0))).cast("int").alias("at"),
-            F.when(F.get(seps, i).isNotNull(), F.concat(acc["out"], F.array((acc["at"] + F.length(F.get(parts, i))).cast("int")))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    parts, seps = _paragraphs(text)
+    n = F.size(seps)
+    full = F.zip_with(F.slice(parts, 1, F.greatest(n, F.lit(1))), seps, lambda p, q: F.length(p) + F.coalesce(F.length(q), F.lit(0)))
+    starts = F.zip_with(running_ends(full), seps, lambda e, q: (e - F.length(q)).cast("int"))
+    return F.when(n > 0, starts).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def paragraph_index(starts: Column, pos: Column) -> Column:
@@ -165,6 +159,19 @@ def detect_language(text: Column) -> Column:
     return F.when((cjk == 0) & (latin == 0), "und").when(cjk >= latin, "ja").otherwise("en")
 
 
+# Notations of the languages that have a reader of their own.
+EN_LABELS = ("en", "eng", "english", "英語")
+JA_LABELS = ("ja", "jpn", "jp", "japanese", "日本語")
+
+
+def language_of(label: Column, text: Column) -> Column:
+    """'en', 'ja' or 'other' of a label in any notation; a missing or blank label is made up for by the text's script."""
+    low = F.lower(F.regexp_extract(F.coalesce(label, F.lit("")), r"^\s*([^-_\s]*)", 1))
+    found = F.when(low == "", detect_language(text)).when(low.isin(*EN_LABELS), "en").when(low.isin(*JA_LABELS), "ja")
+    return F.when(found.isin("en", "ja"), found).otherwise("other")
+
+
+# Fixed values in the next three: hues, lightness, saturation; weights and limit of luminance; ends of the scale.
 def auto_color(i: Column) -> Column:
     """Twelve hues in turn at lightness .62 and saturation .55."""
     import colorsys
@@ -190,6 +197,7 @@ def color_scale(value: Column, peak: Column) -> Column:
     return F.when(peak <= 0, "#ffffff").otherwise(F.lower(F.format_string("#%02x%02x%02x", F.lit(255), shade(255), shade(220))))
 
 
+# The order and marks of the three forms.
 def citation(author: Column, title: Column, year: Column, source: Column, style: str = "sist02", quote: Column | None = None, locator: Column | None = None) -> Column:
     """A reference in apa, chicago or sist02 form; an unknown style is an error.
 
@@ -262,8 +270,9 @@ def like_ascii(c: Column, query: str) -> Column:
 
 
 def layout_label(language: Column, vertical: Column) -> Column:
-    """Label of a page's layout: language and direction of writing."""
-    return F.concat(F.when(language == "ja", "Japanese").when(language == "en", "English").otherwise("Unknown"), F.when(vertical, " vertical").otherwise(" horizontal"))
+    """Label of a page's layout: language and direction of writing; an undetermined language has no direction."""
+    name = F.when(language == "ja", "Japanese").when(language == "en", "English").otherwise("Unknown")
+    return F.when(F.coalesce(language, F.lit("")) == "und", name).otherwise(F.concat(name, F.when(vertical, " vertical").otherwise(" horizontal")))
 
 
 def any_contains(haystack: Column, needles: Sequence[str]) -> Column:

@@ -85,6 +85,12 @@ def examples(segments: DataFrame, documents: DataFrame) -> DataFrame:
     return q.groupBy("code_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "quote"))), lambda x: x["quote"]).alias("quotes"))
 
 
+def first_examples(segments: DataFrame, documents: DataFrame, chars: int = 80) -> DataFrame:
+    """Per code the start of its first quote that is not empty: code_id, example."""
+    q = quotes(segments, documents).where(F.col("quote") != "")
+    return q.groupBy("code_id").agg(F.min_by(F.substring("quote", 1, chars), "id").alias("example"))
+
+
 def gram_vectors(texts: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
     """Sparse vectors (key, gram, w) of character n-gram counts."""
     return texts.select(key, F.explode(T.ngrams(F.col(text), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").cast("double").alias("w"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut, number
+
 ROLES = ("admin", "coder", "viewer")
 STATES = ("draft", "reviewed", "confirmed")
 # What each role may do.
@@ -141,9 +145,50 @@ def apply_records(segments: DataFrame, classified_ids: DataFrame, prefer: str =
     else:
         kept = segments
     top = segments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-    fresh = new.join(segments.select(*key).distinct(), key, "left_anti")
-    # ids by a hash-partitioned counter: unique, rising within a partition, no global order needed
-    fresh = fresh.withColumn("id", F.lit(top) + 1 + F.monotonically_increasing_id())
+    fresh = number(new.join(segments.select(*key).distinct(), key, "left_anti"), key, top + 1)
     cols = [c for c in segments.columns if c in {*key, "id"}]
     out = fresh.select(*cols, F.col("_new").alias("status"))
     return kept.unionByName(out, allowMissingColumns=True)
+
+
+@dataclass
+class Import:
+    """What an import leaves: codes, coders and segments with the new ones, each record with its outcome, and what
+    documents are missing (doc, n_records)."""
+
+    codes: DataFrame
+    coders: DataFrame
+    segments: DataFrame
+    classified: DataFrame
+    missing: DataFrame
+
+
+def _with_new(table: DataFrame, names: DataFrame, project_id: int) -> DataFrame:
+    """``table`` with a row for each name that the project has not; ids behind the largest, in order of the names."""
+    have = table.where(F.col("project_id") == project_id).select(F.col("name").alias("_n"))
+    new = names.where("name is not null").distinct().join(have, F.col("name") == F.col("_n"), "left_anti")
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
+    fresh = number(new, ["name"], top + 1).withColumn("project_id", F.lit(project_id).cast(table.schema["project_id"].dataType))
+    return table.unionByName(fresh.withColumn("id", F.col("id").cast(table.schema["id"].dataType)), allowMissingColumns=True)
+
+
+def import_records(records: DataFrame, documents: DataFrame, codes: DataFrame, coders: DataFrame, segments: DataFrame, project_id: int, prefer: str = "existing") -> Import:
+    """Import records (doc, code, coder, start, end, status) into a project.
+
+    Records of unknown documents are reported and change nothing. Codes and coders that the project has not
+    are created by name. Spans that are new are appended; where one is there with another status, that holds
+    unless ``prefer`` is "incoming". Records without a code, a coder or a span are left out. An empty batch changes
+    nothing.
+    """
+    whole = records.where("doc is not null and code is not null and coder is not null and start is not null and end is not null")
+    known = documents.where(F.col("project_id") == project_id).groupBy(F.col("title").alias("_title")).agg(F.min("id").alias("document_id"))
+    at = cut(whole.join(known, F.col("doc") == F.col("_title"), "left").drop("_title"))
+    here = at.where("document_id is not null")
+    all_codes = cut(_with_new(codes, here.select(F.col("code").alias("name")), project_id))
+    all_coders = cut(_with_new(coders, here.select(F.col("coder").alias("name")), project_id))
+    first = lambda df, name: df.where(F.col("project_id") == project_id).groupBy(F.col("name").alias(f"_{name}")).agg(F.min("id").alias(f"{name}_id"))
+    ids = here.join(first(all_codes, "code"), F.col("code") == F.col("_code")).join(first(all_coders, "coder"), F.col("coder") == F.col("_coder"))
+    rows = ids.select("document_id", "code_id", "coder_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.coalesce("status", F.lit("draft")).alias("status"))
+    missing = at.where("document_id is null").groupBy("doc").agg(F.count("*").alias("n_records"))
+    classified = classify_records(whole, documents, all_codes, all_coders, segments, project_id)
+    return Import(all_codes, all_coders, apply_records(segments, rows, prefer), classified, missing)

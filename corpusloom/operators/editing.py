@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.hierarchy import descendants, resolve_hierarchy
+from corpusloom.session import number
 
 SPAN_KEY = ["document_id", "code_id", "coder_id", "char_start", "char_end"]
 
@@ -21,7 +22,7 @@ def add_codings(segments: DataFrame, new: DataFrame) -> DataFrame:
     checked = new.dropDuplicates(SPAN_KEY).withColumn("char_end", F.coalesce(bad, F.col("char_end")))
     fresh = checked.join(segments.select(*SPAN_KEY), SPAN_KEY, "left_anti")
     top = segments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-    fresh = fresh.withColumn("id", F.lit(top) + 1 + F.monotonically_increasing_id())
+    fresh = number(fresh, SPAN_KEY, top + 1)
     return segments.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -57,8 +58,8 @@ def move_code(codes: DataFrame, code_id: int, new_parent: int | None) -> DataFra
 
 
 def next_sort_order(codes: DataFrame) -> DataFrame:
-    """The sort order a new child of each parent gets: parent_id (null for roots), next_order."""
-    return codes.groupBy("parent_id").agg((F.max("sort_order") + 1).alias("next_order"))
+    """The sort order a new child of each parent gets: parent_id (null for roots), next_order; 0 behind siblings without one."""
+    return codes.groupBy("parent_id").agg((F.coalesce(F.max("sort_order"), F.lit(-1)) + 1).alias("next_order"))
 
 
 def delete_coder(coder_id: int, coders: DataFrame, segments: DataFrame, memos: DataFrame, audit: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 REVIEW_BELOW = 0.6
 
 
@@ -53,6 +55,30 @@ def best_trial(trials: DataFrame) -> DataFrame:
     return trials.withColumn("score", score).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def propose_settings(trials: DataFrame, min_cjk: int = 2, cjk_conf: float = 0.4, cjk_ratio: float = 0.5) -> DataFrame:
+    """Per page the language, direction and confidence to recognise it with, from trials of each setting.
+
+    ``trials``: page_id, language, vertical, confidence (null counts as 0), text. Confidences of different scripts
+    cannot be compared: a page is Japanese if its best Japanese trial (by confidence times Han and kana read) is
+    sure enough and has enough of these, else it takes the best of the other trials (by confidence times characters
+    read), written across. Pages without such a trial are 'und'. Equal trials go by language, then across before down.
+    """
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")
+    conf, chars = F.coalesce("confidence", F.lit(0.0)), F.length(plain)
+    cjk = F.regexp_count(plain, F.lit(r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"))
+    t = trials.select("page_id", "language", F.coalesce("vertical", F.lit(False)).alias("vertical"), conf.alias("confidence"), chars.alias("chars"), cjk.alias("cjk"))
+    best = lambda by: F.max_by(F.struct("language", "vertical", "confidence", "chars", "cjk"), by)
+    east = t.where("language = 'ja'").groupBy("page_id").agg(best(F.struct(F.col("confidence") * F.col("cjk"), ~F.col("vertical"))).alias("e"))
+    rank = F.struct(F.col("confidence") * F.col("chars"), F.translate("language", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))
+    west = t.where("language <> 'ja'").groupBy(F.col("page_id").alias("_p")).agg(best(rank).alias("w"))
+    all_ = t.select(F.col("page_id").alias("_q")).distinct().join(east, F.col("_q") == F.col("page_id"), "left").join(west, F.col("_q") == F.col("_p"), "left")
+    sure = F.coalesce((F.col("e.cjk") >= min_cjk) & (F.col("e.confidence") >= cjk_conf) & (F.col("e.cjk") / F.greatest("e.chars", F.lit(1)) >= cjk_ratio), F.lit(False))
+    language = F.when(sure, "ja").otherwise(F.coalesce("w.language", F.lit("und")))
+    vertical = F.when(sure, F.col("e.vertical")).otherwise(F.lit(False))
+    out = all_.select(F.col("_q").alias("page_id"), language.alias("language"), vertical.alias("vertical"), F.when(sure, F.col("e.confidence")).otherwise(F.coalesce("w.confidence", F.lit(0.0))).alias("confidence"))
+    return out.withColumn("label", T.layout_label(F.col("language"), F.col("vertical")))
+
+
 def recognise(pages: DataFrame, engine: Callable[[bytes], list[dict]]) -> DataFrame:
     """Words of binary page images (path, page_index, content) read by ``engine``, with its failure, if any, as a column.
 

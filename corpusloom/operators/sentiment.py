@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +16,18 @@ UNITS = ("sentence", "paragraph", "segment", "document")
 #: Tokens before a word, or characters behind it, in which a negation turns it.
 TOKEN_WINDOW, CHAR_WINDOW = 3, 4
 
-# Seed lexicons of our own; a real analysis loads one (sources.lexicons).
+# The seed words of both languages with their polarities, and the negations; a real analysis loads a
+# lexicon on top (sources.lexicons).
+SEED_JA = {
+    "喜び": 0.8, "嬉しい": 0.8, "良い": 0.6, "善": 0.6, "忠": 0.5, "忠義": 0.7, "名誉": 0.6, "勝利": 0.7, "平和": 0.6, "安寧": 0.6, "功": 0.4, "賢": 0.5, "仁": 0.5, "栄光": 0.7, "繁栄": 0.6,
+    "悲しい": -0.8, "苦しい": -0.7, "悪い": -0.6, "不忠": -0.8, "逆賊": -0.9, "敗北": -0.7, "戦乱": -0.6, "罪": -0.6, "恥": -0.6, "怒り": -0.6, "憎い": -0.7, "滅亡": -0.7, "死": -0.4, "災い": -0.6, "混乱": -0.5,
+}
+NEGATIONS_JA = frozenset({"ない", "ず", "ぬ", "なし", "ありません", "無", "不", "非", "ざる"})
 SEED_EN = {
-    "well-known": 0.3, "remarkable": 0.6, "settled": 0.4, "promised": 0.4, "fresh": 0.3, "delivered": 0.2, "great": 0.5, "good": 0.7, "peace": 0.7, "honest": 0.6,
-    "refused": -0.5, "damaged": -0.6, "spoiled": -0.6, "quarrel": -0.6, "false": -0.5, "siege": -0.6, "flood": -0.5, "disappearance": -0.4, "complained": -0.5, "perished": -0.7, "trembling": -0.4, "lost": -0.5,
+    "good": 0.7, "great": 0.8, "happy": 0.8, "victory": 0.7, "peace": 0.6, "honor": 0.6, "glory": 0.7, "prosperity": 0.6, "loyal": 0.6, "wise": 0.5,
+    "bad": -0.7, "sad": -0.8, "evil": -0.9, "defeat": -0.7, "war": -0.4, "death": -0.5, "traitor": -0.9, "crime": -0.6, "shame": -0.6, "chaos": -0.5,
 }
-NEGATIONS_EN = frozenset({"not", "no", "never", "none", "without", "cannot", "nothing", "nobody"})
-SEED_JA = {"見事": 0.7, "祭礼": 0.4, "良い": 0.6, "平和": 0.7, "偽って": -0.5, "崩れた": -0.6, "未納": -0.5, "困窮": -0.7, "焼けて": -0.6, "籠城": -0.5, "難渋": -0.6, "渋々": -0.4, "消えた": -0.4}
-NEGATIONS_JA = frozenset({"ない", "なかった", "ず", "ぬ", "無"})
+NEGATIONS_EN = frozenset({"not", "no", "never", "none", "without", "n't", "cannot"})
 
 
 @dataclass(frozen=True)
@@ -42,6 +47,12 @@ class Lexicon:
         return spark.createDataFrame(list(self.words.items()), "word string, polarity double")
 
 
+def merge_frames(under: DataFrame, over: DataFrame) -> DataFrame:
+    """Lexicon tables (word, polarity) put on one another: the second's polarity holds where both have a word."""
+    rest = under.join(over.select(F.col("word").alias("_o")), F.col("word") == F.col("_o"), "left_anti")
+    return rest.select("word", "polarity").unionByName(over.select("word", "polarity"))
+
+
 def builtin(language: str) -> Lexicon:
     """The seed lexicon of a language; empty for one without."""
     if language == "ja":
@@ -76,17 +87,46 @@ def scan_hits(text: Column, words: Mapping[str, float], negations: Sequence[str]
     return F.zip_with(found, behind, lambda w, b: F.struct(w.alias("word"), T.any_contains(b, sorted(negations)).alias("negated")))
 
 
-def score(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
-    """``df`` with polarity, n_positive, n_negative and n_words.
+def token_hits(tokens: Column, negations: Sequence[str], ahead: bool) -> Column:
+    """Array of (word, negated) of tokens (surface, start); ``ahead``: negations follow a word, else they go before it."""
+    neg = F.array(*map(F.lit, sorted(negations))) if negations else F.expr("cast(array() as array<string>)")
+    words = F.transform(tokens, lambda t: t["surface"])
 
-    Old characters are normalised first. The polarity is the mean over the words found, words of polarity 0
-    included, within -1 and 1; 0 without any. Null and empty texts have none.
+    def near(i: Column) -> Column:
+        return F.slice(words, i + 2, F.lit(TOKEN_WINDOW)) if ahead else F.slice(words, F.greatest(i - (TOKEN_WINDOW - 1), F.lit(1)), F.least(i, F.lit(TOKEN_WINDOW)))
+
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.exists(near(i), lambda p: F.array_contains(neg, p) | p.endswith("n't")).alias("negated")))
+
+
+def tokenize(df: DataFrame, text: str, tokenizer: Callable[[str], list[tuple[str, int]]]) -> DataFrame:
+    """``df`` with ``tokens``, an array of (surface, start), by a callable (a morphological analyser, say).
+
+    Old characters are normalised before. Null texts have no tokens. The callable runs in batches on the workers.
     """
-    plain = T.normalize_old(F.col(text))
-    hits = word_hits(plain, lexicon.negations) if lexicon.language == "en" else scan_hits(plain, lexicon.words, lexicon.negations)
+    cols = [c for c in df.columns if c != "tokens"]
+    src = df.select(*cols, T.normalize_old(F.coalesce(F.col(text), F.lit(""))).alias("_plain"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [[{"surface": w, "start": int(at)} for w, at in tokenizer(t)] if t else [] for t in pdf._plain]
+            yield pdf[cols].assign(tokens=found)
+
+    none = F.expr("cast(array() as array<struct<surface:string,start:int>>)").alias("tokens")
+    return src.mapInPandas(run, df.select(*cols, none).schema)
+
+
+def _hits(text: Column, lexicon: Lexicon) -> Column:
+    return word_hits(text, lexicon.negations) if lexicon.language == "en" else scan_hits(text, lexicon.words, lexicon.negations)
+
+
+def _valued(hits: Column, lexicon: Lexicon) -> Column:
+    """Polarities of the hits that are in the lexicon."""
     table = F.create_map(*[F.lit(x) for kv in lexicon.words.items() for x in kv]) if lexicon.words else F.expr("cast(map() as map<string,double>)")
-    valued = F.filter(F.transform(hits, lambda h: F.when(h["negated"], -F.element_at(table, h["word"])).otherwise(F.element_at(table, h["word"]))), lambda p: p.isNotNull())
-    out = df.withColumn("_hits", valued)
+    return F.filter(F.transform(hits, lambda h: F.when(h["negated"], -F.element_at(table, h["word"])).otherwise(F.element_at(table, h["word"]))), lambda p: p.isNotNull())
+
+
+def _with_scores(df: DataFrame, polarities: Column) -> DataFrame:
+    out = df.withColumn("_hits", polarities)
     n = F.size("_hits")
     total = F.aggregate("_hits", F.lit(0.0), lambda s, x: s + x)
     return out.withColumns({
@@ -95,22 +135,82 @@ def score(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     }).drop("_hits")
 
 
-def score_large(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: Sequence[str]) -> DataFrame:
+def score(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
+    """``df`` with polarity, n_positive, n_negative and n_words.
+
+    Old characters are normalised first. The polarity is the mean over the words found, words of polarity 0
+    included, within -1 and 1; 0 without any. Null and empty texts have none. The words stand in the plan: for a
+    lexicon of thousands there is :func:`score_large`.
+    """
+    return _with_scores(df, _valued(_hits(T.normalize_old(F.col(text)), lexicon), lexicon))
+
+
+def score_tokens(df: DataFrame, text: str, lexicon: Lexicon, tokenizer: Callable[[str], list[tuple[str, int]]]) -> DataFrame:
+    """As :func:`score`, over the tokens of a callable; negations precede English words and follow all others."""
+    out = tokenize(df, text, tokenizer)
+    return _with_scores(out, _valued(token_hits(F.col("tokens"), lexicon.negations, lexicon.language != "en"), lexicon)).drop("tokens")
+
+
+def score_by_language(df: DataFrame, text: str, language: str, lexicons: Sequence[Lexicon]) -> DataFrame:
+    """As :func:`score`, each row by the lexicon of its language ('en', 'ja', ...); a language without one scores 0."""
+    plain, pick = T.normalize_old(F.col(text)), None
+    for lex in lexicons:
+        own = _valued(_hits(plain, lex), lex)
+        pick = F.when(F.col(language) == lex.language, own) if pick is None else pick.when(F.col(language) == lex.language, own)
+    none = F.expr("cast(array() as array<double>)")
+    return _with_scores(df, none if pick is None else pick.otherwise(none))
+
+
+def score_large(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: Sequence[str], language: str = "en") -> DataFrame:
     """(key, polarity, n_positive, n_negative, n_words) against a lexicon table (word, polarity) of any size.
 
-    Words are exploded with their negation already known and joined with the lexicon; Spark decides by its size
-    whether to broadcast it. Texts without a word of the lexicon have polarity 0.
+    What a text may have of the lexicon (English: its words; otherwise the substrings that are as long as some
+    entry, in chunks) is exploded and joined with it; Spark decides by its size whether to broadcast it. Texts
+    without a word of the lexicon have polarity 0. ``key`` must be unique; of an entry given twice the smaller polarity
+    holds.
     """
-    hits = df.select(key, F.explode(word_hits(T.normalize_old(F.col(text)), negations)).alias("h")).select(key, "h.word", "h.negated")
-    lex = lexicon.select(F.col("word").alias("_w"), F.col("polarity").alias("_p"))
-    valued = hits.join(lex, F.col("word") == F.col("_w")).select(key, F.when(F.col("negated"), -F.col("_p")).otherwise(F.col("_p")).alias("p"))
-    s = valued.groupBy(key).agg(F.avg("p").alias("m"), F.count_if(F.col("p") > 0).alias("pos"), F.count_if(F.col("p") < 0).alias("neg"), F.count("*").alias("n"))
+    lex = lexicon.where("word is not null and word <> '' and polarity is not null").groupBy(F.col("word").alias("_w")).agg(F.min("polarity").alias("_p"))
+    plain = df.select(key, T.normalize_old(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    if language == "en":
+        hits = plain.select(key, F.explode(word_hits(F.col("_t"), negations)).alias("h")).select(key, "h.word", "h.negated")
+        valued = hits.join(lex, F.col("word") == F.col("_w")).select(key, F.when(F.col("negated"), -F.col("_p")).otherwise(F.col("_p")).alias("p"))
+        s = valued.groupBy(key).agg(F.sum("p").alias("sum"), F.count_if(F.col("p") > 0).alias("pos"), F.count_if(F.col("p") < 0).alias("neg"), F.count("*").alias("n"))
+    else:
+        s = _scan_large(plain, key, lex, negations)
     s = s.withColumnRenamed(key, "_key")
+    mean = F.coalesce(F.col("sum") / F.col("n"), F.lit(0.0))
     return df.select(key).join(s, F.col(key) == F.col("_key"), "left").select(
-        key, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("m", F.lit(0.0)))).alias("polarity"), *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (("pos", "n_positive"), ("neg", "n_negative"), ("n", "n_words"))]
+        key, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean)).alias("polarity"), *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (("pos", "n_positive"), ("neg", "n_negative"), ("n", "n_words"))]
     )
 
 
+#: Characters of a text that one row of the scan holds.
+SCAN_CHUNK = 256
+
+
+def _scan_large(plain: DataFrame, key: str, lex: DataFrame, negations: Sequence[str]) -> DataFrame:
+    """Sums over the leftmost longest entries that do not overlap, a negation in the next four characters negating."""
+    sizes = [r[0] for r in lex.select(F.length("_w").alias("n")).distinct().orderBy("n").collect()]  # lengths of words: few
+    sizes = sizes or [1]
+    behind = sizes[-1] + CHAR_WINDOW
+    cut = rf"([\s\S]{{1,{SCAN_CHUNK}}})(?=([\s\S]{{0,{behind}}}))"
+    found = [F.regexp_extract_all("_t", F.lit(cut), F.lit(k)) for k in (1, 2)]
+    chunks = plain.select(key, F.posexplode(F.zip_with(*found, lambda a, b: F.struct(F.length(a).alias("n"), F.concat(a, b).alias("t")))).alias("i", "c"))
+    chunks = chunks.select(key, (F.col("i") * SCAN_CHUNK).alias("base"), F.col("c.n").alias("n"), F.col("c.t").alias("t"))
+    tries = chunks.select(key, "base", "t", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")).select(
+        key, (F.col("base") + F.col("at")).alias("at"), F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.substring("t", F.col("at"), F.lit(k)).alias("w"), F.substring("t", F.col("at") + k, F.lit(CHAR_WINDOW)).alias("b")) for k in sizes])).alias("c")
+    )
+    tries = tries.where(F.length("c.w") == F.col("c.n"))
+    met = tries.join(lex, F.col("c.w") == F.col("_w")).select(key, "at", F.col("c.n").alias("n"), F.when(T.any_contains(F.col("c.b"), sorted(negations)), -F.col("_p")).otherwise(F.col("_p")).alias("p"))
+    order = F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "p")))
+    free = F.struct(F.lit(0).alias("next"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(0).cast("long").alias("n"))
+    take = lambda acc, h: F.when(
+        h["at"] >= acc["next"],
+        F.struct((h["at"] - h["n"]).cast("int").alias("next"), (acc["sum"] + h["p"]).alias("sum"), (acc["pos"] + (h["p"] > 0).cast("long")).alias("pos"), (acc["neg"] + (h["p"] < 0).cast("long")).alias("neg"), (acc["n"] + 1).alias("n")),
+    ).otherwise(acc)
+    return met.groupBy(key).agg(order.alias("h")).select(key, F.aggregate("h", free, take).alias("a")).select(key, "a.sum", "a.pos", "a.neg", "a.n")
+
+
 def units(documents: DataFrame, unit: str, segments: DataFrame | None = None) -> DataFrame:
     """document_id, segment_id, char_start, char_end, text of every unit. An unknown unit is an error."""
     if unit not in UNITS:
@@ -128,10 +228,22 @@ def units(documents: DataFrame, unit: str, segments: DataFrame | None = None) ->
     return out.select("document_id", "segment_id", "char_start", "char_end", F.expr("substring(body, char_start + 1, char_end - char_start)").alias("text"))
 
 
-def analyze(documents: DataFrame, unit: str, lexicon: Lexicon, segments: DataFrame | None = None) -> DataFrame:
-    """Scores of all units: document_id, segment_id, unit, char_start, char_end, polarity, n_words, dictionary."""
-    s = score(units(documents, unit, segments), "text", lexicon)
-    return s.select("document_id", "segment_id", F.lit(unit).alias("unit"), "char_start", "char_end", "polarity", "n_words", F.lit(lexicon.name).alias("dictionary"))
+def analyze(documents: DataFrame, unit: str, lexicon: Lexicon | Sequence[Lexicon] | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """Scores of all units: document_id, segment_id, unit, char_start, char_end, polarity, n_words, dictionary.
+
+    One lexicon reads every document. Several (without any: the built-in ones) read the documents of their language,
+    by its label in any notation, or by the script where the label is missing; others score 0.
+    """
+    u = units(documents, unit, segments)
+    if isinstance(lexicon, Lexicon):
+        s = score(u, "text", lexicon).withColumn("dictionary", F.lit(lexicon.name))
+    else:
+        many = [builtin("en"), builtin("ja")] if lexicon is None else list(lexicon)
+        lang = documents.select(F.col("id").alias("_l"), T.language_of(F.col("language"), F.col("body")).alias("_lang"))
+        name = F.create_map(*[F.lit(x) for lex in many for x in (lex.language, lex.name)])
+        s = score_by_language(u.join(lang, F.col("document_id") == F.col("_l")), "text", "_lang", many)
+        s = s.withColumn("dictionary", F.coalesce(F.element_at(name, F.col("_lang")), F.lit("empty")))
+    return s.select("document_id", "segment_id", F.lit(unit).alias("unit"), "char_start", "char_end", "polarity", "n_words", "dictionary")
 
 
 def replace_scores(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -205,69 +205,113 @@ def agg_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.alpha(r.select("doc_id", (F.col("label") == "clean").cast("int").alias("v")), "doc_id", "v")
 
 
-# sentiment (English documents; the scan of other languages needs a lookahead that SQL has not)
+# sentiment: every document, by the lexicon of its language; words and marks are written out in the SQL
 
-_VALUES = ", ".join(f"('{w}', {p})" for w, p in sorted(sentiment.SEED_EN.items()))
-_NEGS = ", ".join(f"'{w}'" for w in sorted(sentiment.NEGATIONS_EN))
+LEXICONS = (
+    sentiment.builtin("en").merge(sentiment.Lexicon("period", "en", {"well-known": 0.3, "remarkable": 0.6, "promised": 0.4, "refused": -0.5, "damaged": -0.6, "siege": -0.6, "flood": -0.5, "trembling": -0.4}, frozenset({"without"}))),
+    sentiment.builtin("ja").merge(sentiment.Lexicon("period", "ja", {"見事": 0.7, "祭礼": 0.4, "偽って": -0.5, "崩れた": -0.6, "未納": -0.5, "困窮": -0.7, "困": -0.1, "籠城": -0.5, "渋々": -0.4, "消えた": -0.4})),
+)
+
+_EN_WORDS = """('good', 0.7), ('great', 0.8), ('happy', 0.8), ('victory', 0.7), ('peace', 0.6), ('honor', 0.6), ('glory', 0.7), ('prosperity', 0.6), ('loyal', 0.6), ('wise', 0.5), ('bad', -0.7), ('sad', -0.8), ('evil', -0.9), ('defeat', -0.7), ('war', -0.4),
+('death', -0.5), ('traitor', -0.9), ('crime', -0.6), ('shame', -0.6), ('chaos', -0.5), ('well-known', 0.3), ('remarkable', 0.6), ('promised', 0.4), ('refused', -0.5), ('damaged', -0.6), ('siege', -0.6), ('flood', -0.5), ('trembling', -0.4)"""
+_JA_WORDS = """('喜び', 0.8), ('嬉しい', 0.8), ('良い', 0.6), ('善', 0.6), ('忠', 0.5), ('忠義', 0.7), ('名誉', 0.6), ('勝利', 0.7), ('平和', 0.6), ('安寧', 0.6), ('功', 0.4), ('賢', 0.5), ('仁', 0.5), ('栄光', 0.7), ('繁栄', 0.6), ('悲しい', -0.8), ('苦しい', -0.7), ('悪い', -0.6),
+('不忠', -0.8), ('逆賊', -0.9), ('敗北', -0.7), ('戦乱', -0.6), ('罪', -0.6), ('恥', -0.6), ('怒り', -0.6), ('憎い', -0.7), ('滅亡', -0.7), ('死', -0.4), ('災い', -0.6), ('混乱', -0.5), ('見事', 0.7), ('祭礼', 0.4), ('偽って', -0.5), ('崩れた', -0.6), ('未納', -0.5), ('困窮', -0.7), ('困', -0.1), ('籠城', -0.5), ('渋々', -0.4), ('消えた', -0.4)"""
+_JA_SCAN = "嬉しい|悲しい|苦しい|偽って|崩れた|消えた|喜び|良い|忠義|名誉|勝利|平和|安寧|栄光|繁栄|悪い|不忠|逆賊|敗北|戦乱|怒り|憎い|滅亡|災い|混乱|見事|祭礼|未納|困窮|籠城|渋々|善|忠|功|賢|仁|罪|恥|死|困"
+
+
+def _lang_sql(label: str, text: str) -> str:
+    """SQL of the language by whose lexicon a document is read."""
+    low = f"lower(regexp_extract(coalesce({label}, ''), '^\\s*([^-_\\s]*)', 1))"
+    cjk, latin = f"len(regexp_extract_all({text}, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]'))", f"len(regexp_extract_all({text}, '[A-Za-z]'))"
+    return f"CASE WHEN {low} IN ('en', 'eng', 'english', '英語') THEN 'en' WHEN {low} IN ('ja', 'jpn', 'jp', 'japanese', '日本語') THEN 'ja' WHEN {low} <> '' OR {cjk} + {latin} = 0 THEN 'other' WHEN {cjk} >= {latin} THEN 'ja' ELSE 'en' END"
+
+
+DOC_LANG = f"(SELECT id, body, coalesce(body, '') AS t, {_lang_sql('language', 'coalesce(body, chr(32))')} AS lang FROM qda_document)"
 
 
 def _scored(source: str) -> str:
-    """SQL scores of rows (k, t) with the seed lexicon of English."""
-    return f"""src AS ({source}), tok AS (SELECT k, list_transform(regexp_extract_all(translate(t, '{"".join(k for k, v in T.OLD_CHARACTERS.items() if v)}{"".join(k for k, v in T.OLD_CHARACTERS.items() if not v)}', '{"".join(v for v in T.OLD_CHARACTERS.values())}'), '[A-Za-z'']+'), lambda x: lower(x)) AS l FROM src),
-w AS (SELECT k, l, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM tok), lex(word, p) AS (VALUES {_VALUES}),
-h AS (SELECT k, CASE WHEN len(list_filter(l[greatest(i - 3, 1):i - 1], lambda x: list_contains([{_NEGS}], x) OR suffix(x, 'n''t'))) > 0 THEN -p ELSE p END AS p FROM w JOIN lex USING (word)),
+    """SQL scores of rows (k, t, lang)."""
+    return f"""src AS ({source}),
+norm AS (SELECT k, lang, translate(t, '國學體廣觀假聲會豐鐵號圓藝缺辭舊寶獨當經惠醫齋櫻氣澤驛萬與亂佛戰禮勳獻歸ゐゑヰヱゝゞヽヾ', '国学体広観仮声会豊鉄号円芸欠辞旧宝独当経恵医斎桜気沢駅万与乱仏戦礼勲献帰いえイエ') AS t FROM src),
+tok AS (SELECT k, list_transform(regexp_extract_all(t, '[A-Za-z'']+'), lambda x: lower(x)) AS l FROM norm WHERE lang = 'en'),
+w AS (SELECT k, l, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM tok), en(word, p) AS (VALUES {_EN_WORDS}), ja(word, p) AS (VALUES {_JA_WORDS}),
+cutted AS (SELECT k, string_split(regexp_replace(t, '({_JA_SCAN})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS l FROM norm WHERE lang = 'ja'),
+met AS (SELECT k, l, unnest(range(2, len(l) + 1)) AS i FROM cutted),
+scan AS (SELECT k, split_part(l[i], chr(2), 1) AS word, replace(array_to_string(l[i:i + 4], ''), chr(2), '') AS rest FROM met),
+h AS (SELECT k, CASE WHEN len(list_filter(l[greatest(i - 3, 1):i - 1], lambda x: list_contains(['not', 'no', 'never', 'none', 'without', 'n''t', 'cannot'], x) OR suffix(x, 'n''t'))) > 0 THEN -p ELSE p END AS p FROM w JOIN en USING (word)
+      UNION ALL SELECT k, CASE WHEN regexp_matches(substring(rest, length(word) + 1, 4), 'ない|ず|ぬ|なし|ありません|無|不|非|ざる') THEN -p ELSE p END FROM scan JOIN ja USING (word)),
 a AS (SELECT k, avg(p) AS m, count(*) FILTER (p > 0) AS pos, count(*) FILTER (p < 0) AS neg, count(*) AS n FROM h GROUP BY 1),
-scored AS (SELECT k, greatest(-1.0, least(1.0, coalesce(m, 0.0))) AS polarity, coalesce(pos, 0) AS n_positive, coalesce(neg, 0) AS n_negative, coalesce(n, 0) AS n_words FROM src LEFT JOIN a USING (k))"""
+scored AS (SELECT k, lang, greatest(-1.0, least(1.0, coalesce(m, 0.0))) AS polarity, coalesce(pos, 0) AS n_positive, coalesce(neg, 0) AS n_negative, coalesce(n, 0) AS n_words FROM src LEFT JOIN a USING (k))"""
 
 
-_EN = "SELECT id AS k, coalesce(body, '') AS t FROM qda_document WHERE language = 'en'"
+DICTIONARY = "CASE lang WHEN 'en' THEN 'builtin-en+period' WHEN 'ja' THEN 'builtin-ja+period' ELSE 'empty' END"
+_DOC_T = f"SELECT id AS k, t, lang FROM {DOC_LANG}"
 
 
-@core.query("fn_score_text", f"WITH {_scored(_EN)} SELECT k AS id, polarity, CAST(n_positive AS INT) AS n_positive, CAST(n_negative AS INT) AS n_negative, CAST(n_words AS INT) AS n_words FROM scored")
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return d.select("id", "body", T.language_of(F.col("language"), F.col("body")).alias("lang"))
+
+
+@core.query("fn_score_text", f"WITH {_scored(_DOC_T)} SELECT k AS id, polarity, CAST(n_positive AS INT) AS n_positive, CAST(n_negative AS INT) AS n_negative, CAST(n_words AS INT) AS n_words FROM scored")
 def fn_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("language = 'en'").select("id", "body")
-    return sentiment.score(d, "body", sentiment.builtin("en")).drop("body")
+    return sentiment.score_by_language(_read(spark, sf_dir), "body", "lang", LEXICONS).drop("body", "lang")
 
 
-@core.query("agg_sent_score", f"WITH {_scored(_EN)} SELECT k AS id, polarity, n_positive, n_negative, n_words FROM scored")
+@core.query("agg_sent_score", f"WITH {_scored(_DOC_T)} SELECT k AS id, polarity, n_positive, n_negative, n_words FROM scored WHERE lang <> 'other'")
 def agg_sent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = sentiment.builtin("en")
-    return sentiment.score_large(docs(spark, sf_dir).where("language = 'en'").select("id", "body"), "id", "body", lex.frame(spark), sorted(lex.negations))
+    """The same by joins with lexicon tables of any size."""
+    d = _read(spark, sf_dir)
+    en, ja = (sentiment.score_large(d.where(F.col("lang") == x.language), "id", "body", x.frame(spark), sorted(x.negations), x.language) for x in LEXICONS)
+    return en.unionByName(ja)
+
+
+@core.query("udf_tokenizer", f"WITH {_scored(_DOC_T)} SELECT k AS id, polarity, CAST(n_words AS INT) AS n_words FROM scored WHERE lang = 'en'")
+def udf_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores over the tokens of a callable, here one that cuts at everything but letters and apostrophes."""
+    d = _read(spark, sf_dir).where("lang = 'en'").select("id", "body")
+    return sentiment.score_tokens(d, "body", LEXICONS[0], latin_words).select("id", "polarity", "n_words")
+
+
+def latin_words(text: str) -> list[tuple[str, int]]:
+    import re
+
+    return [(m.group(0).lower(), m.start()) for m in re.finditer("[A-Za-z']+", text)]
 
 
 def _segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.analyze(docs(spark, sf_dir).where("language = 'en'"), "segment", sentiment.builtin("en"), segs(spark, sf_dir))
+    return sentiment.analyze(docs(spark, sf_dir), "segment", LEXICONS, segs(spark, sf_dir))
 
 
-_SEG_T = f"SELECT s.id AS k, substring(d.body, s.char_start + 1, s.char_end - s.char_start) AS t FROM {SEG} s JOIN qda_document d ON d.id = s.document_id WHERE d.language = 'en'"
+_SEG_T = f"SELECT s.id AS k, substring(d.t, s.char_start + 1, s.char_end - s.char_start) AS t, lang FROM {SEG} s JOIN {DOC_LANG} d ON d.id = s.document_id"
 
 
-@core.query("agg_sent_by_code", f"WITH {_scored(_SEG_T)} SELECT s.code_id, count(*) AS n, avg(polarity) AS mean_polarity, min(polarity) AS min_polarity, max(polarity) AS max_polarity FROM scored JOIN {SEG} s ON s.id = k GROUP BY 1")
+@core.query("agg_sent_by_code", f"WITH {_scored(_SEG_T)} SELECT s.code_id, count(*) AS n, round(avg(polarity), 9) AS mean_polarity, min(polarity) AS min_polarity, max(polarity) AS max_polarity FROM scored JOIN {SEG} s ON s.id = k GROUP BY 1")
 def agg_sent_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.polarity_by_code(_segment_scores(spark, sf_dir), segs(spark, sf_dir))
+    return sentiment.polarity_by_code(_segment_scores(spark, sf_dir), segs(spark, sf_dir)).withColumn("mean_polarity", F.round("mean_polarity", 9))
 
 
-_SENT_T = f"SELECT [id, char_start] AS k, p AS t FROM sentence WHERE regexp_matches(p, '{NON_WS}') AND id IN (SELECT id FROM qda_document WHERE language = 'en')"
+_SENT_T = f"SELECT [s.id, s.char_start] AS k, s.p AS t, lang FROM sentence s JOIN {DOC_LANG} d ON d.id = s.id WHERE regexp_matches(s.p, '{NON_WS}')"
 
 
-@core.query("agg_sent_timeseries", f"WITH {SENTENCES}, {_scored(_SENT_T)} SELECT d.year, avg(polarity) AS mean_polarity, count(*) AS n_units FROM scored JOIN qda_document d ON d.id = k[1] WHERE d.year IS NOT NULL GROUP BY 1")
+@core.query("agg_sent_timeseries", f"WITH {SENTENCES}, {_scored(_SENT_T)} SELECT d.year, round(avg(polarity), 9) AS mean_polarity, count(*) AS n_units FROM scored JOIN qda_document d ON d.id = k[1] WHERE d.year IS NOT NULL GROUP BY 1")
 def agg_sent_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("language = 'en'")
-    return sentiment.polarity_by_year(sentiment.analyze(d, "sentence", sentiment.builtin("en")), d)
+    d = docs(spark, sf_dir)
+    return sentiment.polarity_by_year(sentiment.analyze(d, "sentence", LEXICONS), d).withColumn("mean_polarity", F.round("mean_polarity", 9))
 
 
-@core.query("fn_lex_scan")
+@core.query("fn_lex_scan", f"WITH {_scored("SELECT id AS k, coalesce(body, '') AS t, 'ja' AS lang FROM qda_document")} SELECT k AS id, polarity, CAST(n_positive AS INT) AS n_positive, CAST(n_negative AS INT) AS n_negative, CAST(n_words AS INT) AS n_words FROM scored")
 def fn_lex_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of Japanese documents by leftmost longest scan."""
-    d = docs(spark, sf_dir).where("language = 'ja'").select("id", "body")
-    return sentiment.score(d, "body", sentiment.builtin("ja")).drop("body")
+    """Scores of all documents by leftmost longest scan with the Japanese lexicon."""
+    return sentiment.score(docs(spark, sf_dir).select("id", "body"), "body", LEXICONS[1]).drop("body")
 
 
-@core.query("snk_sentiment", f"WITH {_scored(_EN)} SELECT k AS document_id, 'document' AS unit, polarity, 'builtin-en' AS dictionary FROM scored UNION ALL SELECT id, 'document', 0.5, 'old' FROM qda_document WHERE language = 'fr'")
+@core.query("snk_sentiment", f"WITH {_scored(_DOC_T)} SELECT k AS document_id, 'document' AS unit, polarity, {DICTIONARY} AS dictionary FROM scored UNION ALL SELECT id, 'sentence', 0.5, 'old' FROM qda_document")
 def snk_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old scores of whole documents go, those of their sentences stay."""
     d = docs(spark, sf_dir)
-    old = d.where("language in ('en', 'fr')").select(F.col("id").alias("document_id"), F.lit("document").alias("unit"), F.lit(0.5).alias("polarity"), F.lit("old").alias("dictionary"))
-    new = sentiment.analyze(d.where("language = 'en'"), "document", sentiment.builtin("en")).select("document_id", "unit", "polarity", "dictionary")
+    old = d.select(F.col("id").alias("document_id"), F.explode(F.array(F.lit("document"), F.lit("sentence"))).alias("unit"), F.lit(0.5).alias("polarity"), F.lit("old").alias("dictionary"))
+    new = sentiment.analyze(d, "document", LEXICONS).select("document_id", "unit", "polarity", "dictionary")
     return sentiment.replace_scores(old, new)
 
 
@@ -276,7 +320,7 @@ def snk_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query(
     "jn_sparse_dot",
-    """WITH t AS (SELECT id, regexp_replace(coalesce(title, ''), '[\\s　]+', '', 'g') AS t FROM qda_document WHERE era = 'early'),
+    """WITH t AS (SELECT id, regexp_replace(coalesce(title, ''), '[\\s　]+', '', 'g') AS t FROM qda_document),
 v AS (SELECT id, gram, CAST(count(*) AS DOUBLE) AS w FROM (SELECT id, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 2 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) END) AS gram FROM t) GROUP BY 1, 2),
 n AS (SELECT id, sqrt(sum(w * w)) AS n FROM v GROUP BY 1), c AS (SELECT id, name FROM """ + CODE + """ c),
 ct AS (SELECT name AS code, regexp_replace(coalesce(name, ''), '[\\s　]+', '', 'g') AS t FROM (SELECT DISTINCT name FROM c)),
@@ -285,7 +329,7 @@ cn AS (SELECT code, sqrt(sum(w * w)) AS n FROM cv GROUP BY 1)
 SELECT v.id, cv.code, sum(v.w * cv.w) / any_value(n.n * cn.n) AS score FROM v JOIN cv USING (gram) JOIN n ON n.id = v.id JOIN cn ON cn.code = cv.code GROUP BY 1, 2""",
 )
 def jn_sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("era = 'early'").select("id", "title")
+    d = docs(spark, sf_dir).select("id", "title")
     c = codes(spark, sf_dir).select(F.col("name").alias("code")).where("code is not null").distinct().withColumn("text", F.col("code"))
     return coding.cosine(coding.gram_vectors(d, "id", "title"), "id", coding.gram_vectors(c, "code", "text"), "code")
 
@@ -384,6 +428,33 @@ def mut_sync_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collaboration.import_report(collaboration.classify_records(r, d, c, k, s, 1))
 
 
+_INCOMING = f"""SELECT DISTINCT CASE WHEN s.id % 7 = 0 THEN 'no such title ' || s.id % 3 ELSE d.title END AS doc, CASE WHEN s.id % 11 = 0 THEN 'new code ' || s.id % 4 ELSE c.name END AS code, CASE WHEN s.id % 13 = 0 THEN 'new coder' ELSE k.name END AS coder,
+s.char_start AS st, s.char_end AS en FROM {SEG} s JOIN qda_document d ON d.id = s.document_id JOIN {CODE} c ON c.id = s.code_id JOIN qda_coder k ON k.id = s.coder_id WHERE d.project_id = 1 AND c.project_id = 1 AND k.project_id = 1"""
+
+
+@core.query(
+    "mut_sync_create",
+    f"""WITH d AS (SELECT title, min(id) AS id FROM qda_document WHERE project_id = 1 GROUP BY 1), r AS ({_INCOMING}), ok AS (SELECT r.* FROM r JOIN d ON d.title = r.doc),
+c AS (SELECT name, min(id) AS id FROM {CODE} WHERE project_id = 1 GROUP BY 1), k AS (SELECT name, min(id) AS id FROM qda_coder WHERE project_id = 1 GROUP BY 1),
+nc AS (SELECT code AS name, (SELECT max(id) FROM qda_code) + row_number() OVER (ORDER BY code) AS id FROM (SELECT DISTINCT code FROM ok WHERE code NOT IN (SELECT name FROM c))),
+nk AS (SELECT coder AS name, (SELECT max(id) FROM qda_coder) + row_number() OVER (ORDER BY coder) AS id FROM (SELECT DISTINCT coder FROM ok WHERE coder NOT IN (SELECT name FROM k)))
+SELECT 'code' AS what, id, name FROM nc UNION ALL SELECT 'coder', id, name FROM nk UNION ALL SELECT 'missing document', count(*), doc FROM r WHERE doc NOT IN (SELECT title FROM d WHERE title IS NOT NULL) GROUP BY doc""",
+)
+def mut_sync_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes and coders that an import creates, and the documents it misses with the number of their records."""
+    s, d, c, k = segs(spark, sf_dir), docs(spark, sf_dir), codes(spark, sf_dir), coders(spark, sf_dir)
+    j = s.join(d.where("project_id = 1").select(F.col("id").alias("_d"), "title"), F.col("document_id") == F.col("_d")).join(c.where("project_id = 1").select(F.col("id").alias("_c"), F.col("name").alias("_cn")), F.col("code_id") == F.col("_c"))
+    j = j.join(k.where("project_id = 1").select(F.col("id").alias("_k"), F.col("name").alias("_kn")), F.col("coder_id") == F.col("_k"))
+    doc = F.when(F.col("id") % 7 == 0, F.concat(F.lit("no such title "), (F.col("id") % 3).cast("string"))).otherwise(F.col("title"))
+    code = F.when(F.col("id") % 11 == 0, F.concat(F.lit("new code "), (F.col("id") % 4).cast("string"))).otherwise(F.col("_cn"))
+    coder = F.when(F.col("id") % 13 == 0, "new coder").otherwise(F.col("_kn"))
+    r = j.select(doc.alias("doc"), code.alias("code"), coder.alias("coder"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.lit("draft").alias("status")).distinct()
+    done = collaboration.import_records(r, d, c, k, s, 1)
+    new = lambda df, old, what: df.join(old.select(F.col("id").alias("_o")), F.col("id") == F.col("_o"), "left_anti").select(F.lit(what).alias("what"), "id", "name")
+    missing = done.missing.select(F.lit("missing document").alias("what"), F.col("n_records").alias("id"), F.col("doc").alias("name"))
+    return new(done.codes, c, "code").unionByName(new(done.coders, k, "coder")).unionByName(missing)
+
+
 @core.query("agg_audit_actions", "SELECT event_type AS action, count(*) AS n, count(DISTINCT 1 + user_id % 3) FILTER (event_id % 50 <> 0) AS n_coders FROM events GROUP BY 1")
 def agg_audit_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.countDistinct("coder_id").alias("n_coders"))

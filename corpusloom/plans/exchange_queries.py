@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import collaboration, editing, sentiment
-from corpusloom.plans.analysis_queries import _EN, _SENT_T, _scored
+from corpusloom.plans.analysis_queries import DICTIONARY, LEXICONS, _SENT_T, _scored
 from corpusloom.plans.library_queries import CODE, SEG, coders, codes, docs, segs
 from corpusloom.plans.registry import core
 from corpusloom.plans.text_queries import SENTENCES
@@ -80,10 +80,10 @@ def snk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.codes_table(codes(spark, sf_dir), segs(spark, sf_dir))
 
 
-@core.query("jn_sent_export", f"WITH {SENTENCES}, {_scored(_SENT_T)} SELECT k[1] AS document_id, d.title, 'sentence' AS unit, CAST(k[2] AS INT) AS char_start, polarity, 'builtin-en' AS dictionary FROM scored JOIN qda_document d ON d.id = k[1]")
+@core.query("jn_sent_export", f"WITH {SENTENCES}, {_scored(_SENT_T)} SELECT k[1] AS document_id, d.title, 'sentence' AS unit, CAST(k[2] AS INT) AS char_start, polarity, {DICTIONARY} AS dictionary FROM scored JOIN qda_document d ON d.id = k[1]")
 def jn_sent_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("language = 'en'")
-    return tables.sentiment_table(sentiment.analyze(d, "sentence", sentiment.builtin("en")), d).drop("char_end")
+    d = docs(spark, sf_dir)
+    return tables.sentiment_table(sentiment.analyze(d, "sentence", LEXICONS), d).drop("char_end")
 
 
 # relations: the parent links of codes
@@ -182,13 +182,17 @@ def jn_lock_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collaboration.lock_state(log).join(d.select(F.col("id").alias("_d"), "title"), F.col("document_id") == F.col("_d")).select("document_id", "title", "coder_id")
 
 
-@core.query("fn_en_tokens", f"WITH s AS ({_EN}) SELECT k AS id, len(regexp_extract_all(t, '[A-Za-z'']+')) AS n_tokens, lower(regexp_extract_all(t, '[A-Za-z'']+')[1]) AS first FROM s")
+@core.query("fn_en_tokens", "SELECT id, len(regexp_extract_all(coalesce(body, ''), '[A-Za-z'']+')) AS n_tokens, lower(regexp_extract_all(coalesce(body, ''), '[A-Za-z'']+')[1]) AS first FROM qda_document")
 def fn_en_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = sentiment.word_hits(F.col("body"), sorted(sentiment.NEGATIONS_EN))
-    return docs(spark, sf_dir).where("language = 'en'").select("id", F.size(h).cast("long").alias("n_tokens"), F.get(h, F.lit(0))["word"].alias("first"))
+    return docs(spark, sf_dir).select("id", F.size(h).cast("long").alias("n_tokens"), F.get(h, F.lit(0))["word"].alias("first"))
 
 
-@core.query("fn_dict_merge", "SELECT word, CAST(max_by(polarity, p) AS DOUBLE) AS polarity FROM (VALUES ('well-known', 0.3, 1), ('great', 0.5, 1), ('great', 0.9, 2), ('odd', -0.2, 2)) v(word, polarity, p) GROUP BY 1")
+@core.query("fn_dict_merge", "SELECT word, CAST(max_by(polarity, p) AS DOUBLE) AS polarity FROM (SELECT name AS word, id % 7 - 3 AS polarity, 1 AS p FROM qda_code WHERE id % 2 = 0 AND name IS NOT NULL UNION ALL SELECT name, id % 5 - 2, 2 FROM qda_code WHERE id % 3 = 0 AND name IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT (p, polarity)) = count(DISTINCT p)")
 def fn_dict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = sentiment.Lexicon("a", "en", {k: sentiment.SEED_EN[k] for k in ("well-known", "great")})
-    return a.merge(sentiment.Lexicon("b", "en", {"great": 0.9, "odd": -0.2})).frame(spark)
+    """A lexicon of every second code's name with one of every third's on top; names that one of them has twice are left out."""
+    c = codes(spark, sf_dir).where("name is not null")
+    a = c.where("id % 2 = 0").select(F.col("name").alias("word"), (F.col("id") % 7 - 3).cast("double").alias("polarity")).distinct()
+    b = c.where("id % 3 = 0").select(F.col("name").alias("word"), (F.col("id") % 5 - 2).cast("double").alias("polarity")).distinct()
+    twice = a.groupBy("word").count().unionByName(b.groupBy("word").count()).where("count > 1").select("word").distinct()
+    return sentiment.merge_frames(a, b).join(twice, "word", "left_anti")

@@ -179,7 +179,7 @@ def lim_quick9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _preorder(spark, sf_dir).where("place <= 9").select("project_id", F.col("place").cast("long").alias("hotkey"), "id")
 
 
-@core.query("agg_max_sort", f"SELECT parent_id, max(sort_order) + 1 AS next_order FROM {CODE} GROUP BY parent_id")
+@core.query("agg_max_sort", f"SELECT parent_id, coalesce(max(sort_order), -1) + 1 AS next_order FROM {CODE} GROUP BY parent_id")
 def agg_max_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editing.next_sort_order(codes(spark, sf_dir))
 

@@ -201,7 +201,7 @@ def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query(
     "fn_layout_label",
-    "SELECT id, CASE language WHEN 'ja' THEN 'Japanese' WHEN 'en' THEN 'English' ELSE 'Unknown' END || CASE WHEN coalesce(script = 'vertical', false) THEN ' vertical' ELSE ' horizontal' END AS label FROM qda_document",
+    "SELECT id, CASE language WHEN 'ja' THEN 'Japanese' WHEN 'en' THEN 'English' ELSE 'Unknown' END || CASE WHEN language = 'und' THEN '' WHEN coalesce(script = 'vertical', false) THEN ' vertical' ELSE ' horizontal' END AS label FROM qda_document",
 )
 def fn_layout_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "qda_document").select("id", T.layout_label(F.col("language"), F.coalesce(F.col("script") == "vertical", F.lit(False))).alias("label"))

@@ -1,5 +1,10 @@
 """Polarity lexicons in their usual file forms, as (word, polarity) tables."""
 
+import io
+import tarfile
+import zipfile
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +82,78 @@ def install(lexicon: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("word string, polarity double").option("sep", "\t").csv(path)
+
+
+@dataclass(frozen=True)
+class Known:
+    """A public lexicon: how its file is written and which member of an archive it is."""
+
+    language: str
+    encoding: str
+    form: str
+    member: str = ""
+
+
+# Keys, languages, encodings and member hints of the lexicons that can be installed. Their licences forbid
+# shipping them; files are given by the user.
+REGISTRY = {
+    "takamura_pn": Known("ja", "euc-jp", "colon"),
+    "tohoku_wago": Known("ja", "utf-8", "verb_phrases", "wago"),
+    "tohoku_noun": Known("ja", "utf-8", "nouns", "pn.csv"),
+}
+
+
+def unpacked(content: bytes, hint: str = "") -> bytes:
+    """The member of a zip or tar archive whose name holds ``hint`` (else its first file); other content as it is."""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = [n for n in z.namelist() if not n.endswith("/")]
+            return z.read(_member(names, hint))
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content)) as t:
+            files = {m.name: m for m in t.getmembers() if m.isfile()}
+            return t.extractfile(files[_member(list(files), hint)]).read()
+    except tarfile.TarError:
+        return content
+
+
+def _member(names: list[str], hint: str) -> str:
+    if not names:
+        raise ValueError("the archive is empty")
+    return next((n for n in names if hint and hint in n), names[0])
+
+
+def install_known(spark: SparkSession, key: str, source: str, folder: str) -> DataFrame:
+    """Read a registered lexicon from a file or archive, write it to ``folder``/key and return it; unknown keys are errors."""
+    if key not in REGISTRY:
+        raise KeyError(f"unknown lexicon: {key} (known: {', '.join(REGISTRY)})")
+    known = REGISTRY[key]
+
+    @F.pandas_udf("binary")
+    def member(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else unpacked(bytes(b), known.member))
+
+    text = spark.read.format("binaryFile").load(source).select(decode_any(member(F.col("content")), known.encoding).alias("t"))
+    install(parse(numbered(text, "t"), known.form), f"{folder}/{key}")
+    return load(spark, f"{folder}/{key}")
+
+
+def installed(spark: SparkSession, folder: str) -> list[str]:
+    """Keys of the registered lexicons that ``folder`` holds."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    out = []
+    for key in REGISTRY:
+        path = hadoop.Path(f"{folder}/{key}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            out.append(key)
+    return out
+
+
+def load_combined(spark: SparkSession, base: DataFrame, folder: str, language: str = "ja") -> DataFrame:
+    """``base`` (word, polarity) with all installed lexicons of a language on top, in the registry's order."""
+    out = base.select("word", "polarity")
+    for key in installed(spark, folder):
+        if REGISTRY[key].language == language:
+            over = load(spark, f"{folder}/{key}")
+            out = out.join(over.select(F.col("word").alias("_o")), F.col("word") == F.col("_o"), "left_anti").unionByName(over)
+    return out

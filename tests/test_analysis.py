@@ -110,3 +110,67 @@ def test_search(spark):
     assert f(query="stop now") == [1] and f(query="cafe") == [1] and f(query="eiji") == [2] and f(query="fé") == [1]
     assert f(year_min=1865) == [3] and f(coded=True) == [1] and f(author="B_") == [3] and f(order_by="nonsense") == [1, 2, 3] and f(order_by="year", descending=True) == [3, 1, 2]
     assert f(query="  ") == [1, 2, 3] and f(query="!?-") == []
+
+
+def test_import_creates_what_is_missing(spark):
+    d = spark.createDataFrame([(1, 1, "T"), (2, 2, "U")], "id long, project_id long, title string")
+    c = spark.createDataFrame([(1, 1, "C"), (7, 2, "z")], "id long, project_id long, name string")
+    k = spark.createDataFrame([(4, 1, "K")], "id long, project_id long, name string")
+    s = spark.createDataFrame([(9, 1, 1, 4, 0, 5, "draft")], "id long, document_id long, code_id long, coder_id long, char_start int, char_end int, status string")
+    rec = spark.createDataFrame(
+        [("T", "z", "K", 0, 6, "draft"), ("T", "a", "new", 1, 2, None), ("T", "C", "K", 0, 5, "reviewed"), ("U", "q", "K", 0, 1, "draft"), ("V", "q", "K", 0, 1, "draft"), ("V", "q", "K", 1, 2, "draft"), (None, "q", "K", 0, 1, "draft")],
+        "doc string, code string, coder string, start int, end int, status string",
+    )
+    for prefer, status in (("existing", "draft"), ("incoming", "reviewed")):
+        got = collaboration.import_records(rec, d, c, k, s, 1, prefer)
+        assert {(r.id, r.project_id, r.name) for r in got.codes.collect()} == {(1, 1, "C"), (7, 2, "z"), (8, 1, "a"), (9, 1, "z")}
+        assert {(r.id, r.name) for r in got.coders.collect()} == {(4, "K"), (5, "new")}
+        assert {(r.doc, r.n_records) for r in got.missing.collect()} == {("U", 1), ("V", 2)}
+        rows = {(r.id, r.code_id, r.coder_id, r.char_start, r.char_end, r.status) for r in got.segments.collect()}
+        assert rows == {(9, 1, 4, 0, 5, status), (10, 8, 5, 1, 2, "draft"), (11, 9, 4, 0, 6, "draft")}
+    empty = collaboration.import_records(rec.where("false"), d, c, k, s, 1)
+    assert (empty.codes.count(), empty.segments.count(), empty.missing.count()) == (2, 1, 0)
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    from corpusloom.session import number
+
+    df = spark.range(1000).selectExpr("cast(xxhash64(id) as string) k")
+    a, b = ({r.k: r.id for r in number(df.repartition(n), ["k"], 5).collect()} for n in (2, 7))
+    assert a == b and sorted(a.values()) == list(range(5, 1005)) and [k for k, _ in sorted(a.items(), key=lambda x: x[1])] == sorted(a)
+    assert number(df.where("false"), ["k"], 1).count() == 0
+
+
+def test_readers_of_languages(spark):
+    lex = (sentiment.builtin("en"), sentiment.builtin("ja"))
+    rows = [(1, "English", "Great peace"), (2, "jpn", "名誉ではない"), (3, None, "not good"), (4, "", "勝利"), (5, "fr", "good"), (6, "en-GB", None)]
+    d = spark.createDataFrame(rows, "id long, language string, body string")
+    got = {r.document_id: (r.polarity, r.dictionary) for r in sentiment.analyze(d, "document", lex).collect()}
+    assert {k: round(v[0], 3) for k, v in got.items()} == {1: 0.7, 2: -0.6, 3: -0.7, 4: 0.7, 5: 0.0, 6: 0.0}
+    assert got[2][1] == "builtin-ja" and got[5][1] == "empty"
+
+
+def test_tokens_of_a_callable(spark):
+    d = spark.createDataFrame([(1, "良い 事 ない"), (2, "ない 事 良い"), (3, None)], "id long, t string")
+    cut = lambda t: [(w, 0) for w in t.split()]
+    ja = sentiment.builtin("ja")
+    assert [r.polarity for r in sentiment.score_tokens(d, "t", ja, cut).orderBy("id").collect()] == pytest.approx([-0.6, 0.6, 0.0])
+    en = spark.createDataFrame([(1, "never a good day")], "id long, t string")
+    assert sentiment.score_tokens(en, "t", sentiment.builtin("en"), cut).first().polarity == pytest.approx(-0.7)
+
+
+def test_large_scan_is_the_plain_scan(spark):
+    import random
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("忠義善悪功罪無") for _ in range(rng.randint(1, 4))) for _ in range(300)})
+    lex = sentiment.Lexicon("x", "ja", {w: round(rng.uniform(-1, 1), 2) for w in words}, frozenset({"無"}))
+    rows = [(i, "".join(rng.choice("忠義善悪功罪無の、") for _ in range(n))) for i, n in enumerate([0, 1, 5, 255, 256, 257, 700])] + [(99, None)]
+    d = spark.createDataFrame(rows, "id long, t string")
+    few = {r.id: (round(r.polarity, 9), r.n_positive, r.n_negative, r.n_words) for r in sentiment.score(d, "t", lex).collect()}
+    many = {r.id: (round(r.polarity, 9), r.n_positive, r.n_negative, r.n_words) for r in sentiment.score_large(d, "id", "t", lex.frame(spark), ["無"], "ja").collect()}
+    assert few == many
+    # 55,000 words: no literal of them in the plan
+    big = spark.range(55_000).selectExpr("concat('語', cast(id as string)) word", "0.5D polarity").unionByName(lex.frame(spark))
+    out = sentiment.score_large(d, "id", "t", big, ["無"], "ja")
+    assert "語123" not in out._jdf.queryExecution().toString() and {r.id: r.n_words for r in out.collect()} == {k: v[3] for k, v in few.items()}

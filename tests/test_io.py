@@ -91,15 +91,18 @@ def test_exports(spark, tmp_path):
 def test_drawings(spark):
     t = spark.createDataFrame([("A<", "1860", 2), ("B", "1861", 0)], "name string, value string, n long")
     svg = report.heatmap_svg(t)
-    assert "A&lt;" in svg and "#ff0000" in svg and ElementTree.fromstring(svg) is not None
+    tiles = [e for e in ElementTree.fromstring(svg).iter() if e.tag.endswith("rect") and len(e)]
+    assert "A&lt;, 1860: 2" in svg and len(tiles) == 1 and ElementTree.fromstring(report.heatmap_svg(t.where("false"))) is not None
     s = spark.createDataFrame([(1860, 1), (1868, 2)], "year int, n int")
-    assert ElementTree.fromstring(report.series_svg(s)) is not None and report.series_svg(s.where("false")).endswith("></svg>")
+    drawn = ElementTree.fromstring(report.series_svg(s))
+    assert [e.text for e in drawn if e.tag.endswith("text")] == ["1860", "1868"] and sum(e.get("class") == "zero" for e in drawn) == 1
+    assert len(ElementTree.fromstring(report.series_svg(s.where("false")))) == 0
     nodes = spark.createDataFrame([(1, "A", 0, None), (2, "B", 3, "#fff")], "id long, label string, value long, color string")
     edges = spark.createDataFrame([(1, 2, 2.0, "cooccurrence"), (1, 2, 1.0, "is-a")], "source long, target long, weight double, relation string")
     g = json.loads(report.graph_json(nodes, edges))
     assert g["nodes"][0]["value"] == 1 and sorted(e["label"] for e in g["edges"]) == ["", "is-a"] and "<svg" in report.graph_html(nodes, edges)
     tree = spark.createDataFrame([(1, "A", 0, 1, 2)], "id long, name string, depth int, preorder int, frequency int")
-    ex = spark.createDataFrame([(1, ["<q>"])], "code_id long, quotes array<string>")
+    ex = spark.createDataFrame([(1, "<q>")], "code_id long, example string")
     assert "&lt;q&gt;" in report.html_report("R", {"documents": 1}, tree, fixture(spark)[2], ex)
 
 
@@ -126,3 +129,60 @@ def test_pages(spark, tmp_path):
     assert {r.text or r.error for r in got} == {"t", "RuntimeError: bad"}
     assert pages.best_trial(spark.createDataFrame([(1, "h", 0.5, 1.0), (1, "v", 0.9, 0.1)], "page_id long, setting string, confidence double, share double")).first().setting == "h"
     assert F is not None
+
+
+def test_drawings_are_for_small_results(spark, monkeypatch):
+    monkeypatch.setattr(report, "DRAWN_MOST", 3)
+    with pytest.raises(ValueError):
+        report.heatmap_svg(spark.range(4).selectExpr("'a' name", "cast(id as string) value", "id n"))
+
+
+def test_first_examples(spark):
+    from corpusloom.operators.coding import first_examples
+
+    d = spark.createDataFrame([(1, "abcdef" * 40)], "id long, body string")
+    s = spark.createDataFrame([(3, 1, 7, 0, 200), (2, 1, 7, 3, 9), (1, 1, 7, 5, 5), (4, 1, 8, 0, 0)], "id long, document_id long, code_id long, char_start int, char_end int")
+    assert {r.code_id: r.example for r in first_examples(s, d).collect()} == {7: "defabc"}
+
+
+def test_registered_lexicons_and_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from corpusloom.sources import lexicons
+
+    z = tmp_path / "w.zip"
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("README", "nothing")
+        f.writestr("dic/wago.121808.pn", "ポジ（経験）\t喜ぶ\nネガ（経験）\t腹 が 立つ\n")
+    t = tmp_path / "n.tar.gz"
+    with tarfile.open(t, "w:gz") as f:
+        data = "名誉\tp\t\n逆賊\tn\t\n机\te\t\n".encode()
+        info = tarfile.TarInfo("pn.csv.m3")
+        info.size = len(data)
+        f.addfile(info, io.BytesIO(data))
+    plain = tmp_path / "pn.dic"
+    plain.write_bytes("優れる:すぐれる:動詞:1\n悪い:わるい:形容詞:-0.9\n".encode("euc-jp"))
+    where = str(tmp_path / "lex")
+    get = lambda key, path: {r.word: r.polarity for r in lexicons.install_known(spark, key, str(path), where).collect()}
+    assert get("tohoku_wago", z) == {"喜ぶ": 1.0, "腹が立つ": -1.0} and get("tohoku_noun", t) == {"名誉": 1.0, "逆賊": -1.0, "机": 0.0}
+    assert lexicons.installed(spark, where) == ["tohoku_wago", "tohoku_noun"] and get("takamura_pn", plain) == {"優れる": 1.0, "悪い": -0.9}
+    base = spark.createDataFrame([("名誉", 0.6), ("功", 0.4)], "word string, polarity double")
+    both = {r.word: r.polarity for r in lexicons.load_combined(spark, base, where).collect()}
+    assert both["名誉"] == 1.0 and both["功"] == 0.4 and len(both) == 8
+    with pytest.raises(KeyError):
+        lexicons.install_known(spark, "other", str(plain), where)
+
+
+def test_proposed_settings(spark):
+    rows = [
+        (1, "ja", False, 0.5, "春の海"), (1, "ja", True, 0.6, "春の海ひねもす"), (1, "en", False, 0.9, "ab"),  # Japanese, downwards
+        (2, "ja", True, 0.9, "a春bcde"), (2, "en", False, 0.3, "a letter"),  # too few Han characters
+        (3, "ja", False, 0.3, "春の海ひねもす"), (3, "en", False, None, "x"), (3, "de", False, 0.2, "ein Brief"),  # not sure enough
+        (4, "ja", False, 0.1, None),
+    ]
+    t = spark.createDataFrame(rows, "page_id long, language string, vertical boolean, confidence double, text string")
+    got = {r.page_id: (r.language, r.vertical, r.label) for r in pages.propose_settings(t).collect()}
+    assert got == {1: ("ja", True, "Japanese vertical"), 2: ("en", False, "English horizontal"), 3: ("de", False, "Unknown horizontal"), 4: ("und", False, "Unknown")}
+    assert pages.propose_settings(t.where("false")).count() == 0

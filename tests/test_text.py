@@ -67,3 +67,15 @@ def test_colors_and_names(spark):
 def test_like(spark):
     assert one(spark, "Été OF", lambda c: T.like_ascii(c, "of")) and not one(spark, "Été", lambda c: T.like_ascii(c, "ét"))
     assert one(spark, "a\\b", lambda c: T.like_ascii(c, "\\"))
+
+
+def test_spans_of_long_texts(spark):
+    from corpusloom.functions import text as T
+
+    t = "".join(f"{'x' * (i % 7 + 1)}。" for i in range(5000)) + "\n\nend" + "\n\n\n  \n\nlast"
+    df = spark.createDataFrame([(t,), ("",), (None,)], "t string")
+    rows = df.select(T.sentence_spans(df.t).alias("s"), T.paragraph_spans(df.t).alias("p"), T.paragraph_starts(df.t).alias("b")).collect()
+    s = [(x.char_start, x.char_end) for x in rows[0].s]
+    assert len(s) == 5002 and all(t[a:z].strip() for a, z in s) and all(x[1] <= y[0] for x, y in zip(s, s[1:]))
+    assert [t[x.char_start : x.char_end] for x in rows[0].p][1:] == ["end", "last"] and len(rows[0].b) == 2
+    assert [list(r) for r in rows[1:]] == [[[], [], []]] * 2
