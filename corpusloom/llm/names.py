@@ -473,7 +473,7 @@ def _resolve_people(placed: DataFrame) -> DataFrame:
 def _rematch(found: DataFrame, links: DataFrame, common: DataFrame) -> DataFrame:
     """(cluster, top): the clusters that links unite, and what they merge with when they enter their blocks again."""
     sets = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
-    parts = found.groupBy("cluster").agg(F.collect_set("block").alias("blocks"), sets("given"), sets("first"), sets("middle"), F.min("slip").alias("slip"))
+    parts = found.groupBy("cluster", "block").agg(sets("given"), sets("first"), sets("middle"), F.min("slip").alias("slip"))
     into = cut(components(links).select(F.col("node").alias("cluster"), F.col("root").alias("top")))
     parts = cut(parts)
 
@@ -487,11 +487,18 @@ def _rematch(found: DataFrame, links: DataFrame, common: DataFrame) -> DataFrame
 
     while True:
         top = F.coalesce("top", "cluster")
-        now = parts.join(into.withColumnRenamed("cluster", "_c"), F.col("cluster") == F.col("_c"), "left").groupBy(top.alias("cluster"))
-        now = cut(now.agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"), sets("given"), sets("first"), sets("middle"), F.min("slip").alias("slip")))
-        # richer profiles enter all blocks of their spellings
-        fresh = now.join(into.select(F.col("top").alias("_t")).distinct(), F.col("cluster") == F.col("_t"), "left_semi").select(F.explode("blocks").alias("_b")).distinct()
-        enter = now.withColumn("block", F.explode("blocks")).join(fresh, F.col("block") == F.col("_b"), "left_semi").join(common.withColumnRenamed("block", "_k"), F.col("block") == F.col("_k"), "left").drop("_k", "blocks")
+        now = cut(parts.join(into.withColumnRenamed("cluster", "_c"), F.col("cluster") == F.col("_c"), "left").withColumn("cluster", top).drop("_c", "top"))
+        # richer profiles enter all blocks of their spellings; what was read with another surname there has that for a
+        # given name here
+        blocks = now.select(F.col("cluster").alias("_c"), F.col("block").alias("_to")).distinct()
+        fresh = now.join(into.select(F.col("top").alias("_t")).distinct(), F.col("cluster") == F.col("_t"), "left_semi").select(F.col("block").alias("_b")).distinct()
+        here = F.col("block") == F.col("_to")
+        enter = now.join(blocks, F.col("cluster") == F.col("_c")).select(
+            "cluster", F.col("_to").alias("block"), F.when(here, F.col("given")).otherwise(F.array("block")).alias("given"),
+            F.when(here, F.col("first")).otherwise(F.array(F.substring("block", 1, 1))).alias("first"), "middle", F.when(here, F.col("slip")).alias("slip"),
+        )
+        enter = enter.groupBy("cluster", "block").agg(sets("given"), sets("first"), sets("middle"), F.coalesce(F.min("slip"), F.lit(False)).alias("slip"))
+        enter = enter.join(fresh, F.col("block") == F.col("_b"), "left_semi").join(common.withColumnRenamed("block", "_k"), F.col("block") == F.col("_k"), "left").drop("_k")
         more = cut(spread(enter, "block").groupBy("block").applyInPandas(again, "a string, b string"))
         if more.isEmpty():
             return into

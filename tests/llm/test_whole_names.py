@@ -66,3 +66,9 @@ def test_han_names(spark):
     names = ["山田太郎", "山田太朗", "山田 太郎", "山田二郎"]
     got = {r.name: r.identity for r in resolve_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert len({got[n] for n in names[:3]}) == 1 and got["山田二郎"] != got["山田太郎"]
+
+
+def test_a_surname_is_no_given_name_of_the_other_reading(spark):
+    names = ["Robert Cavibavim", "Cavibavim Robert", "Zacharias Cavibavim", "Cavibavim Zacharias", "zacharias cavibavim", "Cavibavim, Robert E."]
+    got = {r.name: r.identity for r in resolve_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert len({got[n] for n in names if "obert" in n}) == len({got[n] for n in names if "acharias" in n}) == 1 and len(set(got.values())) == 2
