@@ -32,6 +32,8 @@ from corpusloom.session import cut, lookup, spread
 FIT_PAGES, LEAST_SHARE = 800, 5e-6
 #: Bits of the filter that tells candidate readings of rarer entries apart before they are looked up.
 FILTER_BITS = 1 << 25
+#: Pages that make a recurring line a title, and the share of trigrams (Dice) that a misread one has in common with it.
+TITLE_PAGES, ALIKE = 4, 0.7
 STATES = ("header", "page_number", "body", "break")
 
 _NUMBER = r"(?:[-—–(\[·]\s*)?(?:(?:p|pp|S|s|pág|стр|с|f|fol)\.\s*(?=\d))?(?:\d{1,4}|[IVXLCDM]{1,9}|[ivxl]{1,9}|[０-９]{1,4}|[〇一二三四五六七八九十百]{1,5})(?:\s*[-—–)\]·.頁页])*"
@@ -78,35 +80,6 @@ def title_keys(line: str) -> list[str]:
     return out
 
 
-@dataclass
-class Titles:
-    """Common running titles, to recognise a misread one: the share of trigrams two lines have in common."""
-
-    names: list[str]
-
-    def __post_init__(self) -> None:
-        self.index: dict[str, list[int]] = {}
-        self.grams = [self.trigrams(t) for t in self.names]
-        for i, g in enumerate(self.grams):
-            for x in g:
-                self.index.setdefault(x, []).append(i)
-
-    @staticmethod
-    def trigrams(t: str) -> set[str]:
-        t = f" {t} "
-        return {t[i : i + 3] for i in range(len(t) - 2)}
-
-    def like(self, line: str) -> bool:
-        for k in title_keys(line):
-            g = self.trigrams(k)
-            if len(g) < 6:
-                continue
-            hits = Counter(i for x in g for i in self.index.get(x, ()))
-            if any(2 * n >= 0.7 * (len(g) + len(self.grams[i])) for i, n in hits.most_common(3)):
-                return True
-        return False
-
-
 @dataclass
 class Word:
     index: int
@@ -142,7 +115,7 @@ def line_features(lines: list[list[Word]], repeats: dict[int, int]) -> list[list
         nxt = lines[i + 1] if i + 1 < n else None
         f = [
             f"top={min(i, 3)}", f"end={min(n - 1 - i, 3)}", f"edge={i < 2 or i >= n - 2}", f"num={number}", f"stop={bool(STOP.search(t))}", f"wide={min(4, int(5 * widths[i] / usual))}",
-            f"up={upper > 0.8 and len(letters) > 3}", f"rep={0 if r < 2 else 1 if r < 4 else 2}", f"low={t[:1].islower()}", f"tail={bool(BROKEN.search(t) or t[-1:] in ',;、，')}",
+            f"up={upper > 0.8 and len(letters) > 3}", f"rep={0 if r < 2 else 1 if r < TITLE_PAGES else 2}", f"low={t[:1].islower()}", f"tail={bool(BROKEN.search(t) or t[-1:] in ',;、，')}",
             f"numend={_has_number(t)}", f"indent={min(w.x for w in ws) > margin + 8}", f"nextin={nxt is not None and min(w.x for w in nxt) > margin + 8}", f"cjk={bool(CJK.search(t))}",
         ]
         f += [f"{f[2]}&{f[7]}&{f[4]}", f"{f[2]}&{f[3]}", f"{f[4]}&{f[5]}&{f[12]}"]
@@ -268,7 +241,7 @@ class Lexicon:
         seen: dict[str, Counter] = {}
         for c, n in sorted(letters.items(), key=lambda x: (-x[1], x[0])):
             seen.setdefault(script(c), Counter())[c] += n
-        self.alphabet = {k: "".join(c for c, _ in v.most_common(64)) for k, v in seen.items()}
+        self.alphabet = {k: "".join(c for c, _ in v.most_common()) for k, v in seen.items()}
         self.total = self.total or sum(n for n, _ in self.words.values()) or 1
         self.back = confusions()
         self.begins = {w[:i] for w in self.words for i in range(1, len(w) + 1)}
@@ -597,11 +570,11 @@ def _words(cells: object) -> list[Word]:
     return [Word(int(c["word_index"]), int(c["line"]), c["text"], float(c["x"]), float(c["w"]), float(c["conf"])) for c in cells]
 
 
-def title_counts(pages: DataFrame) -> tuple[DataFrame, Titles]:
+def title_counts(pages: DataFrame) -> DataFrame:
     """(page_id, line, n) for each line at a page's edge: on how many pages its title stands at an edge.
 
-    0 where the text stands inside pages too, as body text does. Also the titles that stand on at least one
-    page in a thousand, so at most four thousand.
+    0 where the text stands inside pages too, as body text does. A line that no stop ends and that is much like a title of
+    ``TITLE_PAGES`` pages or more counts as one, as it may be misread (:func:`misread_titles`).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -610,16 +583,39 @@ def title_counts(pages: DataFrame) -> tuple[DataFrame, Titles]:
             for pid, cells in zip(pdf.page_id, pdf.words):
                 lines = lines_of(_words(cells))
                 for i, ws in enumerate(lines):
-                    edge = i < 2 or i >= len(lines) - 2
-                    rows += [(pid, ws[0].line, k, edge) for k in title_keys(" ".join(w.text for w in ws))]
-            yield pd.DataFrame(rows, columns=["page_id", "line", "key", "edge"])
+                    edge, t = i < 2 or i >= len(lines) - 2, " ".join(w.text for w in ws)
+                    rows += [(pid, ws[0].line, k, edge, edge and bool(STOP.search(t))) for k in title_keys(t)]
+            yield pd.DataFrame(rows, columns=["page_id", "line", "key", "edge", "stop"])
 
-    keys = cut(pages.mapInPandas(run, "page_id long, line int, key string, edge boolean"))
+    keys = cut(pages.mapInPandas(run, "page_id long, line int, key string, edge boolean, stop boolean"))
     n = keys.groupBy(F.col("key").alias("_key")).agg(F.sum(F.col("edge").cast("int")).alias("n"), F.sum((~F.col("edge")).cast("int")).alias("inside"))
     n = cut(n.where("n > 1 and inside * 4 <= n").select("_key", "n"))
-    floor = max(4, pages.count() // 1000)
-    names = [r[0] for r in n.where(F.col("n") >= floor).select("_key").collect()]
-    return lookup(keys.where("edge"), "key", n, "_key").where("n is not null").groupBy("page_id", "line").agg(F.max("n").alias("n")), Titles(names)
+    edges = cut(lookup(keys.where("edge"), "key", n, "_key").select("page_id", "line", "key", "stop", "n"))
+    rest = edges.where(f"not stop and coalesce(n, 0) < {TITLE_PAGES}").select("key").distinct()
+    alike = cut(misread_titles(rest, n.where(F.col("n") >= TITLE_PAGES).select(F.col("_key").alias("key"))).select(F.col("key").alias("_key"), F.lit(TITLE_PAGES).cast("long").alias("m")))
+    both = lookup(edges, "key", alike, "_key").withColumn("n", F.greatest("n", F.when(~F.col("stop"), F.col("m"))))
+    return both.where("n is not null").groupBy("page_id", "line").agg(F.max("n").alias("n"))
+
+
+def misread_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """Those keys of ``lines`` that share ``ALIKE`` of their trigrams with one of ``titles`` (both: key, distinct).
+
+    Every pair that can reach the share is tested: two sets of which so much is common have one of their rarest
+    trigrams in common, if so many of each are looked at as the share lets go, and on these they are joined.
+    """
+    gram = lambda df: df.select("key", F.array_distinct(F.expr("transform(sequence(1, length(key)), i -> substring(concat(' ', key, ' '), i, 3))")).alias("grams"))
+    one, two = cut(gram(lines).where(F.size("grams") >= 6)), cut(gram(titles))
+    each = one.select("key", F.explode("grams").alias("gram"), F.lit(True).alias("line")).unionByName(two.select("key", F.explode("grams").alias("gram"), F.lit(False).alias("line")))
+    often = each.groupBy(F.col("gram").alias("_g")).agg(F.count("*").alias("c"))
+    # a set of k trigrams shares at least k * ALIKE / (2 - ALIKE) of them with any that is alike
+    ranked = each.join(often, F.col("gram") == F.col("_g")).groupBy("line", "key").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
+    head = (F.size("g") - F.ceil(F.size("g") * F.lit(ALIKE / (2 - ALIKE)) - 1e-9) + 1).cast("int")
+    rare = cut(ranked.select("line", "key", F.explode(F.slice("g", F.lit(1), head)).alias("h")).select("line", "key", F.col("h.gram").alias("gram")))
+    t = rare.where("not line").select(F.col("key").alias("title"), F.col("gram").alias("_g"))
+    met = rare.where("line").join(t, F.col("gram") == F.col("_g")).select("key", "title").distinct()
+    full = met.join(one.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).join(two.select(F.col("key").alias("_t"), F.col("grams").alias("other")), F.col("title") == F.col("_t"))
+    share = 2 * F.size(F.array_intersect("grams", "other")) >= F.lit(ALIKE) * (F.size("grams") + F.size("other"))
+    return full.where(share).select("key").distinct()
 
 
 @dataclass
@@ -638,7 +634,7 @@ def lexicon(typed: DataFrame, text_col: str) -> tuple[Lexicon, Rare | None]:
     """
     t = typed.select(F.col(text_col).alias("t")).where("t is not null")
     w = t.select(F.explode(F.split("t", r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$", "").alias("w"))
-    w = w.where(F.col("w").rlike(r"\p{L}") & ~F.col("w").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]") & (F.length("w") <= 40))
+    w = w.where(F.col("w").rlike(r"\p{L}") & ~F.col("w").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"))
     w = w.groupBy("w").agg(F.count("*").alias("n"))
     words = w.groupBy(F.lower("w").alias("low")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "w")).alias("m")).select("low", "n", F.col("m.w").alias("w"))
     flat = t.where(F.col("t").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")).select(F.regexp_replace(F.regexp_replace("t", r"\s+", ""), r"[0-9０-９]+", "0").alias("t"))
@@ -702,16 +698,6 @@ def rare_entries(lab: DataFrame, share: object, rare: Rare) -> DataFrame:
     return lookup(asked, "s", found, "_s").where("e is not null").groupBy(F.col("page_id").alias("_p")).agg(F.array_distinct(F.flatten(F.collect_list("e"))).alias("entries"))
 
 
-def repeats_of(lines: list[list[Word]], counts: object, titles: Titles) -> dict[int, int]:
-    """Line -> pages with its title at an edge; a line much like a common title counts as one."""
-    out = dict(counts) if counts is not None else {}
-    for i in {*range(min(2, len(lines))), *range(max(0, len(lines) - 2), len(lines))}:
-        at, t = lines[i][0].line, " ".join(w.text for w in lines[i])
-        if out.get(at, 0) < 4 and not STOP.search(t) and titles.like(t):
-            out[at] = 4
-    return out
-
-
 def labelled_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages with the kind of each line: page_id, document_id, page_index, words, states, first, last, before, follow.
 
@@ -720,21 +706,20 @@ def labelled_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     without a row in ``pages`` has no neighbours.
     """
     pw = cut(page_words(words))
-    counts, titles = title_counts(pw)
-    counts = counts.groupBy(F.col("page_id").alias("_p")).agg(F.map_from_entries(F.collect_list(F.struct("line", "n"))).alias("repeats"))
+    counts = title_counts(pw).groupBy(F.col("page_id").alias("_p")).agg(F.map_from_entries(F.collect_list(F.struct("line", "n"))).alias("repeats"))
     full = cut(pw.join(counts, F.col("page_id") == F.col("_p"), "left").select("page_id", "words", "repeats"))
     rows = full.orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).toPandas()
     sample = [lines_of(_words(cells)) for cells in rows.words]
-    model = fit_lines([(lines, repeats_of(lines, rep, titles)) for lines, rep in zip(sample, rows.repeats)])
-    share = full.sparkSession.sparkContext.broadcast((model, titles))
+    model = fit_lines([(lines, dict(rep) if rep is not None else {}) for lines, rep in zip(sample, rows.repeats)])
+    share = full.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = share.value
+        m = share.value
         for pdf in batches:
             states, first, last = [], [], []
             for cells, rep in zip(pdf.words, pdf.repeats):
                 lines = lines_of(_words(cells))
-                s = m.label(lines, repeats_of(lines, rep, known))
+                s = m.label(lines, dict(rep) if rep is not None else {})
                 body = [w for ws in body_lines(Page(0, lines, s)) for w in ws]
                 states.append(s)
                 first.append(body[0].text if body else None)
