@@ -1,9 +1,9 @@
 """Repair of text from scanned pages.
 
-Lines are labelled header, page_number, body or break (the last line of a paragraph) by a linear chain: each
-line's layout and text features are scored by maximum-entropy models, and a Viterbi pass adds transition
-scores. The models are fitted on lines whose kind is plain (titles that recur at page edges, bare numbers,
-indents) and decide the rest. Within the body, words broken over lines and pages are joined, marks that are
+Lines are labelled header, page_number, body or break (the last line of a paragraph) by a linear-chain conditional
+random field over layout and text features. It is fitted by forward-backward passes on pages of whose lines some are
+plain (titles that recur at page edges, bare numbers, indents); the others take part with their features and
+neighbours. Within the body, words broken over lines and pages are joined, marks that are
 no text are dropped, and words unknown to the lexicon of typed texts are corrected by common false readings.
 
 A page is the unit of work; what a page needs from its successor, its first words, comes by a join.
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import maxent
+from corpusloom.llm.chain import Chain, fit_chain
 from corpusloom.session import cut, lookup, spread
 
 #: Pages the line model is fitted on; lexicon entries with this share of all tokens, at most 1/share, are held in memory.
@@ -128,63 +128,44 @@ def _has_number(t: str) -> bool:
     return len(p) > 1 and bool(NUMBER.fullmatch(p[0]) or NUMBER.fullmatch(p[-1]) or NUMBER.fullmatch(" ".join(p[-3:])) or NUMBER.fullmatch(" ".join(p[:3])))
 
 
-def plain_state(f: list[str]) -> int:
-    """The kind that a line's features make plain, for fitting."""
+HEADER, NUMBER_, BODY, BREAK = range(4)
+
+
+def may_be(f: list[str]) -> set[int]:
+    """The kinds a line may be of by what is plain; of many lines nothing is.
+
+    A bare number at a page's edge is a page number, a line there that recurs on many pages and ends like no sentence is a
+    running title, a line inside a page is text; what ends with a stop before an indent, or short, ends a paragraph,
+    and a full line that goes on does not.
+    """
     s = set(f)
-    if "num=True" in s and "edge=True" in s:
-        return 1
-    if "edge=True" in s and "rep=2" in s and "stop=False" in s and "tail=False" in s and "low=False" in s:
-        return 0
-    if "stop=True" in s and ("nextin=True" in s or not {"wide=4", "wide=3"} & s):
-        return 3
-    return 2
+    edge, stop = "edge=True" in s, "stop=True" in s
+    full = bool(s & {"wide=3", "wide=4"})
+    if "num=True" in s:
+        return {NUMBER_} if edge else {NUMBER_, BODY, BREAK}
+    if edge and "rep=2" in s and not stop and not s & {"tail=True", "low=True"}:
+        return {HEADER}
+    if edge and not stop and not s & {"tail=True", "low=True"} and not (full and "rep=0" in s):
+        return {HEADER, BODY, BREAK}
+    if stop and ("nextin=True" in s or not full):
+        return {BREAK}
+    if not stop and full and "nextin=False" in s:
+        return {BODY}
+    return {BODY, BREAK}
 
 
 @dataclass
 class LineModel:
-    weights: np.ndarray
-    moves: np.ndarray
+    chain: Chain
 
     def label(self, lines: list[list[Word]], repeats: dict[int, int]) -> list[str]:
-        if not lines:
-            return []
-        f = line_features(lines, repeats)
-        x = maxent.matrix(f)
-        e = np.stack([w[x].sum(1) for w in self.weights], 1)
-        best, back = e[0], []
-        for i in range(1, len(f)):
-            s = best[:, None] + self.moves
-            back.append(s.argmax(0))
-            best = s.max(0) + e[i]
-        at = [int(best.argmax())]
-        for b in reversed(back):
-            at.append(int(b[at[-1]]))
-        return [STATES[k] for k in reversed(at)]
-
-
-PRIOR = (
-    {"edge=False": -3.0, "rep=2": 1.5, "rep=1": 0.7, "up=True": 1.5, "stop=True": -2.5, "low=True": -3.0, "tail=True": -2.5, "wide=4": -1.5, "num=True": -3.0, "top=0": 1.0, "top=1": 0.5, "numend=True": 0.5},
-    {"num=True": 4.0, "num=False": -6.0, "edge=False": -1.5},
-    {"edge=False": 1.0, "num=True": -2.0, "wide=4": 1.0},
-    {"stop=True": 1.0, "nextin=True": 1.5, "wide=4": -0.5, "stop=False": -2.0},
-)
+        return [STATES[k] for k in self.chain.best(line_features(lines, repeats))] if lines else []
 
 
 def fit_lines(pages: list[tuple[list[list[Word]], dict[int, int]]]) -> LineModel:
-    """Fit emissions and transitions on the plainly labelled lines of pages; without pages the priors hold."""
-    feats, states, moves = [], [], np.ones((4, 4))
-    for lines, repeats in pages:
-        f = line_features(lines, repeats)
-        s = [plain_state(x) for x in f]
-        feats += f
-        states += s
-        for a, b in zip(s, s[1:]):
-            moves[a, b] += 1
-    w0 = [maxent.prior(p, -0.5) for p in PRIOR]
-    if feats:
-        x, y = maxent.matrix(feats), np.array(states)
-        w0 = [maxent.fit(x, (y == k).astype(float), np.ones(len(y)), w0[k], l2=2.0, steps=120) for k in range(4)]
-    return LineModel(np.stack(w0), np.log(moves / moves.sum(1, keepdims=True)) * 0.5)
+    """Fit a linear chain on pages, by what is plain of their lines; all weights start from nothing."""
+    rows = [line_features(lines, repeats) for lines, repeats in pages]
+    return LineModel(fit_chain(rows, [[may_be(f) for f in page] for page in rows], len(STATES)))
 
 
 def confusions() -> dict[str, list[str]]:
