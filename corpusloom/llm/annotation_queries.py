@@ -43,6 +43,17 @@ def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus(labels, posterior)
 
 
+@llm.query(
+    "p3_units",
+    """SELECT u.unit_id, count(DISTINCT s.coder_id) AS n_coders FROM coding_unit u JOIN qda_segment s ON s.document_id = u.document_id AND s.char_start < u.char_end AND u.char_start < s.char_end AND s.char_end > s.char_start
+JOIN (SELECT DISTINCT id FROM qda_code WHERE project_id IS NOT NULL) c ON c.id = s.code_id WHERE u.char_end > u.char_start GROUP BY 1""",
+)
+def p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled unit with the number of its coders."""
+    labels, posterior, _ = _fit(spark, sf_dir)
+    return consensus(labels, posterior).select("unit_id", "n_coders")
+
+
 @llm.query("p3_coders")
 def p3_coders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reliability of each coder: competence and number of labels."""

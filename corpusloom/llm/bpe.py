@@ -17,13 +17,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the vocabulary files are; ``tokenizer_dir`` parameters override it.
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Symbols of distinct pre-tokens that are merged in one go.
 CHAIN = 1 << 21
+#: Pre-tokens whose ids a task remembers before it starts anew.
+REMEMBERED = 400_000
 # Fixed value: the pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,6 +56,9 @@ class Bpe:
         self.order = np.argsort(code, kind="stable")
         self.codes, self.left, self.right = code[self.order], left, right
         self.word = regex.compile(PATTERN)
+        self.met: dict[str, np.ndarray] = {}
+        names = {i: c for c, i in vocab.items()}
+        self.pieces = [bytes(chars.get(c, 0) for c in names.get(i, "")) for i in range(max(names) + 1)]
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it does not merge. Negative symbols are word ends."""
@@ -122,47 +128,83 @@ class Bpe:
         return np.split(ids, np.searchsorted(owner, np.arange(1, len(raw)))) if raw else []
 
     def encode_all(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each pre-token, in chains of bounded length."""
-        ids, part, size = [], [], 0
+        """Ids of each pre-token: those met before are remembered, the others merged in chains of bounded length."""
+        if len(self.met) > REMEMBERED:
+            self.met.clear()
+        part, size = [], 0
         for w in words:
+            if w in self.met:
+                continue
             part.append(w)
             size += len(w) * 4
             if size >= CHAIN:
-                ids += self.encode_words(part)
+                self.met.update(zip(part, self.encode_words(part)))
                 part, size = [], 0
-        return ids + self.encode_words(part)
+        self.met.update(zip(part, self.encode_words(part)))
+        return [self.met[w] for w in words]
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text in turn; null and empty texts have none. Distinct pre-tokens are merged once."""
-        empty = np.empty(0, np.int32)
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pre-tokens of texts, their numbers in order of all texts, and how many each text has."""
         known: dict[str, int] = {}
-        at = [[known.setdefault(w, len(known)) for w in self.word.findall(t)] if t else [] for t in texts]
-        ids = self.encode_all(list(known))
-        for w in at:
-            yield np.concatenate([ids[i] for i in w]) if w else empty
+        add = known.setdefault
+        at: list[int] = []
+        many = []
+        for t in texts:
+            before = len(at)
+            if t:
+                at += [add(w, len(known)) for w in self.word.findall(t)]
+            many.append(len(at) - before)
+        return list(known), np.array(at, np.int64), np.array(many, np.int64)
 
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null and empty texts have none. Distinct pre-tokens are merged once."""
+        words, at, many = self.cut(texts)
+        if not words:
+            return [np.empty(0, np.int32) for _ in texts]
+        ids = self.encode_all(words)
+        size = np.array([len(x) for x in ids], np.int64)
+        begin = np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        flat = np.concatenate(ids)[np.arange(ends[-1]) + np.repeat(begin[at] - (ends - n), n)]
+        last = np.concatenate(([0], ends))[np.cumsum(many)]
+        return np.split(flat, last[:-1])
 
     def counts(self, texts: list[str | None], chars: list[int]) -> list[tuple[int, int]]:
         """Of each text the number of tokens, and of those whose pre-token begins within its first ``chars`` characters."""
-        known: dict[str, int] = {}
-        at = [[known.setdefault(w, len(known)) for w in self.word.findall(t)] if t else [] for t in texts]
-        size = [len(x) for x in self.encode_all(list(known))]
-        long = [len(w) for w in known]
-        out = []
-        for own, n in zip(at, chars):
-            head = 0
-            for i in own:
-                if n <= 0:
-                    break
-                head += size[i]
-                n -= long[i]
-            out.append((sum([size[i] for i in own]), head))
-        return out
+        words, at, many = self.cut(texts)
+        if not words:
+            return [(0, 0) for _ in texts]
+        n = np.array([len(x) for x in self.encode_all(words)], np.int64)[at]
+        long = np.array([len(w) for w in words], np.int64)[at]
+        text = np.repeat(np.arange(len(texts)), many)
+        ends = np.cumsum(many)
+        start = np.cumsum(long) - long
+        start -= np.repeat(np.concatenate((start, [0]))[np.minimum(ends - many, len(start))], many)
+        head = start < np.array(chars, np.int64)[text]
+        total = np.bincount(text, n, len(texts)).astype(np.int64)
+        return list(zip(total.tolist(), np.bincount(text, n * head, len(texts)).astype(np.int64).tolist()))
 
 
 @lru_cache(maxsize=2)
 def load_bpe(path: str) -> Bpe:
-    return Bpe(path)
+    """The encoder of a vocabulary file; a worker that has not the file takes the copy that the driver sent."""
+    return Bpe(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def vocabulary(spark: SparkSession, tokenizer: str, tokenizer_dir: str) -> str:
+    """Path of a vocabulary file, sent to the workers for those that have none there."""
+    path = os.path.join(tokenizer_dir, f"{tokenizer}.json")
+    spark.sparkContext.addFile(path)
+    return path
+
+
+def in_parts(pdf: pd.DataFrame, text: str, chars: int) -> Iterator[pd.DataFrame]:
+    """Rows in turn, so many at a time that their texts have about ``chars`` characters."""
+    held = np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf[text]])
+    cuts = [0, *(np.flatnonzero(np.diff(held // chars)) + 1).tolist(), len(pdf)]
+    for a, z in zip(cuts, cuts[1:]):
+        yield pdf.iloc[a:z]
 
 
 def encode_column(df: DataFrame, text: str = "text", *, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, chars: int = 2_000_000) -> DataFrame:
@@ -171,23 +213,15 @@ def encode_column(df: DataFrame, text: str = "text", *, tokenizer: str = "byte_b
     Null and empty texts have an empty list. All other columns are kept; a column of the new
     name is replaced. Texts are encoded whole. Batches are formed by characters so that memory stays bounded.
     """
-    path = os.path.join(tokenizer_dir, f"{tokenizer}.json")
+    path = vocabulary(df.sparkSession, tokenizer, tokenizer_dir)
     df = df.drop("ids")
     keep = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load_bpe(path)
         for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf[text]]
-            held, first = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t) if t else 0
-                if held >= chars or i == len(texts) - 1:
-                    ids = list(bpe.encode(texts[first : i + 1]))
-                    out = pdf.iloc[first : i + 1][keep].copy()
-                    out["ids"] = [x.tolist() for x in ids]
-                    yield out
-                    held, first = 0, i + 1
+            for part in in_parts(pdf, text, chars):
+                yield part[keep].assign(ids=bpe.encode([t if isinstance(t, str) else None for t in part[text]]))
 
     schema = df.select(*keep, F.array(F.lit(0)).alias("ids")).schema
     return df.mapInPandas(run, schema)
@@ -199,7 +233,7 @@ def count_column(df: DataFrame, text: str = "text", head: str | None = None, *,
     ``head`` is an integer column (null counts as 0). Null and empty texts have 0 tokens. Texts are encoded whole;
     all other columns are kept.
     """
-    path = os.path.join(tokenizer_dir, f"{tokenizer}.json")
+    path = vocabulary(df.sparkSession, tokenizer, tokenizer_dir)
     df = df.drop("n_tokens", "n_head")
     keep = df.columns
     first = F.coalesce(F.col(head), F.lit(0)).cast("int") if head else F.lit(0)
@@ -208,12 +242,23 @@ def count_column(df: DataFrame, text: str = "text", head: str | None = None, *,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load_bpe(path)
         for pdf in batches:
-            size = np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf[text]])
-            cuts = [0, *(np.flatnonzero(np.diff(size // chars)) + 1).tolist(), len(pdf)]
-            for a, z in zip(cuts, cuts[1:]):
-                part = pdf.iloc[a:z]
+            for part in in_parts(pdf, text, chars):
                 n = bpe.counts([t if isinstance(t, str) else None for t in part[text]], part._head.tolist())
                 yield part[keep].assign(n_tokens=[x for x, _ in n], n_head=[y for _, y in n])
 
     schema = df.select(*keep, F.lit(0).cast("int").alias("n_tokens"), F.lit(0).cast("int").alias("n_head")).schema
     return src.mapInPandas(run, schema)
+
+
+def decode_column(df: DataFrame, ids: str = "ids", *, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """``df`` with ``decoded string`` in place of its ids: the text that they stand for (empty for null and empty lists)."""
+    path = vocabulary(df.sparkSession, tokenizer, tokenizer_dir)
+    keep = [c for c in df.columns if c not in (ids, "decoded")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = load_bpe(path).pieces
+        for pdf in batches:
+            text = [b"".join([pieces[i] for i in x]).decode("utf-8", "replace") if x is not None else "" for x in pdf[ids]]
+            yield pdf[keep].assign(decoded=text)
+
+    return df.mapInPandas(run, df.select(*keep, F.lit("").alias("decoded")).schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import abuse, language, ocr
@@ -28,6 +28,28 @@ def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(docs, fit_on(docs, "id", "body"), with_text=True)
 
 
+_LETTERS = r"[^\p{L}\p{N}]"
+_ALL_LETTERS = "SELECT id, CAST(length(regexp_replace(body, '[^\\p{L}\\p{N}]', '', 'g')) AS BIGINT) AS letters FROM qda_document WHERE regexp_matches(body, '[\\p{L}\\p{N}]')"
+
+
+def _letters(text: str) -> Column:
+    return F.sum(F.length(F.regexp_replace(text, _LETTERS, ""))).cast("long").alias("letters")
+
+
+@llm.query("p4_cover", _ALL_LETTERS)
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters and digits of each document that lie in its sentence units: all of them, each once."""
+    return p4_units(spark, sf_dir).groupBy("id").agg(_letters("text")).where("letters > 0")
+
+
+@llm.query("p5_cover", _ALL_LETTERS)
+def p5_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters and digits of each document that lie in its stretches: all of them, each once."""
+    body = table(spark, sf_dir, "qda_document").select(F.col("id").alias("_id"), "body")
+    s = _stretches(spark, sf_dir).join(body, F.col("id") == F.col("_id"))
+    return s.withColumn("text", F.expr("substring(body, char_start + 1, char_end - char_start)")).groupBy("id").agg(_letters("text")).where("letters > 0")
+
+
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "qda_document").select("id", "body", "language")
     return language.language_stretches(docs, language.fit_on(docs))

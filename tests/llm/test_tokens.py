@@ -29,6 +29,8 @@ def test_encoder_matches_the_library(reference):
 
 def test_chain_is_cut_without_effect(reference, monkeypatch):
     monkeypatch.setattr(bpe, "CHAIN", 64)
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    bpe.load_bpe(VOCAB).met.clear()
     assert [x.tolist() for x in bpe.load_bpe(VOCAB).encode(TEXTS)] == [e.ids for e in reference.encode_batch(TEXTS, add_special_tokens=False)]
 
 
@@ -43,6 +45,12 @@ def test_column(spark, reference):
     assert bpe.encode_column(df.where("false")).count() == 0
 
 
+def test_round_trip(spark):
+    df = spark.createDataFrame(list(enumerate([*TEXTS, None, "", "あ\u0300 🙂\r\n\t x"])), "doc_id long, text string")
+    got = {r.doc_id: r.decoded for r in bpe.decode_column(bpe.encode_column(df)).collect()}
+    assert got == {r.doc_id: r.text or "" for r in df.collect()}
+
+
 def packed(spark, sizes, **kw):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n_tokens int")
     return packing.pack(df, **kw).collect()
