@@ -145,6 +145,17 @@ def win_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.layers(segs(spark, sf_dir))
 
 
+@core.query(
+    "win_depth",
+    f"""WITH s AS (SELECT * FROM {SEG} WHERE char_end > char_start), open AS (SELECT a.document_id, a.id, count(*) AS n FROM s a JOIN s b ON b.document_id = a.document_id AND b.char_start <= a.char_start AND b.char_end > a.char_start GROUP BY 1, 2)
+SELECT document_id, CAST(max(n) AS INT) AS n_layers FROM open GROUP BY 1""",
+)
+def win_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of each document: as many as segments that are open at one place."""
+    s = segs(spark, sf_dir).where("char_end > char_start")
+    return coding.layers(s).groupBy("document_id").agg((F.max("layer") + 1).cast("int").alias("n_layers"))
+
+
 @core.query("srt_segments", f"SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY char_start, char_end, id) AS place FROM {SEG}")
 def srt_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy("char_start", "char_end", "id")
