@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +41,9 @@ _NUMBER = r"(?:[-—–(\[·]\s*)?(?:(?:p|pp|S|s|pág|стр|с|f|fol)\.\s*(?=\d
 NUMBER = regex.compile(_NUMBER)
 _TITLE_PARTS = regex.compile(rf"^(?:{_NUMBER}\s+)?(.*?)(?:\s+{_NUMBER})?$")
 EDGES = regex.compile(r"^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$")
+#: The same, but for an exclamation mark before, which may be a misread letter.
+EDGES_BUT_MARK = regex.compile(r"^[^\p{L}\p{N}\p{M}!]+|[^\p{L}\p{N}\p{M}]+$")
+FIGURED = regex.compile(r"\p{L}*[0-9!]\p{L}+|\p{L}+[0-9!]\p{L}*")
 STOP = regex.compile(r"[.!?。！？।…．][”’\"')\]』」）»]*$")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 LETTER = regex.compile(r"[\p{L}\p{M}]")
@@ -65,6 +69,7 @@ LOOKALIKES = (
 _LOOKS = {frozenset((a, b)) for g in LOOKALIKES for a, b in combinations(g, 2)}
 
 
+@lru_cache(maxsize=200_000)
 def core(word: str) -> str:
     return EDGES.sub("", word)
 
@@ -80,7 +85,7 @@ def title_keys(line: str) -> list[str]:
     return out
 
 
-@dataclass
+@dataclass(slots=True)
 class Word:
     index: int
     line: int
@@ -211,7 +216,7 @@ class Lexicon:
     trigrams: dict[str, int]
     letters: list[tuple[str, int]] | None = None
     total: int = 0
-    known: dict[str, str | None] = field(default_factory=dict)
+    known: dict[tuple[str, bool], str | None] = field(default_factory=dict)
     thirds: dict[str, list[str]] = field(default_factory=dict)
     alphabet: dict[str, str] = field(default_factory=dict)
 
@@ -262,32 +267,33 @@ class Lexicon:
         least = min(found.values(), default=0)
         return [(math.log10(self.words[s][0]) - 1.5 * n, s) for s, n in found.items() if n == least]
 
-    def changed(self, low: str) -> Iterator[str]:
-        """``low`` with one change of any letter."""
+    def changed(self, low: str, begins: Callable[[str], bool]) -> Iterator[str]:
+        """``low`` with one change of any letter, as far as what stands up to the change begins a known word."""
         letters = self.alphabet.get(script(next((c for c in low if c.isalpha()), low[0])), "")
         for i in range(len(low) + 1):
+            if i and not begins(low[:i]):
+                break
             if i < len(low):
                 yield low[:i] + low[i + 1 :]
-            yield from (low[:i] + c + low[i:] for c in letters)
-            if i < len(low):
-                yield from (low[:i] + c + low[i + 1 :] for c in letters)
+            for c in letters:
+                if begins(p := low[:i] + c):
+                    yield p + low[i:]
+                    if i < len(low):
+                        yield p + low[i + 1 :]
 
     def near(self, low: str) -> list[tuple[float, str]]:
         """Known words one change of any letter away."""
-        out = []
-        for s in self.changed(low):
-            c = self.words.get(s)
-            if c and s != low and c[0] >= 5:
-                out.append((math.log10(c[0]) - 3, s))
-        return out
+        found = {s for s in self.changed(low, lambda p: p in self.begins or p in self.more) if s != low and s in self.words}
+        return [(math.log10(n) - 3, s) for s in found if (n := self.words[s][0]) >= 5]
 
     def candidates(self, low: str, bits: bytes) -> set[str]:
         """Words of the filter ``bits`` that ``low`` may turn out to be, to hold or to be misread from."""
+        # the filter holds the beginnings of words too
+        begins = lambda p: in_filter(p, bits)
         out = {low, *(p for i in range(1, len(low)) for p in (low[:i], low[i:]))}
         if len(low) >= 5:
-            out.update(self.changed(low))
-        # the filter holds the beginnings of words too
-        out.update(false_readings(low, self.back, lambda p: in_filter(p, bits), lambda s: True))
+            out.update(self.changed(low, begins))
+        out.update(false_readings(low, self.back, begins, lambda s: True))
         return {s for s in out if s and in_filter(s, bits)}
 
     def split(self, low: str) -> list[tuple[float, str]]:
@@ -302,33 +308,34 @@ class Lexicon:
 
     def repair(self, word: str, conf: float) -> str | None:
         """The right form of a misread word, without punctuation at its ends; None if it is right or unknown."""
+        key = (word, conf < 0.75)
+        if key not in self.known:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[key] = self._repaired(word, conf < 0.75)
+        return self.known[key]
+
+    def _repaired(self, word: str, unsure: bool) -> str | None:
         w = core(word)
         if not w or not LETTER.search(word) or CJK.search(w):
             return None
         low = w.lower()
         if low in self.words:
             return None
-        marked = regex.sub(r"^[^\p{L}\p{N}\p{M}!]+|[^\p{L}\p{N}\p{M}]+$", "", word)
+        marked = EDGES_BUT_MARK.sub("", word)
         if marked.startswith("!") and len(marked) > 1 and marked[1].islower():
             w, low = marked, marked.lower()
         if ROMAN.fullmatch(low) and w.isupper():
             return None
-        if sum(c.isalpha() for c in low) * 2 < len(low) and not regex.fullmatch(r"\p{L}*[0-9!]\p{L}+|\p{L}+[0-9!]\p{L}*", low):
+        if sum(c.isalpha() for c in low) * 2 < len(low) and not FIGURED.fullmatch(low):
             return None
-        key = f"{w}\t{conf < 0.75}"
-        if key not in self.known:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.readings(low) + self.split(low)
-            if not found and len(low) >= 5 and conf < 0.75:
-                found = self.near(low)
-            best = max(found, default=None)
-            if best is None:
-                self.known[key] = None
-            else:
-                s = best[1]
-                self.known[key] = " ".join([self.dress(s.split(" ")[0], w), self.after(s.split(" ")[1], w)]) if " " in s else self.dress(s, w)
-        return self.known[key]
+        found = self.readings(low) + self.split(low)
+        if not found and len(low) >= 5 and unsure:
+            found = self.near(low)
+        if not found:
+            return None
+        s = max(found)[1]
+        return " ".join([self.dress(s.split(" ")[0], w), self.after(s.split(" ")[1], w)]) if " " in s else self.dress(s, w)
 
     def after(self, low: str, w: str) -> str:
         """The second of two words run together, in the case it has in ``w``."""
@@ -404,6 +411,7 @@ def in_filter(s: str, bits: bytes) -> bool:
     return bool(bits[h >> 3] >> (h & 7) & 1)
 
 
+@lru_cache(maxsize=200_000)
 def is_speck(text: str) -> bool:
     return bool(text) and all(c in SPECKS for c in text) and text not in ("...",)
 
@@ -440,8 +448,9 @@ def questions(p: Page, before: str | None, follow: str | None, lex: Lexicon) ->
     body = [ws for ws in body_lines(p) if ws]
     flat = [w for ws in body for w in ws]
     words = set()
-    for w in flat:
-        words |= {core(w.text).lower(), regex.sub(r"^[^\p{L}\p{N}\p{M}!]+|[^\p{L}\p{N}\p{M}]+$", "", w.text).lower()}
+    for t in {w.text for w in flat}:
+        if (low := core(t).lower()) not in lex.words:
+            words |= {low, EDGES_BUT_MARK.sub("", t).lower()}
     ends = [(ws[-1].text, nxt[0].text) for ws, nxt in zip(body, body[1:])]
     if body:
         ends += [(x, y) for x, y in ((before, flat[0].text), (flat[-1].text, follow)) if x and y]
@@ -544,11 +553,19 @@ def page_words(words: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("line_index", F.lit(0)).alias("line"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("x", F.lit(0)).cast("double").alias("x"), F.coalesce("w", F.lit(0)).cast("double").alias("w"), F.coalesce("confidence", F.lit(-1.0)).alias("conf"))).alias("v")
     )
     one = one.where(F.length(F.trim("v.text")) > 0)
-    return one.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("word_index", "v.line", "v.text", "v.x", "v.w", "v.conf"))).alias("words"))
+    rows = one.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("word_index").alias("index"), "v.line", "v.text", "v.x", "v.w", "v.conf"))).alias("words"))
+    return rows.select("page_id", *[F.col(f"words.{c}").alias(f"w_{c}") for c in CELLS])
 
 
-def _words(cells: object) -> list[Word]:
-    return [Word(int(c["word_index"]), int(c["line"]), c["text"], float(c["x"]), float(c["w"]), float(c["conf"])) for c in cells]
+#: A page's words go to Python as one array for each of their values.
+CELLS = {"index": "int", "line": "int", "text": "string", "x": "double", "w": "double", "conf": "double"}
+COLUMNS = [f"w_{c}" for c in CELLS]
+
+
+def pages_of(pdf: pd.DataFrame) -> Iterator[list[list[Word]]]:
+    """The lines of each page of a batch."""
+    for cells in zip(*(pdf[c] for c in COLUMNS)):
+        yield lines_of([Word(*w) for w in zip(*(c.tolist() if isinstance(c, np.ndarray) else c for c in cells))])
 
 
 def title_counts(pages: DataFrame) -> DataFrame:
@@ -561,8 +578,7 @@ def title_counts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for pid, cells in zip(pdf.page_id, pdf.words):
-                lines = lines_of(_words(cells))
+            for pid, lines in zip(pdf.page_id, pages_of(pdf)):
                 for i, ws in enumerate(lines):
                     edge, t = i < 2 or i >= len(lines) - 2, " ".join(w.text for w in ws)
                     rows += [(pid, ws[0].line, k, edge, edge and bool(STOP.search(t))) for k in title_keys(t)]
@@ -648,29 +664,38 @@ def lexicon(typed: DataFrame, text_col: str) -> tuple[Lexicon, Rare | None]:
     return lex, Rare(rare, rare_grams, bits.tobytes())
 
 
+_HELD: list[tuple[tuple, Lexicon]] = []
+
+
+def held_lexicon(parts: tuple) -> Lexicon:
+    """The lexicon of a broadcast value, made once in each worker."""
+    if not _HELD or _HELD[0][0] is not parts:
+        _HELD[:] = [(parts, Lexicon(*parts))]
+    return _HELD[0][1]
+
+
 def rare_entries(lab: DataFrame, share: object, rare: Rare) -> DataFrame:
     """(page_id, entries): the rarer words and trigrams (word null) that a page may need."""
     bits = lab.sparkSession.sparkContext.broadcast(rare.bits)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(*share.value)
+        lex = held_lexicon(share.value)
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples():
-                page = Page(r.page_id, lines_of(_words(r.words)), list(r.states))
-                words, grams = questions(page, *(v if isinstance(v, str) else None for v in (r.before, r.follow)), lex)
-                rows += [(r.page_id, s) for s in (*words, *grams)]
+            for pid, lines, states, *near in zip(pdf.page_id, pages_of(pdf), pdf.states, pdf.before, pdf.follow):
+                words, grams = questions(Page(pid, lines, list(states)), *(v if isinstance(v, str) else None for v in near), lex)
+                rows += [(pid, s) for s in (*words, *grams)]
             yield pd.DataFrame(rows, columns=["page_id", "s"])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(*share.value)
+        lex = held_lexicon(share.value)
         for pdf in batches:
             rows = [(s, c) for s in pdf.s for c in sorted(lex.candidates(s, bits.value))]
             yield pd.DataFrame(rows, columns=["s", "c"])
 
     asked = cut(lab.mapInPandas(ask, "page_id long, s string"))
     is_gram = F.contains("s", F.lit("\0"))
-    may = spread(asked.where(~is_gram).select("s").distinct(), "s").mapInPandas(answer, "s string, c string")
+    may = spread(cut(asked.where(~is_gram).select("s").distinct()), "s").mapInPandas(answer, "s string, c string")
     words = may.join(rare.words, F.col("c") == F.col("low")).select("s", F.struct("low", "n", "w").alias("e"))
     hole = lambda i: F.concat(F.expr(f"substring(g, 1, {i})"), F.lit("\0"), F.expr(f"substring(g, {i + 2}, 3)"))
     grams = rare.trigrams.select("g", "n", F.explode(F.array(*map(hole, range(3)))).alias("s"))
@@ -680,7 +705,7 @@ def rare_entries(lab: DataFrame, share: object, rare: Rare) -> DataFrame:
 
 
 def labelled_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages with the kind of each line: page_id, document_id, page_index, words, states, first, last, before, follow.
+    """Pages with the kind of each line: page_id, document_id, page_index, w_..., states, first, last, before, follow.
 
     ``first`` and ``last`` are the outer words of the page's body, ``before`` and ``follow`` the ones next to
     them on the neighbouring pages of the document. A page
@@ -688,26 +713,24 @@ def labelled_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """
     pw = cut(page_words(words))
     counts = title_counts(pw).groupBy(F.col("page_id").alias("_p")).agg(F.map_from_entries(F.collect_list(F.struct("line", "n"))).alias("repeats"))
-    full = cut(pw.join(counts, F.col("page_id") == F.col("_p"), "left").select("page_id", "words", "repeats"))
+    full = cut(pw.join(counts, F.col("page_id") == F.col("_p"), "left").select("page_id", *COLUMNS, "repeats"))
     rows = full.orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).toPandas()
-    sample = [lines_of(_words(cells)) for cells in rows.words]
-    model = fit_lines([(lines, dict(rep) if rep is not None else {}) for lines, rep in zip(sample, rows.repeats)])
+    model = fit_lines([(lines, dict(rep) if rep is not None else {}) for lines, rep in zip(pages_of(rows), rows.repeats)])
     share = full.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = share.value
         for pdf in batches:
             states, first, last = [], [], []
-            for cells, rep in zip(pdf.words, pdf.repeats):
-                lines = lines_of(_words(cells))
+            for lines, rep in zip(pages_of(pdf), pdf.repeats):
                 s = m.label(lines, dict(rep) if rep is not None else {})
                 body = [w for ws in body_lines(Page(0, lines, s)) for w in ws]
                 states.append(s)
                 first.append(body[0].text if body else None)
                 last.append(body[-1].text if body else None)
-            yield pdf[["page_id", "words"]].assign(states=states, first=first, last=last)
+            yield pdf[["page_id", *COLUMNS]].assign(states=states, first=first, last=last)
 
-    kind = "page_id long, words array<struct<word_index:int,line:int,text:string,x:double,w:double,conf:double>>, states array<string>, first string, last string"
+    kind = "page_id long, " + ", ".join(f"w_{c} array<{t}>" for c, t in CELLS.items()) + ", states array<string>, first string, last string"
     lab = cut(full.mapInPandas(run, kind))
     meta = pages.select(F.col("page_id").alias("_p"), "document_id", "page_index").where("_p is not null").groupBy("_p").agg(F.min("document_id").alias("document_id"), F.min("page_index").alias("page_index"))
     lab = lab.join(meta, F.col("page_id") == F.col("_p"), "left").drop("_p")
@@ -721,21 +744,22 @@ def labelled_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
 def _per_page(lab: DataFrame, known: tuple[Lexicon, Rare | None], row, schema: str) -> DataFrame:
     lex, rare = known
     share = lab.sparkSession.sparkContext.broadcast((lex.words, lex.trigrams, lex.letters, lex.total))
+    kept = ["page_id", "document_id", "page_index", *COLUMNS, "states", "before", "follow"]
     if rare is None:
-        lab = lab.withColumn("entries", F.lit(None).cast("array<struct<low:string,n:bigint,w:string>>"))
+        lab = lab.select(*kept, F.lit(None).cast("array<string>").alias("e_low"), F.lit(None).cast("array<bigint>").alias("e_n"), F.lit(None).cast("array<string>").alias("e_w"))
     else:
         lab = cut(lab)
-        lab = lab.join(rare_entries(lab, share, rare), F.col("page_id") == F.col("_p"), "left").drop("_p")
+        lab = lab.join(rare_entries(lab, share, rare), F.col("page_id") == F.col("_p"), "left").select(*kept, *[F.col(f"entries.{c}").alias(f"e_{c}") for c in ("low", "n", "w")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Lexicon(*share.value)
+        own = held_lexicon(share.value)
         names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                page = Page(r.page_id, lines_of(_words(r.words)), list(r.states))
-                more = [] if r.entries is None else r.entries
-                words, grams = {e["low"]: (int(e["n"]), e["w"]) for e in more if e["w"] is not None}, {e["low"]: int(e["n"]) for e in more if e["w"] is None}
+            for r, lines in zip(pdf[[c for c in pdf.columns if c not in COLUMNS]].itertuples(), pages_of(pdf)):
+                page = Page(r.page_id, lines, list(r.states))
+                more = [] if r.e_low is None else list(zip(r.e_low, r.e_n, r.e_w))
+                words, grams = {low: (int(n), w) for low, n, w in more if w is not None}, {low: int(n) for low, n, w in more if w is None}
                 with own.extend(words, grams):
                     out += row(r, page, *(v if isinstance(v, str) else None for v in (r.before, r.follow)), own)
             yield pd.DataFrame(out, columns=names)
