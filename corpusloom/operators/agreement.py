@@ -202,6 +202,15 @@ def training(units: DataFrame, segments: DataFrame, master: int, trainee: int) -
     return out.select("document_id", "code_id", "tp", "fp", "fn", "tn", kappa_of(d(F.col("n")), d(F.col("tp")), d(F.col("tp") + F.col("fn")), d(F.col("tp") + F.col("fp"))).alias("kappa"))
 
 
+def training_lists(units: DataFrame, segments: DataFrame, documents: DataFrame, master: int, trainee: int) -> DataFrame:
+    """Units that only one of the two gave a code: document_id, code_id, us, ue, text and kind, missed or extra."""
+    s = segments.where(F.col("coder_id").isin(master, trainee))
+    one = coded_units(units, s).groupBy("document_id", "code_id", "us", "ue").agg(F.collect_set("coder_id").alias("who")).where(F.size("who") == 1)
+    d = documents.select(F.col("id").alias("_d"), "body")
+    kind = F.when(F.col("who")[0] == master, "missed").otherwise("extra")
+    return one.join(d, F.col("document_id") == F.col("_d")).select("document_id", "code_id", "us", "ue", F.expr("substring(body, us + 1, ue - us)").alias("text"), kind.alias("kind"))
+
+
 def latest_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The newest row of each key."""
     w = Window.partitionBy(*key).orderBy(F.col(order).desc())

@@ -66,6 +66,12 @@ def layers(segments: DataFrame) -> DataFrame:
     return spread(runs, "document_id", "run").groupBy("document_id", "run").applyInPandas(assign, "id long, document_id long, run long, layer int").select("id", "document_id", "layer")
 
 
+def in_order(segments: DataFrame) -> DataFrame:
+    """Segments with ``place``, counted from 1 in each document by start, end and id."""
+    w = Window.partitionBy("document_id").orderBy("char_start", "char_end", "id")
+    return segments.withColumn("place", F.row_number().over(w).cast("long"))
+
+
 def code_frequency(segments: DataFrame) -> DataFrame:
     """Segments per code."""
     return segments.groupBy("code_id").agg(F.count("*").alias("n_segments"))

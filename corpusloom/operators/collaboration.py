@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut, number
+from corpusloom.session import cut, lookup, number
 
 ROLES = ("admin", "coder", "viewer")
 STATES = ("draft", "reviewed", "confirmed")
@@ -94,6 +94,30 @@ def history(audit: DataFrame, coder_ids: list[int] | None = None, entity: str |
     return a.orderBy(F.desc("id")).limit(limit)
 
 
+def record(audit: DataFrame, entries: DataFrame) -> DataFrame:
+    """The log with entries (coder_id, entity, entity_id, action, detail map) appended, stamped with the current time.
+
+    ``detail`` becomes JSON, an empty or null one null. Ids follow the largest, in order of the entries' columns.
+    """
+    detail = F.when(F.size("detail") > 0, F.to_json("detail"))
+    fresh = entries.withColumn("detail_json", detail).drop("detail")
+    top = audit.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
+    fresh = number(fresh, ["entity", "entity_id", "action", "coder_id", "detail_json"], top + 1)
+    return audit.unionByName(fresh.withColumn("created_at", F.current_timestamp()), allowMissingColumns=True)
+
+
+def of_project(audit: DataFrame, coders: DataFrame, project_id: int | None = None) -> DataFrame:
+    """Log entries of a project's coders (of every project without one), with project_id; entries of nobody are left out."""
+    c = coders.select(F.col("id").alias("_k"), "project_id").where(F.lit(True) if project_id is None else F.col("project_id") == project_id)
+    return lookup(audit.where("coder_id is not null"), "coder_id", c, "_k").where("_k is not null").drop("_k")
+
+
+def locks_with_titles(locks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Locked documents with their titles."""
+    d = documents.select(F.col("id").alias("_d"), "title")
+    return locks.join(d, F.col("document_id") == F.col("_d")).select("document_id", "title", "coder_id", "acquired_at")
+
+
 def export_records(segments: DataFrame, documents: DataFrame, codes: DataFrame, coders: DataFrame) -> DataFrame:
     """Segments with names instead of ids: doc, code, coder, start, end, status. Segments of unknown coders are left out."""
     d = documents.select(F.col("id").alias("_d"), F.col("title").alias("doc"), "project_id")

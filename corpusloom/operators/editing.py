@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -131,7 +131,71 @@ def validate_segments(segments: DataFrame, documents: DataFrame, codes: DataFram
 
 def sort_colors(codes: DataFrame) -> DataFrame:
     """Codes without a colour get the next of twelve by their place in the project."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("project_id").orderBy("id")) - 1
     return codes.withColumn("color", F.coalesce("color", T.auto_color(n)))
+
+
+def create_codes(codes: DataFrame, new: DataFrame) -> DataFrame:
+    """Codes with new ones (project_id, parent_id, name; perhaps definition) appended, behind their siblings.
+
+    Ids follow the largest in order of project, parent and name; a blank name is an error. A code without a colour
+    gets the next of twelve in its project (:func:`sort_colors`).
+    """
+    blank = F.raise_error(F.lit("a code needs a name"))
+    name = F.when(T.is_blank(F.col("name")), blank.cast("string")).otherwise(F.col("name"))
+    fresh = new.withColumn("name", name).dropDuplicates(["project_id", "parent_id", "name"])
+    top = codes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
+    fresh = number(fresh, ["project_id", "parent_id", "name"], top + 1)
+    n = next_sort_order(codes).select(F.col("parent_id").alias("_p"), "next_order")
+    w = Window.partitionBy("project_id", "parent_id").orderBy("id")
+    fresh = fresh.join(n, F.col("parent_id").eqNullSafe(F.col("_p")), "left")
+    fresh = fresh.withColumn("sort_order", (F.coalesce("next_order", F.lit(0)) + F.row_number().over(w) - 1).cast("int")).drop("_p", "next_order")
+    return sort_colors(codes.unionByName(fresh, allowMissingColumns=True))
+
+
+def update_rows(table: DataFrame, row_id: int, **values: object) -> DataFrame:
+    """The row with values set; those that are None stay as they are."""
+    hit = F.col("id") == row_id
+    return table.withColumns({k: F.when(hit, F.lit(v).cast(table.schema[k].dataType)).otherwise(F.col(k)) for k, v in values.items() if v is not None})
+
+
+def add_relations(relations: DataFrame, new: DataFrame) -> DataFrame:
+    """Relations with new ones (project_id, code_a_id, code_b_id, relation_type; perhaps weight, else 1) appended.
+
+    A code's relation to itself and a blank type are errors. Ids follow the largest, in order of the columns.
+    """
+    bad = F.when(F.col("code_a_id") == F.col("code_b_id"), F.raise_error(F.lit("a code has no relation to itself")).cast("string"))
+    bad = F.coalesce(bad, F.when(T.is_blank(F.col("relation_type")), F.raise_error(F.lit("a relation needs a type")).cast("string")))
+    weight = F.coalesce(F.col("weight"), F.lit(1.0)) if "weight" in new.columns else F.lit(1.0)
+    fresh = new.withColumns({"relation_type": F.coalesce(bad, F.col("relation_type")), "weight": weight.cast("double")})
+    top = relations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
+    return relations.unionByName(number(fresh, ["project_id", "code_a_id", "code_b_id", "relation_type"], top + 1), allowMissingColumns=True)
+
+
+def remove_relations(relations: DataFrame, ids: DataFrame) -> DataFrame:
+    return relations.join(ids.select("id"), "id", "left_anti")
+
+
+def relations_of(relations: DataFrame, project_id: int, relation_type: str | None = None) -> DataFrame:
+    """A project's relations, of one type if given, by id."""
+    out = relations.where(F.col("project_id") == project_id)
+    return (out if relation_type is None else out.where(F.col("relation_type") == relation_type)).orderBy("id")
+
+
+def set_words(lexicon: DataFrame, new: DataFrame) -> DataFrame:
+    """A project's lexicon (project_id, word, language, polarity) with words set; null languages are equal."""
+    return upsert(lexicon, new, ["project_id", "word", "language"])
+
+
+def remove_words(lexicon: DataFrame, words: DataFrame) -> DataFrame:
+    """A lexicon without the given (project_id, word, language); null languages are equal."""
+    gone = words.select(*[F.col(c).alias(f"_{c}") for c in ("project_id", "word", "language")]).distinct()
+    on = (F.col("project_id") == F.col("_project_id")) & (F.col("word") == F.col("_word")) & F.col("language").eqNullSafe(F.col("_language"))
+    return lexicon.join(gone, on, "left_anti")
+
+
+def set_roles(coders: DataFrame, new: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Coders with roles (id, role) set; a role that there is not is an error."""
+    bad = F.when(~F.coalesce(F.col("role").isin(*roles), F.lit(False)), F.raise_error(F.lit("unknown role")).cast("string"))
+    n = new.select(F.col("id").alias("_i"), F.coalesce(bad, F.col("role")).alias("_role")).dropDuplicates(["_i"])
+    return coders.join(n, F.col("id") == F.col("_i"), "left").withColumn("role", F.coalesce("_role", "role")).drop("_i", "_role")

@@ -12,7 +12,7 @@ No step collects the graph: every round is one join, written to the checkpoint f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import HOT_LEAST, cut, hot_keys, lookup
@@ -140,3 +140,20 @@ def descendant_counts(resolved: DataFrame) -> DataFrame:
     return resolved.join(n, F.col("id") == F.col("_a"), "left").select(
         "id", "root_id", "depth", F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).cast("long").alias("n_descendants"), "cycle_id"
     )
+
+
+def preorder(codes: DataFrame) -> DataFrame:
+    """Codes in pre-order: id, root_id, depth, project_id (the root's) and place, counted from 1 in each project.
+
+    Siblings stand by sort_order (null as 0) and id. Codes on or below a loop have no place; of an id given twice
+    one row holds. ``codes``: id, parent_id, sort_order, project_id.
+    """
+    one = codes.groupBy("id").agg(F.min("parent_id").alias("parent_id"), F.min("sort_order").alias("sort_order"), F.min("project_id").alias("project_id"))
+    tree = resolve_hierarchy(one).where(F.col("path").isNotNull())
+    order = one.select(F.col("id").alias("_c"), F.coalesce("sort_order", F.lit(0)).alias("so"))
+    steps = tree.select("id", "root_id", "depth", F.posexplode("path").alias("pos", "step")).join(order, F.col("step") == F.col("_c"))
+    key = F.transform(F.sort_array(F.collect_list(F.struct("pos", "so", "step"))), lambda s: F.struct(s["so"], s["step"]))
+    keyed = steps.groupBy("id", "root_id", "depth").agg(key.alias("key"))
+    root = one.select(F.col("id").alias("_r"), "project_id")
+    w = Window.partitionBy("project_id").orderBy("key")
+    return keyed.join(root, F.col("root_id") == F.col("_r")).select("id", "root_id", "depth", "project_id", F.row_number().over(w).cast("long").alias("place"))

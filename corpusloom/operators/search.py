@@ -74,3 +74,15 @@ def search(documents: DataFrame, segments: DataFrame, spec: SearchSpec, members:
         out = out.where((F.col("code_count") > 0) == F.lit(spec.coded))
     key = F.col(spec.order_by if spec.order_by in SORT_KEYS else "id")
     return out.orderBy(key.desc() if spec.descending else key.asc(), F.col("id").asc())
+
+
+def collection_sizes(collections: DataFrame, members: DataFrame) -> DataFrame:
+    """collection_id and n, the documents of each collection, 0 for an empty one. ``members``: document_id, collection_id."""
+    n = members.where("document_id is not null").select("document_id", "collection_id").distinct().groupBy(F.col("collection_id").alias("_c")).agg(F.count("*").alias("n"))
+    return collections.select(F.col("id").alias("collection_id")).distinct().join(n, F.col("collection_id") == F.col("_c"), "left").select("collection_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def document_collections(members: DataFrame, collections: DataFrame) -> DataFrame:
+    """document_id with the id and name of each collection that it is in."""
+    c = collections.select(F.col("id").alias("_c"), "name")
+    return members.select("document_id", "collection_id").distinct().join(c, F.col("collection_id") == F.col("_c")).select("document_id", "collection_id", "name")

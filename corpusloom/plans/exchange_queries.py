@@ -105,7 +105,8 @@ def jn_relation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query("flt_relation", f"SELECT id, a AS code_a_id, b AS code_b_id FROM {_REL} WHERE t = 'is-a'")
 def flt_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _relations(spark, sf_dir).where("relation_type = 'is-a'").orderBy("id").select("id", "code_a_id", "code_b_id")
+    r = _relations(spark, sf_dir).withColumn("project_id", F.lit(1))
+    return editing.relations_of(r, 1, "is-a").select("id", "code_a_id", "code_b_id")
 
 
 # memos: one a document and one a project
@@ -169,17 +170,15 @@ def mut_code_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query("mut_audit_project", "WITH a AS (SELECT e.event_id, e.event_type, 1 + e.user_id % 40 AS coder FROM events e WHERE e.event_id % 50 <> 0) SELECT c.project_id, a.event_type AS action, count(*) AS n FROM a JOIN qda_coder c ON c.id = a.coder GROUP BY 1, 2")
 def mut_audit_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 50 != 0, 1 + F.col("user_id") % 40).alias("coder"), F.col("event_type").alias("action"))
-    per = e.where("coder is not null").groupBy("coder", "action").agg(F.count("*").alias("k"))
-    c = coders(spark, sf_dir).select("id", "project_id")
-    return per.join(c, F.col("coder") == F.col("id")).groupBy("project_id", "action").agg(F.sum("k").alias("n"))
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 50 != 0, 1 + F.col("user_id") % 40).alias("coder_id"), F.col("event_type").alias("action"))
+    return collaboration.of_project(e, coders(spark, sf_dir)).groupBy("project_id", "action").agg(F.count("*").alias("n"))
 
 
 @core.query("jn_lock_doc", "SELECT id AS document_id, title, 1 + id % 3 AS coder_id FROM qda_document WHERE id % 2 = 0")
 def jn_lock_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     log = d.where("id % 2 = 0").select(F.col("id").alias("document_id"), (1 + F.col("id") % 3).alias("coder_id"), F.col("created_at").alias("at"), F.lit("acquire").alias("kind"))
-    return collaboration.lock_state(log).join(d.select(F.col("id").alias("_d"), "title"), F.col("document_id") == F.col("_d")).select("document_id", "title", "coder_id")
+    return collaboration.locks_with_titles(collaboration.lock_state(log), d).drop("acquired_at")
 
 
 @core.query("fn_en_tokens", "SELECT id, len(regexp_extract_all(coalesce(body, ''), '[A-Za-z'']+')) AS n_tokens, lower(regexp_extract_all(coalesce(body, ''), '[A-Za-z'']+')[1]) AS first FROM qda_document")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -107,9 +107,9 @@ def agg_year_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query("agg_collection_size", "SELECT c AS collection_id, count(d.id) AS n FROM (VALUES (1), (2), (3)) v(c) LEFT JOIN qda_document d ON d.era IS NOT NULL AND (CASE WHEN d.era = 'early' THEN 1 ELSE 2 END) = c GROUP BY 1")
 def agg_collection_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame([(1,), (2,), (3,)], "c int")
-    n = _members(spark, sf_dir).groupBy("collection_id").agg(F.count("*").alias("n"))
-    return c.join(n, F.col("c") == F.col("collection_id"), "left").select(F.col("c").alias("collection_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    from corpusloom.operators.search import collection_sizes
+
+    return collection_sizes(spark.createDataFrame([(1,), (2,), (3,)], "id int"), _members(spark, sf_dir))
 
 
 @core.query(
@@ -117,8 +117,10 @@ def agg_collection_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT d.id, CASE WHEN d.era = 'early' THEN 'early' ELSE 'other' END AS collection FROM qda_document d WHERE d.era IS NOT NULL",
 )
 def jn_doc_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(1, "early"), (2, "other")], "cid int, collection string")
-    return _members(spark, sf_dir).join(names, F.col("collection_id") == F.col("cid")).select(F.col("document_id").alias("id"), "collection")
+    from corpusloom.operators.search import document_collections
+
+    names = spark.createDataFrame([(1, "early"), (2, "other")], "id int, name string")
+    return document_collections(_members(spark, sf_dir), names).select(F.col("document_id").alias("id"), F.col("name").alias("collection"))
 
 
 @core.query(
@@ -158,8 +160,7 @@ def win_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query("srt_segments", f"SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY char_start, char_end, id) AS place FROM {SEG}")
 def srt_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("document_id").orderBy("char_start", "char_end", "id")
-    return segs(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("place"))
+    return coding.in_order(segs(spark, sf_dir)).select("id", "place")
 
 
 _TREE = f"""WITH RECURSIVE c AS (SELECT id, any_value(project_id) AS project_id, any_value(name) AS name, any_value(sort_order) AS so, any_value(parent_id) AS parent_id FROM {CODE} GROUP BY id),
@@ -168,26 +169,19 @@ t AS (SELECT c.id, c.project_id, 0 AS depth, [[c.so, c.id]] AS path FROM c LEFT
 
 
 def _preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes in pre-order: siblings by sort_order and id, within the project of their root."""
-    from corpusloom.operators.hierarchy import resolve_hierarchy
+    from corpusloom.operators.hierarchy import preorder
 
-    c = codes(spark, sf_dir).dropDuplicates(["id"])
-    tree = resolve_hierarchy(c).where("path is not null")
-    order = c.select(F.col("id").alias("_c"), "sort_order", "name", F.col("project_id").alias("_p"))
-    steps = tree.select("id", "root_id", "depth", F.posexplode("path").alias("pos", "step")).join(order.select("_c", "sort_order"), F.col("step") == F.col("_c"))
-    key = steps.groupBy("id", "root_id", "depth").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("sort_order", F.lit(0)).alias("so"), "step"))), lambda s: F.struct(s["so"], s["step"])).alias("key"))
-    root = order.select(F.col("_c").alias("_r"), F.col("_p").alias("project_id"))
-    return key.join(root, F.col("root_id") == F.col("_r")).withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("key")))
+    return preorder(codes(spark, sf_dir))
 
 
 @core.query("gr_walk", _TREE + " SELECT id, project_id, depth, CAST(row_number() OVER (PARTITION BY project_id ORDER BY path) AS BIGINT) AS place FROM t")
 def gr_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _preorder(spark, sf_dir).select("id", "project_id", "depth", F.col("place").cast("long").alias("place"))
+    return _preorder(spark, sf_dir).select("id", "project_id", "depth", "place")
 
 
 @core.query("lim_quick9", _TREE + ", r AS (SELECT id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY path) AS hotkey FROM t) SELECT project_id, hotkey, id FROM r WHERE hotkey <= 9")
 def lim_quick9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _preorder(spark, sf_dir).where("place <= 9").select("project_id", F.col("place").cast("long").alias("hotkey"), "id")
+    return _preorder(spark, sf_dir).where("place <= 9").select("project_id", F.col("place").alias("hotkey"), "id")
 
 
 @core.query("agg_max_sort", f"SELECT parent_id, coalesce(max(sort_order), -1) + 1 AS next_order FROM {CODE} GROUP BY parent_id")

@@ -174,3 +174,62 @@ def test_large_scan_is_the_plain_scan(spark):
     big = spark.range(55_000).selectExpr("concat('語', cast(id as string)) word", "0.5D polarity").unionByName(lex.frame(spark))
     out = sentiment.score_large(d, "id", "t", big, ["無"], "ja")
     assert "語123" not in out._jdf.queryExecution().toString() and {r.id: r.n_words for r in out.collect()} == {k: v[3] for k, v in few.items()}
+
+
+def test_records_of_the_log(spark):
+    log = spark.createDataFrame([(3, 1, "segment", 1, "add", None, None)], "id long, coder_id long, entity string, entity_id long, action string, detail_json string, created_at timestamp")
+    new = spark.createDataFrame([(1, "segment", 2, "add", {"a": "b"}), (None, "segment", 1, "add", {}), (2, "code", 1, "add", None)], "coder_id long, entity string, entity_id long, action string, detail map<string,string>")
+    out = collaboration.record(log, new)
+    got = {r.id: (r.entity, r.entity_id, r.detail_json, r.created_at is not None) for r in out.collect()}
+    assert got == {3: ("segment", 1, None, False), 4: ("code", 1, None, True), 5: ("segment", 1, None, True), 6: ("segment", 2, '{"a":"b"}', True)}
+    k = spark.createDataFrame([(1, 7), (2, 8)], "id long, project_id long")
+    assert {(r.id, r.project_id) for r in collaboration.of_project(out, k).collect()} == {(3, 7), (4, 8), (6, 7)} and collaboration.of_project(out, k, 8).count() == 1
+
+
+def test_editing_of_codes_relations_and_words(spark):
+    from corpusloom.operators import editing
+
+    c = spark.createDataFrame([(1, 1, None, "A", None, 0, "#111111"), (2, 1, 1, "B", None, None, None)], "id long, project_id long, parent_id long, name string, definition string, sort_order int, color string")
+    new = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, None, "r"), (1, 1, "a")], "project_id long, parent_id long, name string")
+    got = {r.name: (r.id, r.parent_id, r.sort_order, r.color is not None) for r in editing.create_codes(c, new).collect()}
+    assert got["r"] == (3, None, 1, True) and got["a"] == (4, 1, 0, True) and got["b"] == (5, 1, 1, True) and got["B"][3]
+    with pytest.raises(Exception, match="needs a name"):
+        editing.create_codes(c, new.selectExpr("project_id", "parent_id", "' ' name")).collect()
+    assert {r.id: (r.name, r.color) for r in editing.update_rows(c, 1, name="Z", color=None).collect()} == {1: ("Z", "#111111"), 2: ("B", None)}
+    r = spark.createDataFrame([(4, 1, 1, 2, "is-a", 1.0)], "id long, project_id long, code_a_id long, code_b_id long, relation_type string, weight double")
+    add = spark.createDataFrame([(1, 2, 3, "part-of")], "project_id long, code_a_id long, code_b_id long, relation_type string")
+    both = editing.add_relations(r, add)
+    assert [(x.id, x.weight) for x in editing.relations_of(both, 1).collect()] == [(4, 1.0), (5, 1.0)] and editing.relations_of(both, 1, "part-of").count() == 1
+    for bad in ("project_id", "code_a_id", "code_a_id as code_b_id", "relation_type"), ("project_id", "code_a_id", "code_b_id", "'' as relation_type"):
+        with pytest.raises(Exception, match="relation"):
+            editing.add_relations(r, add.selectExpr(*bad)).collect()
+    assert editing.remove_relations(both, spark.createDataFrame([(4,)], "id long")).count() == 1
+    w = spark.createDataFrame([(1, "a", None, 0.1), (1, "a", "ja", 0.2)], "project_id long, word string, language string, polarity double")
+    w = editing.set_words(w, spark.createDataFrame([(1, "a", None, 0.9)], w.schema))
+    assert {(x.language, x.polarity) for x in w.collect()} == {(None, 0.9), ("ja", 0.2)}
+    assert [x.language for x in editing.remove_words(w, spark.createDataFrame([(1, "a", None)], "project_id long, word string, language string")).collect()] == ["ja"]
+    k = spark.createDataFrame([(1, "coder")], "id long, role string")
+    assert editing.set_roles(k, k.selectExpr("id", "'admin' role"), collaboration.ROLES).first().role == "admin"
+    with pytest.raises(Exception, match="unknown role"):
+        editing.set_roles(k, k.selectExpr("id", "'king' role"), collaboration.ROLES).collect()
+
+
+def test_training_lists(spark):
+    from corpusloom.operators import agreement
+
+    u = spark.createDataFrame([(1, i, i + 1) for i in range(6)], "document_id long, us int, ue int")
+    s = spark.createDataFrame([(1, 1, 9, 0, 4), (1, 2, 9, 2, 6), (1, 3, 9, 0, 6)], "document_id long, coder_id long, code_id long, char_start int, char_end int")
+    d = spark.createDataFrame([(1, "abcdef")], "id long, body string")
+    assert {(r.text, r.kind) for r in agreement.training_lists(u, s, d, 1, 2).collect()} == {("a", "missed"), ("b", "missed"), ("e", "extra"), ("f", "extra")}
+
+
+def test_preorder_and_places(spark):
+    from corpusloom.operators.hierarchy import preorder
+    from corpusloom.operators.search import collection_sizes, document_collections
+
+    c = spark.createDataFrame([(1, None, 1, 7), (2, None, 0, 7), (3, 1, None, 7), (4, 1, 0, 9), (5, 5, 0, 7), (3, 1, None, 7)], "id long, parent_id long, sort_order int, project_id long")
+    assert [r.id for r in preorder(c).orderBy("place").collect()] == [2, 1, 3, 4]
+    m = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 2)], "document_id long, collection_id long")
+    k = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    assert {(r.collection_id, r.n) for r in collection_sizes(k, m).collect()} == {(1, 2), (2, 0)}
+    assert {(r.document_id, r.name) for r in document_collections(m.where("document_id = 1"), k).collect()} == {(1, "a")}
