@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.session import spread
+from corpusloom.session import cut, spread
 
 
 def distinct_segments(segments: DataFrame) -> DataFrame:
@@ -36,6 +36,10 @@ def quotes(segments: DataFrame, documents: DataFrame) -> DataFrame:
     return segments.join(d, F.col("document_id") == F.col("_d")).withColumn("quote", F.expr("substring(body, char_start + 1, char_end - char_start)")).drop("_d", "body")
 
 
+#: Segments of the runs that one call to Python takes, on average.
+LAYER_ROWS = 20_000
+
+
 def layers(segments: DataFrame) -> DataFrame:
     """(id, document_id, layer): overlapping segments of a document on different layers, as few as possible.
 
@@ -48,22 +52,30 @@ def layers(segments: DataFrame) -> DataFrame:
     cutted = segments.select("id", "document_id", "char_start", "char_end").withColumn("fresh", F.when(seen.isNull() | (seen <= F.col("char_start")), 1).otherwise(0))
     runs = cutted.withColumn("run", F.sum("fresh").over(by_doc))
 
+    # many runs at once go to Python, as most are short
+    many = F.ceil(F.count("*") / LAYER_ROWS).cast("int")
+    runs = cut(runs)
+    buckets = max(1, runs.agg(many).first()[0] or 1)
+
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         import heapq
 
-        pdf = pdf.sort_values(["char_start", "char_end", "id"])
+        pdf = pdf.sort_values(["document_id", "run", "char_start", "char_end", "id"], kind="stable")
         free: list[tuple[int, int]] = []
-        out, top = [], 0
-        for start, end in zip(pdf.char_start, pdf.char_end):
+        out, top, was = [], 0, None
+        for *of, start, end in zip(pdf.document_id.tolist(), pdf.run.tolist(), pdf.char_start.tolist(), pdf.char_end.tolist()):
+            if of != was:
+                free, top, was = [], 0, of
             if free and free[0][0] <= start:
                 layer = heapq.heappop(free)[1]
             else:
                 layer, top = top, top + 1
             out.append(layer)
             heapq.heappush(free, (end, layer))
-        return pdf.assign(layer=out)[["id", "document_id", "run", "layer"]]
+        return pdf[["id", "document_id"]].assign(layer=out)
 
-    return spread(runs, "document_id", "run").groupBy("document_id", "run").applyInPandas(assign, "id long, document_id long, run long, layer int").select("id", "document_id", "layer")
+    bucketed = runs.withColumn("bucket", F.pmod(F.xxhash64("document_id", "run"), F.lit(buckets)).cast("int"))
+    return spread(bucketed, "bucket").groupBy("bucket").applyInPandas(assign, "id long, document_id long, layer int")
 
 
 def in_order(segments: DataFrame) -> DataFrame:

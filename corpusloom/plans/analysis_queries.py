@@ -148,10 +148,10 @@ def agg_disagree(spark: SparkSession, sf_dir: str) -> DataFrame:
     "snk_disagree_csv",
     f"""WITH {_LAB}, m AS (SELECT document_id, count(DISTINCT coder_id) AS n_coders FROM seg GROUP BY 1 HAVING count(DISTINCT coder_id) >= 2),
 c AS (SELECT document_id, code_id, us, ue, list(coder_id) AS l, count(*) AS k FROM lab GROUP BY 1, 2, 3, 4)
-SELECT c.document_id, code_id, us, ue, substring(d.body, us + 1, ue - us) AS text, CAST(list_contains(l, 1) AS INT) AS first, CAST(list_contains(l, 2) AS INT) AS second FROM c JOIN m USING (document_id) JOIN qda_document d ON d.id = c.document_id WHERE k < n_coders""",
+SELECT c.document_id, code_id, us, ue, substring(d.body, us + 1, ue - us) AS text, {", ".join(f"CAST(list_contains(l, {k}) AS INT) AS coder_{k:02}" for k in range(1, 41))} FROM c JOIN m USING (document_id) JOIN qda_document d ON d.id = c.document_id WHERE k < n_coders""",
 )
 def snk_disagree_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agreement.disagreement_table(agreement.disagreements(_units(spark, sf_dir), segs(spark, sf_dir), docs(spark, sf_dir)), {1: "first", 2: "second"})
+    return agreement.disagreement_table(agreement.disagreements(_units(spark, sf_dir), segs(spark, sf_dir), docs(spark, sf_dir)), {k: f"coder_{k:02}" for k in range(1, 41)})
 
 
 @core.query(

@@ -61,9 +61,9 @@ def src_codebook_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.parse_codebooks(c.select(F.col("id").cast("string").alias("source"), xml.alias("value"))).drop("color")
 
 
-@core.query("src_biblio_meta", "SELECT nullif(citation_key, '') AS citation_key, nullif(title, '') AS title, nullif(array_to_string(list_filter(authors, lambda a: a IS NOT NULL AND a <> ''), '; '), '') AS author, nullif(year, 0) AS year, nullif(language, '') AS language, nullif(source, '') AS source FROM (SELECT DISTINCT * FROM zotero_entry) WHERE citation_key IS NOT NULL")
+@core.query("src_biblio_meta", "SELECT nullif(citation_key, '') AS citation_key, nullif(title, '') AS title, nullif(array_to_string(list_filter(authors, lambda a: a IS NOT NULL AND a <> ''), '; '), '') AS author, nullif(year, 0) AS year, nullif(language, '') AS language, nullif(source, '') AS source FROM (SELECT DISTINCT * FROM zotero_entry)")
 def src_biblio_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = table(spark, sf_dir, "zotero_entry").where("citation_key is not null").distinct()
+    z = table(spark, sf_dir, "zotero_entry").distinct()
     item = F.struct(F.col("citation_key").alias("citationKey"), "title", F.col("authors").alias("creators"), F.col("year").alias("date"), "language", F.col("source").alias("publicationTitle"))
     return bibliography.to_metadata(bibliography.parse_bibliography(z.select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value"))))
 

@@ -225,12 +225,20 @@ def lim_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coders(spark, sf_dir).groupBy("project_id").agg(F.min("id").alias("first_coder"))
 
 
-@core.query("validate_segments", f"""SELECT id, 'empty span' AS reason FROM {SEG} WHERE NOT coalesce(char_end > char_start, false) UNION ALL
-SELECT id, 'unknown document' FROM {SEG} s WHERE NOT EXISTS (SELECT 1 FROM qda_document d WHERE d.id = s.document_id) UNION ALL
-SELECT id, 'unknown code' FROM {SEG} s WHERE NOT EXISTS (SELECT 1 FROM qda_code c WHERE c.id = s.code_id) UNION ALL
-SELECT id, 'unknown status' FROM {SEG} WHERE NOT coalesce(status IN ('draft', 'reviewed', 'confirmed'), false)""")
+_SPOILT = f"(SELECT id, CASE WHEN id % 19 = 0 THEN -document_id ELSE document_id END AS document_id, CASE WHEN id % 23 = 0 THEN -code_id ELSE code_id END AS code_id, coder_id, char_start, CASE WHEN id % 17 = 0 THEN char_start ELSE char_end END AS char_end, CASE WHEN id % 29 = 0 THEN 'lost' WHEN id % 31 = 0 THEN NULL ELSE status END AS status FROM {SEG})"
+
+
+@core.query("validate_segments", f"""SELECT id, 'empty span' AS reason FROM {_SPOILT} WHERE NOT coalesce(char_end > char_start, false) UNION ALL
+SELECT id, 'unknown document' FROM {_SPOILT} s WHERE NOT EXISTS (SELECT 1 FROM qda_document d WHERE d.id = s.document_id) UNION ALL
+SELECT id, 'unknown code' FROM {_SPOILT} s WHERE NOT EXISTS (SELECT 1 FROM qda_code c WHERE c.id = s.code_id) UNION ALL
+SELECT id, 'unknown status' FROM {_SPOILT} WHERE NOT coalesce(status IN ('draft', 'reviewed', 'confirmed'), false)""")
 def validate_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editing.validate_segments(segs(spark, sf_dir), docs(spark, sf_dir), codes(spark, sf_dir))
+    """Violations among all segments, some of which are spoilt here."""
+    s = segs(spark, sf_dir)
+    off = lambda k, c, bad: F.when(F.col("id") % k == 0, bad).otherwise(F.col(c))
+    status = F.when(F.col("id") % 29 == 0, "lost").when(F.col("id") % 31 != 0, F.col("status"))
+    s = s.withColumns({"document_id": off(19, "document_id", -F.col("document_id")), "code_id": off(23, "code_id", -F.col("code_id")), "char_end": off(17, "char_end", F.col("char_start")), "status": status})
+    return editing.validate_segments(s, docs(spark, sf_dir), codes(spark, sf_dir))
 
 
 # export tables and notes
@@ -322,13 +330,13 @@ def mut_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query(
     "src_biblio",
-    """SELECT DISTINCT entry_id, citation_key AS key, nullif(title, '') AS title, coalesce(array_to_string(list_filter(authors, lambda a: a IS NOT NULL AND a <> ''), ';'), '') AS authors, year, nullif(language, '') AS language, nullif(source, '') AS source FROM zotero_entry WHERE citation_key IS NOT NULL""",
+    """SELECT DISTINCT entry_id, coalesce(nullif(citation_key, ''), 'e' || entry_id) AS key, nullif(title, '') AS title, coalesce(array_to_string(list_filter(authors, lambda a: a IS NOT NULL AND a <> ''), ';'), '') AS authors, year, nullif(language, '') AS language, nullif(source, '') AS source FROM zotero_entry""",
 )
 def src_biblio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.sources.bibliography import parse_bibliography
 
-    z = table(spark, sf_dir, "zotero_entry").where("citation_key is not null").distinct()
-    item = F.struct(F.col("citation_key").alias("citationKey"), "title", F.col("authors").alias("creators"), F.col("year").alias("date"), "language", F.col("source").alias("publicationTitle"), F.col("entry_id").alias("entry"))
+    z = table(spark, sf_dir, "zotero_entry").distinct()
+    item = F.struct(F.col("citation_key").alias("citationKey"), F.concat(F.lit("e"), "entry_id").alias("id"), "title", F.col("authors").alias("creators"), F.col("year").alias("date"), "language", F.col("source").alias("publicationTitle"), F.col("entry_id").alias("entry"))
     texts = z.select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value"))
     e = parse_bibliography(texts)
     return e.select(F.get_json_object("raw", "$.entry").cast("long").alias("entry_id"), "key", F.col("title"), F.array_join("authors", ";").alias("authors"), "year", "language", "source").distinct()

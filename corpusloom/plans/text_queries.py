@@ -80,8 +80,8 @@ def fn_atomic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_units(docs(spark, sf_dir), "segment", s).select(F.col("document_id").alias("id"), F.col("us").alias("char_start"), F.col("ue").alias("char_end"))
 
 
-_OLD = "".join(k for k, v in T.OLD_CHARACTERS.items() if v) + "".join(k for k, v in T.OLD_CHARACTERS.items() if not v)
-_NEW = "".join(v for v in T.OLD_CHARACTERS.values() if v)
+_OLD = "國學體廣觀假聲會豐鐵號圓藝缺辭舊寶獨當經惠醫齋櫻氣澤驛萬與亂佛戰禮勳獻歸ゐゑヰヱゝゞヽヾ"
+_NEW = "国学体広観仮声会豊鉄号円芸欠辞旧宝独当経恵医斎桜気沢駅万与乱仏戦礼勲献帰いえイエ"
 
 
 @core.query("fn_normalize", f"SELECT id, translate(body, '{_OLD}', '{_NEW}') AS body, translate(author, '{_OLD}', '{_NEW}') AS author FROM qda_document")

@@ -52,6 +52,27 @@ def test_layers(spark):
     assert got[1] == got[3] != got[2] and max(got.values()) == 1
 
 
+def test_layers_of_many_runs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(coding, "LAYER_ROWS", 7)
+    rng = random.Random(8)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3]), 1, a, a + rng.randrange(1, 15)) for i in range(120) for a in [rng.randrange(0, 400)]]
+    got = {r.id: r.layer for r in coding.layers(spark.createDataFrame(rows, SEG)).collect()}
+    want = {}
+    for d in (1, 2, 3):
+        ends = []
+        for i, _, _, a, z in sorted((r for r in rows if r[1] == d), key=lambda r: (r[3], r[4], r[0])):
+            if all(e <= a for e in ends):
+                ends = []
+            free = sorted((e, k) for k, e in enumerate(ends) if e <= a)
+            k = free[0][1] if free else len(ends)
+            ends[k : k + 1] = [z]
+            want[i] = k
+    assert got == want
+    assert coding.layers(spark.createDataFrame([], SEG)).count() == 0
+
+
 def test_suggestion(spark):
     ex = spark.createDataFrame([(1, "a", "rice tax paid"), (1, "b", "rice tax due"), (2, "c", "the sea and ships")], "code_id long, k string, text string")
     v = coding.gram_vectors(ex.select("k", "text"), "k", "text").join(ex.select("k", "code_id"), "k")
