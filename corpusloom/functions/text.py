@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +38,11 @@ def ascii_fold(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas in it ask for it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 #: Lengths that are added up in one go by :func:`running_ends`.
 _BLOCK = 64
 
@@ -45,22 +50,32 @@ _BLOCK = 64
 def running_ends(sizes: Column) -> Column:
     """Running sums of an array of ints, in two levels so that no long array is grown element by element."""
     none = F.expr("cast(array() as array<int>)")
-    last = F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")
-    part = lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))
     add = lambda x, y: (x + y).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(part(b), F.lit(0), add))
-    begin = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
-    within = lambda b, at: F.slice(F.aggregate(part(b), F.array(at), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))), 2, _BLOCK)
-    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(F.sequence(F.lit(0), last), F.slice(begin, 1, last + 1), within))).otherwise(none)
+    grow = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
+
+    def two_levels(n: Column) -> Column:
+        part = lambda b: F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int"))
+        begin = F.aggregate(F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), add)), F.array(F.lit(0)), grow)
+        within = lambda b, at: F.slice(F.aggregate(part(b), F.array(at), grow), 2, _BLOCK)
+        return F.flatten(F.zip_with(blocks, F.slice(begin, 1, F.size(blocks)), within))
+
+    one_level = lambda n: F.slice(F.aggregate(n, F.array(F.lit(0)), grow), 2, _BLOCK)
+    return let(sizes, lambda n: F.when(F.size(n) == 0, none).when(F.size(n) <= _BLOCK, one_level(n)).otherwise(two_levels(n)))
 
 
-def _spans_of(pieces: Column, gaps: Column | None = None) -> Column:
-    """Half-open spans of consecutive pieces, blank ones left out; ``gaps`` has the lengths of what stands behind each."""
-    size = F.transform(pieces, lambda p: F.length(p))
-    full = size if gaps is None else F.zip_with(size, gaps, lambda x, y: x + F.coalesce(y, F.lit(0)))
-    starts = F.zip_with(running_ends(full), full, lambda e, n: (e - n).cast("int"))
-    spans = F.zip_with(starts, pieces, lambda at, p: F.struct(at.alias("char_start"), (at + F.length(p)).cast("int").alias("char_end"), p.rlike(NON_WS).alias("kept")))
-    return F.transform(F.filter(spans, lambda x: x["kept"]), lambda x: F.struct(x["char_start"].alias("char_start"), x["char_end"].alias("char_end")))
+def _spans_of(pieces: Column, gaps: Callable[[Column], Column] | None = None) -> Column:
+    """Half-open spans of consecutive pieces, blank ones left out; ``gaps``: of the pieces, the lengths of what stands
+    behind each."""
+
+    def spans(p: Column) -> Column:
+        size = F.transform(p, lambda x: F.length(x))
+        full = size if gaps is None else F.zip_with(size, gaps(p), lambda x, y: x + F.coalesce(y, F.lit(0)))
+        starts = let(full, lambda f: F.zip_with(running_ends(f), f, lambda e, n: (e - n).cast("int")))
+        found = F.zip_with(starts, p, lambda at, x: F.when(x.rlike(NON_WS), F.struct(at.alias("char_start"), (at + F.length(x)).cast("int").alias("char_end"))))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    return let(pieces, spans)
 
 
 def char_spans(text: Column) -> Column:
@@ -79,7 +94,7 @@ def sentence_spans(text: Column) -> Column:
 def paragraph_spans(text: Column) -> Column:
     """Paragraphs between blank lines, without these; blank ones left out; none for null."""
     parts, seps = _paragraphs(text)
-    return _spans_of(parts, F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(F.get(seps, i))))
+    return _spans_of(parts, lambda p: let(seps, lambda q: F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.length(F.get(q, i)))))
 
 
 def _paragraphs(text: Column) -> tuple[Column, Column]:
@@ -92,10 +107,12 @@ def _paragraphs(text: Column) -> tuple[Column, Column]:
 def paragraph_starts(text: Column) -> Column:
     """Where each separator between paragraphs starts."""
     parts, seps = _paragraphs(text)
-    n = F.size(seps)
-    full = F.zip_with(F.slice(parts, 1, F.greatest(n, F.lit(1))), seps, lambda p, q: F.length(p) + F.coalesce(F.length(q), F.lit(0)))
-    starts = F.zip_with(running_ends(full), seps, lambda e, q: (e - F.length(q)).cast("int"))
-    return F.when(n > 0, starts).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def starts(q: Column) -> Column:
+        full = F.zip_with(F.slice(parts, 1, F.size(q)), q, lambda x, y: F.length(x) + F.length(y))
+        return F.zip_with(running_ends(full), q, lambda e, y: (e - F.length(y)).cast("int"))
+
+    return let(seps, lambda q: F.when(F.size(q) > 0, starts(q)).otherwise(F.expr("cast(array() as array<int>)")))
 
 
 def paragraph_index(starts: Column, pos: Column) -> Column:

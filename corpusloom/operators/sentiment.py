@@ -65,14 +65,17 @@ def builtin(language: str) -> Lexicon:
 def word_hits(text: Column, negations: Sequence[str]) -> Column:
     """Array of (word, negated) of the lower-case words of a text; a negation among the three before negates."""
     words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z']+"), F.lit(0)), lambda w: F.lower(w))
+    return T.let(words, lambda w: _negated(w, negations, ahead=False))
+
+
+def _negated(words: Column, negations: Sequence[str], ahead: bool) -> Column:
+    """Array of (word, negated): whether a negation is among the ``TOKEN_WINDOW`` words behind (``ahead``) or before."""
     neg = F.array(*map(F.lit, sorted(negations))) if negations else F.expr("cast(array() as array<string>)")
-    return F.transform(
-        words,
-        lambda w, i: F.struct(
-            w.alias("word"),
-            F.exists(F.slice(words, F.greatest(i - (TOKEN_WINDOW - 1), F.lit(1)), F.least(i, F.lit(TOKEN_WINDOW))), lambda p: F.array_contains(neg, p) | p.endswith("n't")).alias("negated"),
-        ),
-    )
+
+    def near(i: Column) -> Column:
+        return F.slice(words, i + 2, F.lit(TOKEN_WINDOW)) if ahead else F.slice(words, F.greatest(i - (TOKEN_WINDOW - 1), F.lit(1)), F.least(i, F.lit(TOKEN_WINDOW)))
+
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.exists(near(i), lambda p: F.array_contains(neg, p) | p.endswith("n't")).alias("negated")))
 
 
 def scan_hits(text: Column, words: Mapping[str, float], negations: Sequence[str]) -> Column:
@@ -89,13 +92,7 @@ def scan_hits(text: Column, words: Mapping[str, float], negations: Sequence[str]
 
 def token_hits(tokens: Column, negations: Sequence[str], ahead: bool) -> Column:
     """Array of (word, negated) of tokens (surface, start); ``ahead``: negations follow a word, else they go before it."""
-    neg = F.array(*map(F.lit, sorted(negations))) if negations else F.expr("cast(array() as array<string>)")
-    words = F.transform(tokens, lambda t: t["surface"])
-
-    def near(i: Column) -> Column:
-        return F.slice(words, i + 2, F.lit(TOKEN_WINDOW)) if ahead else F.slice(words, F.greatest(i - (TOKEN_WINDOW - 1), F.lit(1)), F.least(i, F.lit(TOKEN_WINDOW)))
-
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.exists(near(i), lambda p: F.array_contains(neg, p) | p.endswith("n't")).alias("negated")))
+    return T.let(F.transform(tokens, lambda t: t["surface"]), lambda w: _negated(w, negations, ahead))
 
 
 def tokenize(df: DataFrame, text: str, tokenizer: Callable[[str], list[tuple[str, int]]]) -> DataFrame:
