@@ -29,6 +29,8 @@ from corpusloom.session import cut, lookup, spread
 
 #: A name part with so few partners may be a misspelt given name, so it opens a block too.
 FEW_PARTNERS = 3
+#: How much commoner a key is than one a slip away, if either has fewer than five letters, to be the right form of it.
+SHORT_TIMES = 5
 #: A given name borne by so small a share of the people who bear one a slip away is a slip of that.
 SLIP_SHARE = 0.1
 
@@ -364,19 +366,20 @@ def _parse_all(names: DataFrame) -> DataFrame:
 
 
 def block_keys(keys: DataFrame, col: str = "key", weight: str = "n") -> DataFrame:
-    """(key, main): each key of five letters or more, and the key its slips lead to (or itself).
+    """(key, main): each key, and the key its slips lead to (or itself).
 
     A key goes to the most common of all commoner keys at most one slip away, that one to its own, and so on to
-    the end. Keys meet on what is left when one character is dropped: a rest has no more keys than an alphabet has
+    the end. Where one of the two has fewer than five letters, the other must be ``SHORT_TIMES`` as common, as short names
+    a letter apart are often different ones. Keys meet on what is left when one character is dropped: a rest has no more keys than an alphabet has
     letters for each place, so its pairs are few whatever the size of the table.
     """
     k = keys.select(F.col(col).alias("key"), F.col(weight).alias("n"))
-    drops = k.where(F.length("key") >= 5).select(
+    drops = k.where(F.length("key") >= 3).select(
         "key", "n", F.explode(F.array_distinct(F.concat(F.array("key"), F.expr("transform(sequence(1, length(key)), i -> concat(substring(key, 1, i - 1), substring(key, i + 1)))")))).alias("rest")
     )
     drops = cut(drops)
     other = drops.select(F.col("rest").alias("_rest"), F.col("key").alias("k"), F.col("n").alias("m"))
-    cand = drops.join(other, F.col("rest") == F.col("_rest")).where("k <> key and (m > n or (m = n and k > key))").select("key", F.col("m").alias("n"), "k").distinct()
+    cand = drops.join(other, F.col("rest") == F.col("_rest")).where("k <> key and (m > n or (m = n and k > key))").where((F.least(F.length("key"), F.length("k")) >= 5) | (F.col("m") >= SHORT_TIMES * F.col("n"))).select("key", F.col("m").alias("n"), "k").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -13,6 +13,8 @@ def test_every_variant_finds_its_key(spark):
     # all three share only "abcd", whose commonest key is two slips from the first
     assert mains(("abczd", 1), ("abcyd", 5), ("xabcd", 90)) == {"abczd": "abcyd", "abcyd": "abcyd", "xabcd": "xabcd"}
     chain = ["abcdefgh", "abcdefgx", "abcdefyx", "abcdezyx", "abcdwzyx", "abcvwzyx", "abuvwzyx"]
+    # short ones need the right form to be much commoner
+    assert mains(("hale", 50), ("hlae", 1), ("hals", 20), ("ab", 1), ("abc", 9)) == {"hale": "hale", "hlae": "hale", "hals": "hals", "ab": "ab", "abc": "abc"}
     assert set(mains(*((w, i + 1) for i, w in enumerate(chain))).values()) == {chain[-1]}
 
 
