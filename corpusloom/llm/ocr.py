@@ -579,12 +579,16 @@ def title_counts(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for pid, lines in zip(pdf.page_id, pages_of(pdf)):
+                own = []
                 for i, ws in enumerate(lines):
                     edge, t = i < 2 or i >= len(lines) - 2, " ".join(w.text for w in ws)
-                    rows += [(pid, ws[0].line, k, edge, edge and bool(STOP.search(t))) for k in title_keys(t)]
+                    own += [(ws[0].line, k, edge, edge and bool(STOP.search(t))) for k in title_keys(t)]
+                rows.append((pid, *map(list, zip(*own))) if own else (pid, [], [], [], []))
             yield pd.DataFrame(rows, columns=["page_id", "line", "key", "edge", "stop"])
 
-    keys = cut(pages.mapInPandas(run, "page_id long, line int, key string, edge boolean, stop boolean"))
+    # one row a page where it is written and read again, one a line from there on
+    keys = cut(pages.mapInPandas(run, "page_id long, line array<int>, key array<string>, edge array<boolean>, stop array<boolean>"))
+    keys = keys.select("page_id", F.inline(F.arrays_zip("line", "key", "edge", "stop")))
     n = keys.groupBy(F.col("key").alias("_key")).agg(F.sum(F.col("edge").cast("int")).alias("n"), F.sum((~F.col("edge")).cast("int")).alias("inside"))
     n = cut(n.where("n > 1 and inside * 4 <= n").select("_key", "n"))
     edges = cut(lookup(keys.where("edge"), "key", n, "_key").select("page_id", "line", "key", "stop", "n"))
@@ -598,18 +602,24 @@ def misread_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
     """Those keys of ``lines`` that share ``ALIKE`` of their trigrams with one of ``titles`` (both: key, distinct).
 
     Every pair that can reach the share is tested: two sets of which so much is common have one of their rarest
-    trigrams in common, if so many of each are looked at as the share lets go, and on these they are joined.
+    trigrams in common, if so many of each are looked at as the share lets go, and on these they are joined. Rarest is
+    what the fewest titles have; trigrams of a line that no title has are the rarest, and a line with too many of them
+    is out at once.
     """
     gram = lambda df: df.select("key", F.array_distinct(F.expr("transform(sequence(1, length(key)), i -> substring(concat(' ', key, ' '), i, 3))")).alias("grams"))
     one, two = cut(gram(lines).where(F.size("grams") >= 6)), cut(gram(titles))
-    each = one.select("key", F.explode("grams").alias("gram"), F.lit(True).alias("line")).unionByName(two.select("key", F.explode("grams").alias("gram"), F.lit(False).alias("line")))
-    often = each.groupBy(F.col("gram").alias("_g")).agg(F.count("*").alias("c"))
-    # a set of k trigrams shares at least k * ALIKE / (2 - ALIKE) of them with any that is alike
-    ranked = each.join(often, F.col("gram") == F.col("_g")).groupBy("line", "key").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
-    head = (F.size("g") - F.ceil(F.size("g") * F.lit(ALIKE / (2 - ALIKE)) - 1e-9) + 1).cast("int")
-    rare = cut(ranked.select("line", "key", F.explode(F.slice("g", F.lit(1), head)).alias("h")).select("line", "key", F.col("h.gram").alias("gram")))
-    t = rare.where("not line").select(F.col("key").alias("title"), F.col("gram").alias("_g"))
-    met = rare.where("line").join(t, F.col("gram") == F.col("_g")).select("key", "title").distinct()
+    of_titles = two.select("key", F.size("grams").alias("k"), F.explode("grams").alias("gram"))
+    often = cut(of_titles.groupBy(F.col("gram").alias("_g")).agg(F.count("*").alias("c")))
+
+    def rarest(each: DataFrame) -> DataFrame:
+        """Of each set of k trigrams the rarest of which one must be in any set that is alike."""
+        own = each.join(often, F.col("gram") == F.col("_g")).groupBy("key", "k").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
+        # it shares at least k * ALIKE / (2 - ALIKE) of them, so one of the first of all its k; those in no title come first
+        head = (F.size("g") - F.ceil(F.col("k") * F.lit(ALIKE / (2 - ALIKE)) - 1e-9) + 1).cast("int")
+        return own.withColumn("head", head).where("head > 0").select("key", F.explode(F.slice("g", F.lit(1), F.col("head"))).alias("h")).select("key", F.col("h.gram").alias("gram"))
+
+    t = rarest(of_titles).select(F.col("key").alias("title"), F.col("gram").alias("_t"))
+    met = rarest(one.select("key", F.size("grams").alias("k"), F.explode("grams").alias("gram"))).join(t, F.col("gram") == F.col("_t")).select("key", "title").distinct()
     full = met.join(one.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).join(two.select(F.col("key").alias("_t"), F.col("grams").alias("other")), F.col("title") == F.col("_t"))
     share = 2 * F.size(F.array_intersect("grams", "other")) >= F.lit(ALIKE) * (F.size("grams") + F.size("other"))
     return full.where(share).select("key").distinct()
@@ -684,7 +694,7 @@ def rare_entries(lab: DataFrame, share: object, rare: Rare) -> DataFrame:
             rows = []
             for pid, lines, states, *near in zip(pdf.page_id, pages_of(pdf), pdf.states, pdf.before, pdf.follow):
                 words, grams = questions(Page(pid, lines, list(states)), *(v if isinstance(v, str) else None for v in near), lex)
-                rows += [(pid, s) for s in (*words, *grams)]
+                rows.append((pid, [*words, *grams]))
             yield pd.DataFrame(rows, columns=["page_id", "s"])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -693,7 +703,7 @@ def rare_entries(lab: DataFrame, share: object, rare: Rare) -> DataFrame:
             rows = [(s, c) for s in pdf.s for c in sorted(lex.candidates(s, bits.value))]
             yield pd.DataFrame(rows, columns=["s", "c"])
 
-    asked = cut(lab.mapInPandas(ask, "page_id long, s string"))
+    asked = cut(lab.mapInPandas(ask, "page_id long, s array<string>")).select("page_id", F.explode("s").alias("s"))
     is_gram = F.contains("s", F.lit("\0"))
     may = spread(cut(asked.where(~is_gram).select("s").distinct()), "s").mapInPandas(answer, "s string, c string")
     words = may.join(rare.words, F.col("c") == F.col("low")).select("s", F.struct("low", "n", "w").alias("e"))
