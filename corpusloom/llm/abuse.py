@@ -361,7 +361,8 @@ def fit_net(rows: list[tuple[str, bool | None]], seed: int = 0, runner: Runner =
         # overlooked, on the last; but not what several clean documents have or is no commoner in flagged ones
         clean = [w for w, n in zip(clean, bad) if seen[w] > 1 or n < (FOLDS if w in seen else 1) or excess(w, 0) <= EXCESS]
     clean += [w for w in clean for _ in range(min(seen[w], 4) - 1)]
-    rest = [w for d, f in zip(suspects, found) for w in d if w not in set(f)] if found is not suspects else []
+    # what the networks do not recognise is clean; where there were too few documents to ask them, nothing is known of it
+    rest = [w for d, f in zip(suspects, found) for w in d if w not in set(f)] if len(suspects) >= 2 * FOLDS else []
     model = _train([w for d in found for w in d] + seed_pos, clean + rest + seed_neg, known, seed + 99, 4)
     model.net.slim()
     return model
