@@ -162,18 +162,19 @@ def score_large(df: DataFrame, key: str, text: str, lexicon: DataFrame, negation
     """(key, polarity, n_positive, n_negative, n_words) against a lexicon table (word, polarity) of any size.
 
     What a text may have of the lexicon (English: its words; otherwise the substrings that are as long as some
-    entry, in chunks) is exploded and joined with it; Spark decides by its size whether to broadcast it. Texts
-    without a word of the lexicon have polarity 0. ``key`` must be unique; of an entry given twice the smaller polarity
-    holds.
+    entry, in chunks) is exploded and joined with it: with a broadcast of it up to ``BROADCAST_ENTRIES`` entries, sorted
+    and merged beyond. Texts without a word of the lexicon have polarity 0. ``key`` must be unique; of an entry given
+    twice the smaller polarity holds.
     """
     lex = lexicon.where("word is not null and word <> '' and polarity is not null").groupBy(F.col("word").alias("_w")).agg(F.min("polarity").alias("_p"))
+    how, sizes = _beside_texts(lex)
     plain = df.select(key, T.normalize_old(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     if language == "en":
         hits = plain.select(key, F.explode(word_hits(F.col("_t"), negations)).alias("h")).select(key, "h.word", "h.negated")
-        valued = hits.join(lex, F.col("word") == F.col("_w")).select(key, F.when(F.col("negated"), -F.col("_p")).otherwise(F.col("_p")).alias("p"))
+        valued = hits.join(lex.hint(how), F.col("word") == F.col("_w")).select(key, F.when(F.col("negated"), -F.col("_p")).otherwise(F.col("_p")).alias("p"))
         s = valued.groupBy(key).agg(F.sum("p").alias("sum"), F.count_if(F.col("p") > 0).alias("pos"), F.count_if(F.col("p") < 0).alias("neg"), F.count("*").alias("n"))
     else:
-        s = _scan_large(plain, key, lex, negations)
+        s = _scan_large(plain, key, lex, how, sizes, negations)
     s = s.withColumnRenamed(key, "_key")
     mean = F.coalesce(F.col("sum") / F.col("n"), F.lit(0.0))
     return df.select(key).join(s, F.col(key) == F.col("_key"), "left").select(
@@ -181,24 +182,40 @@ def score_large(df: DataFrame, key: str, text: str, lexicon: DataFrame, negation
     )
 
 
+#: A lexicon of at most so many entries, and bytes of their words, is broadcast.
+BROADCAST_ENTRIES, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def _beside_texts(lex: DataFrame) -> tuple[str, list[int]]:
+    """How the lexicon (_w, _p) is joined with exploded texts, and the lengths of its words.
+
+    Spark must not choose by its own estimate: it takes the texts' side for as large as their files, though it has
+    hundreds of rows for each text, and broadcasts that.
+    """
+    found = lex.groupBy(F.length("_w").alias("n")).agg(F.count("*").alias("k"), F.sum(F.octet_length("_w")).alias("b")).orderBy("n").collect()  # lengths of words: few
+    small = sum(r["k"] for r in found) <= BROADCAST_ENTRIES and sum(r["b"] for r in found) <= BROADCAST_BYTES
+    return "broadcast" if small else "merge", [r["n"] for r in found]
+
+
 #: Characters of a text that one row of the scan holds.
 SCAN_CHUNK = 256
 
 
-def _scan_large(plain: DataFrame, key: str, lex: DataFrame, negations: Sequence[str]) -> DataFrame:
-    """Sums over the leftmost longest entries that do not overlap, a negation in the next four characters negating."""
-    sizes = [r[0] for r in lex.select(F.length("_w").alias("n")).distinct().orderBy("n").collect()]  # lengths of words: few
-    sizes = sizes or [1]
-    behind = sizes[-1] + CHAR_WINDOW
+def _scan_large(plain: DataFrame, key: str, lex: DataFrame, how: str, sizes: Sequence[int], negations: Sequence[str]) -> DataFrame:
+    """Sums over the leftmost longest entries (of these lengths) that do not overlap, a negation in the next four characters negating."""
+    behind = max(sizes, default=1) + CHAR_WINDOW
     cut = rf"([\s\S]{{1,{SCAN_CHUNK}}})(?=([\s\S]{{0,{behind}}}))"
     found = [F.regexp_extract_all("_t", F.lit(cut), F.lit(k)) for k in (1, 2)]
     chunks = plain.select(key, F.posexplode(F.zip_with(*found, lambda a, b: F.struct(F.length(a).alias("n"), F.concat(a, b).alias("t")))).alias("i", "c"))
     chunks = chunks.select(key, (F.col("i") * SCAN_CHUNK).alias("base"), F.col("c.n").alias("n"), F.col("c.t").alias("t"))
-    tries = chunks.select(key, "base", "t", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")).select(
-        key, (F.col("base") + F.col("at")).alias("at"), F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.substring("t", F.col("at"), F.lit(k)).alias("w"), F.substring("t", F.col("at") + k, F.lit(CHAR_WINDOW)).alias("b")) for k in sizes])).alias("c")
+    # only where an entry may begin, with the lengths of those that begin so
+    heads = F.broadcast(lex.groupBy(F.substring("_w", 1, 1).alias("_h")).agg(F.collect_set(F.length("_w")).alias("_n")))  # first characters: a script's
+    opened = chunks.select(key, "base", "n", "t", F.posexplode(F.split("t", "")).alias("i", "h")).where("i < n").join(heads, F.col("h") == F.col("_h"))
+    tries = opened.select(key, "base", "t", (F.col("i") + 1).alias("at"), F.explode("_n").alias("n")).select(
+        key, (F.col("base") + F.col("at")).alias("at"), "n", F.substring("t", F.col("at"), F.col("n")).alias("w"), F.substring("t", F.col("at") + F.col("n"), F.lit(CHAR_WINDOW)).alias("b")
     )
-    tries = tries.where(F.length("c.w") == F.col("c.n"))
-    met = tries.join(lex, F.col("c.w") == F.col("_w")).select(key, "at", F.col("c.n").alias("n"), F.when(T.any_contains(F.col("c.b"), sorted(negations)), -F.col("_p")).otherwise(F.col("_p")).alias("p"))
+    met = tries.where(F.length("w") == F.col("n")).join(lex.hint(how), F.col("w") == F.col("_w"))
+    met = met.select(key, "at", "n", F.when(T.any_contains(F.col("b"), sorted(negations)), -F.col("_p")).otherwise(F.col("_p")).alias("p"))
     order = F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "p")))
     free = F.struct(F.lit(0).alias("next"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(0).cast("long").alias("n"))
     take = lambda acc, h: F.when(

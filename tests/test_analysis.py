@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -197,6 +198,21 @@ def test_large_scan_is_the_plain_scan(spark):
     assert "語123" not in out._jdf.queryExecution().toString() and {r.id: r.n_words for r in out.collect()} == {k: v[3] for k, v in few.items()}
 
 
+@pytest.mark.parametrize("entries", [100, 1])
+def test_exploded_texts_are_never_broadcast(spark, tmp_path, monkeypatch, entries):
+    """A text explodes into hundreds of rows that Spark estimates by the size of the file; only the lexicon may be broadcast."""
+    monkeypatch.setattr(sentiment, "BROADCAST_ENTRIES", entries)
+    spark.range(300).selectExpr("id", "repeat('not good, ', 200) en", "repeat('忠義無、善、、、、', 200) ja").write.parquet(f"{tmp_path}/texts")
+    d = spark.read.parquet(f"{tmp_path}/texts")
+    ja = sentiment.Lexicon("t", "ja", {"忠義": 0.5, "善": 0.25})
+    for lex, negations, want in ((LEX, ["not"], (-0.8, 0, 200, 200)), (ja, ["無"], (-0.125, 200, 200, 400))):
+        out = sentiment.score_large(d, "id", lex.language, lex.frame(spark), negations, lex.language)
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and bool(re.search(r"BroadcastHashJoin \[\w+#\d+\], \[_w#", plan)) == (entries > 1)
+        assert len(got) == 300 and {(round(r.polarity, 9), r.n_positive, r.n_negative, r.n_words) for r in got} == {want}
+
+
 def test_records_of_the_log(spark):
     log = spark.createDataFrame([(3, 1, "segment", 1, "add", None, None)], "id long, coder_id long, entity string, entity_id long, action string, detail_json string, created_at timestamp")
     new = spark.createDataFrame([(1, "segment", 2, "add", {"a": "b"}), (None, "segment", 1, "add", {}), (2, "code", 1, "add", None)], "coder_id long, entity string, entity_id long, action string, detail map<string,string>")
